@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing (DataFrame functions only).
 
-Texts become tokens (lower case, runs of letters and digits) and tokens 64-bit hashes. Fixed masks choose eight of up
-to eleven consecutive tokens and ignore the others, so a substituted token leaves some seeds whole. Every position of
-every text is hashed under every mask and joined with the hashes of all positions of the benchmark. Around a hit the
+Texts become tokens (lower case, runs of letters and digits) and tokens 64-bit hashes. Fixed masks choose two runs of
+four tokens and ignore those between, so a substituted token leaves some seeds whole. Every position of every text is
+hashed under every mask (pairs first, then fours, then both runs: each array is zipped with itself, shifted) and joined
+with the hashes of all positions of the benchmark. Around a hit the
 text and the item are laid side by side, token against token, and the best stretch (2 for an equal token, -7 for
 another) counts if at least 0.8 of its tokens are equal and it has `least` tokens, or the whole of a shorter item.
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from harborlight.llm.common import BROADCAST_ROWS, with_small, written
 
-#: Which tokens of a window each mask looks at.
-MASKS = ("1101101111", "111101111", "10111010111")
-SPAN = max(map(len, MASKS))
+#: The masks, each two runs of four tokens and the ignored ones between.
+MASKS = ("111101111", "1111001111")
+RUN = 4
 SIMILAR, LEAST = 0.8, 12
 SAME, OTHER = 2, -7
 #: Items of this number at most are broadcast for the comparison, each as its hashes.
@@ -34,22 +35,18 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """The seed of each position under each mask: mask by mask, each with the same number of positions."""
-    span = max(map(len, masks))
-    places = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span)).otherwise(F.array().cast("array<int>"))
-
-    def under(n: int, mask: str) -> Column:
-        return F.transform(places, lambda i: F.xxhash64(F.lit(n), *(F.get(hashes, i + k) for k, x in enumerate(mask) if x == "1")))
-
-    return F.concat(*(under(n, mask) for n, mask in enumerate(masks)))
+def shifted(a: Column, by: int, *salt: Column) -> Column:
+    """The hash of each element with the one so far behind it; near the end of the element alone."""
+    return F.zip_with(a, F.slice(a, F.lit(by + 1), F.size(a)), lambda x, y: F.xxhash64(*salt, x, y))
 
 
 def positions(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """keep, seed and at (its first token) of every position of the texts' hashes _h."""
-    count = F.size("_h") - (max(map(len, masks)) - 1)
+    """keep, seed and at (its first token) of every position of the texts' hashes _h under every mask."""
+    four = df.select("*", shifted(F.col("_h"), 1).alias("_g2")).select("*", shifted(F.col("_g2"), 2).alias("_g4"))
+    under = [F.when(F.size("_h") >= len(m), shifted(F.col("_g4"), m.rindex("0") + 1, F.lit(n))) for n, m in enumerate(masks)]
     # outer: for the inner form Spark would infer a filter on the array and push all of it below the hashes
-    listed = df.select(*keep, count.alias("_count"), seeds(F.col("_h"), masks).alias("_seeds"))
+    none = F.array().cast("array<bigint>")
+    listed = four.select(*keep, F.size("_h").alias("_count"), F.concat(*(F.coalesce(u, none) for u in under)).alias("_seeds"))
     return listed.select(*keep, "_count", F.posexplode_outer("_seeds").alias("_pos", "_seed")).withColumn("_at", F.pmod("_pos", "_count"))
 
 
