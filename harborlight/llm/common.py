@@ -36,11 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
