@@ -122,7 +122,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = T.readings(spark, sf_dir)
     rows = features(r, T.daily_readings(spark, sf_dir), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), examples(r))
     doubles = [n for n, kind in rows.dtypes if kind == "double"]
-    return rows.withColumns({c: F.round(c, 5) + 0.0 for c in doubles})
+    return rows.withColumns({c: F.round(c, 5 if c == "flow_net_window" else 7) + 0.0 for c in doubles})
 
 
 def weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,13 +225,13 @@ def _lags_sql(centered: bool) -> str:
 def _matrix_sql() -> str:
     parts = {x: _lag_sql(x, False) for x in LAGS}
     lagged = ", ".join(f"{d} AS docks_lag{x}, e.docks_now - {d} AS docks_delta{x}, CAST({f} AS INT) AS full_lag{x}" for x, (_, d, f) in parts.items())
-    r5 = lambda c, name=None: f"round({c}, 5) + 0.0 AS {name or c}"
-    return f""" SELECT e.*, st.station, cur.bikes AS bikes_now, cur.docks_disabled, {r5("1 - e.docks_now / nullif(e.capacity, 0)::DOUBLE", "occupancy_now")}, {lagged}, coalesce(nbf.nb_n, 0) AS nb_n,
-        {r5("nb_full_frac")}, {r5("nb_occupancy_mean")}, nbf.nb_docks_sum, hour(e.t) * 60 + minute(e.t) AS minute_of_day, isodow(e.t + INTERVAL {HORIZON} MINUTE) AS weekday,
-        CAST(e.t + INTERVAL {HORIZON} MINUTE AS DATE) IN ({", ".join(f"DATE '{d}'" for d in HOLIDAYS)}) AS holiday, w0.precip AS precip_now, w1.precip AS precip_next_hour, {r5("w0.temp", "temperature_now")},
-        {r5("ft.arrivals_mean", "flow_arrivals_target")}, {r5("ft.departures_mean", "flow_departures_target")}, {r5("ft.net_flow_mean", "flow_net_target")},
-        {r5("coalesce(CASE WHEN e.target_slot >= e.slot THEN c1.cum_before - c0.cum_before ELSE c0.day_total - c0.cum_before + c1.cum_before END, 0)", "flow_net_window")},
-        {r5("sp.st_full_rate", "st_full_rate")}, {r5("sp.st_peak_full_rate", "st_peak_full_rate")}
+    rounded = lambda c, name=None: f"round({c}, {5 if name == 'flow_net_window' else 7}) + 0.0 AS {name or c}"
+    return f""" SELECT e.*, st.station, cur.bikes AS bikes_now, cur.docks_disabled, {rounded("1 - e.docks_now / nullif(e.capacity, 0)::DOUBLE", "occupancy_now")}, {lagged}, coalesce(nbf.nb_n, 0) AS nb_n,
+        {rounded("nb_full_frac")}, {rounded("nb_occupancy_mean")}, nbf.nb_docks_sum, hour(e.t) * 60 + minute(e.t) AS minute_of_day, isodow(e.t + INTERVAL {HORIZON} MINUTE) AS weekday,
+        CAST(e.t + INTERVAL {HORIZON} MINUTE AS DATE) IN ({", ".join(f"DATE '{d}'" for d in HOLIDAYS)}) AS holiday, w0.precip AS precip_now, w1.precip AS precip_next_hour, {rounded("w0.temp", "temperature_now")},
+        {rounded("ft.arrivals_mean", "flow_arrivals_target")}, {rounded("ft.departures_mean", "flow_departures_target")}, {rounded("ft.net_flow_mean", "flow_net_target")},
+        {rounded("coalesce(CASE WHEN e.target_slot >= e.slot THEN c1.cum_before - c0.cum_before ELSE c0.day_total - c0.cum_before + c1.cum_before END, 0)", "flow_net_window")},
+        {rounded("sp.st_full_rate", "st_full_rate")}, {rounded("sp.st_peak_full_rate", "st_peak_full_rate")}
         FROM (SELECT * FROM ex) e JOIN stations st ON st.sid = e.sid JOIN snap cur ON cur.sid = e.sid AND cur.t = e.t{"".join(p[0] for p in parts.values())}
         LEFT JOIN nbf ON nbf.sid = e.sid AND nbf.g = date_trunc('day', e.t) LEFT JOIN weather w0 ON w0.hour = date_trunc('hour', e.t) LEFT JOIN weather w1 ON w1.hour = date_trunc('hour', e.t) + INTERVAL 1 HOUR
         LEFT JOIN flow ft ON ft.station_id = lpad(CAST(e.sid % 100 AS VARCHAR), 3, '0') AND ft.slot = e.target_slot AND ft.weekend = e.weekend
