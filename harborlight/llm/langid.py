@@ -3,7 +3,8 @@
 Each language has a dictionary: raw content, cut from a bounded sample of labelled texts. Texts are brought to lower
 case and to letters only, cut into chunks of 64 KB, and each chunk is compressed once with every dictionary; the
 language with the fewest bytes in total wins, and score is a softmax of the bytes saved. A text is rejected when the
-margin between the best two, per byte of text, is narrow. Dictionaries are sampled without regard to a text's rank in the table: the rows with the least digests of
+margin between the best two, per byte of the chunks' heads (what a dictionary can tell; later the chunk itself is the
+better dictionary), is narrow. Dictionaries are sampled without regard to a text's rank in the table: the rows with the least digests of
 their ids, as many as fill a dictionary.
 
 Defined cases: null texts and texts without a letter are `und`, score 0, rejected; ties go to the language that comes
@@ -30,8 +31,8 @@ DICTIONARY, EXCERPT, TEXTS = 16 << 10, 2_000, 96
 CHUNK = 64 << 10
 CODER = {"window_log": 17, "chain_log": 13, "hash_log": 13, "search_log": 3, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
 BARE = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-#: Bytes saved over the second best language, per byte of text, that a decision needs.
-MARGIN = 0.002
+#: Bytes saved over the second best language, per byte of the first HEAD bytes of each chunk, that a decision needs.
+MARGIN, HEAD = 0.002, 4096
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
@@ -87,7 +88,7 @@ class Coder:
         gaps = [(s - sizes[best]) / 8 for s in sizes]
         score = 1 / sum(math.exp(-min(g, 700.0)) for g in gaps)
         second = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] + len(data))
-        return self.langs[best], score, (second - sizes[best]) >= MARGIN * len(data) and second > sizes[best]
+        return self.langs[best], score, (second - sizes[best]) >= MARGIN * sum(min(len(x), HEAD) for x in chunks) and second > sizes[best]
 
 
 def identified(docs: DataFrame, content: dict[str, bytes], columns: list[str]) -> DataFrame:
