@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import text_batches, with_small, written
+from harborlight.llm.common import text_batches, written
 
 UNIT_WORDS, LEAST = 4, 24
 BREAK = regex.compile(r"\n+|(?<=[^.!?][.!?])\s+|(?<=[\p{Ll}\d,;:])\s+(?=\p{Lu}\p{Ll})")
@@ -69,7 +69,7 @@ def repeats(docs: DataFrame, least: int = LEAST, within: bool = False) -> DataFr
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
     twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(rank).alias("first")).where("c > 1")
     twice = written(twice.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.n").alias("first_n")))
-    later = with_small(rows, twice, ["digest"], "inner")
+    later = rows.join(twice, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
     later = later.where(~same | (F.lit(within) & (F.col("n") != F.col("first_n"))))
     once = later.groupBy("doc_id", "n", "start", "end", "words").agg(F.min("first_doc_id").alias("first_doc_id"))
