@@ -12,7 +12,8 @@ need no more, and the second join skips pairs that already are in one, so that a
 its pairs, and no link between groups is lost.
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; a component without any id
-has a null component_id; repeated rows share a fingerprint; an empty table gives an empty result.
+has a null component_id, and of its rows one is kept; repeated rows share a fingerprint, and of them one is kept; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import text_batches, with_small, written
+from harborlight.llm.common import text_batches, written
 from harborlight.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -53,16 +53,17 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a row a document, fp as a signed long."""
+    """(doc_id, digest, fp): a row a document, with a digest of its text and fp as a signed long."""
     text_batches(docs.sparkSession)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "digest", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", F.xxhash64(docs["text"]).alias("_digest"), "text")
+    return rows.mapInArrow(of, f"doc_id {kind}, digest long, fp long")
 
 
 @cache
@@ -147,33 +148,35 @@ def links(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars.unionByName(written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), parts
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): a row a document."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, fp, group, component_id): a row a document; group is the least fingerprint reachable."""
     rows = written(fingerprints(docs))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges, _ = links(nodes)
     parts = written(components(edges))
     roots = parts.join(nodes, parts["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = parts.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    named = written(nodes.join(of_node, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    of_node = parts.join(roots, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    named = nodes.join(of_node, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(written(named), "fp").select("doc_id", "digest", "fp", "group", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the row of the smallest id of each component; of repeated rows one stays, of rows without id one a fingerprint."""
-    fps = written(labelled(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct())
-    best = Window.partitionBy("component_id").orderBy("fp")  # an id may come with two texts
-    keep = written(fps.withColumn("_n", F.row_number().over(best)).where("_n = 1 or component_id is null").select("doc_id", "fp"))
-    wrapped = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
-    text_batches(docs.sparkSession)
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): a row a document."""
+    return grouped(docs).select("doc_id", "fp", "component_id")
 
-    @F.pandas_udf("long")
-    def fp_of(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: np.array([fingerprint(t)], dtype=np.uint64).view(np.int64)[0]).astype("int64")
 
-    once = Window.partitionBy("_id", "_fp").orderBy(F.lit(1))
-    ids = keep.select(F.struct("doc_id").alias("_id"), F.col("fp").alias("_fp"))
-    rows = wrapped.select("_row", F.struct("doc_id").alias("_id"), "text")
-    rows = with_small(rows, ids.select("_id").distinct(), ["_id"], "left_semi")
-    rows = with_small(rows.withColumn("_fp", fp_of("text")).drop("text"), ids, ["_id", "_fp"], "left_semi")
-    return rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (of the ids that come twice, the least fingerprint).
+
+    Whole rows are shuffled once, by id and text digest, at every size; of repeated rows each task sends one.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest")).alias("first")
+    first = grouped(docs).groupBy("group").agg(least)
+    keep = written(first.select(F.struct(F.col("first.doc_id").alias("doc_id")).alias("_id"), F.col("first.digest").alias("_digest")))
+    plain = [docs[c] for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]  # what can be hashed
+    rows = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.struct(docs["doc_id"].alias("doc_id")).alias("_id"),
+        F.xxhash64(docs["text"]).alias("_digest"), F.xxhash64(*plain).alias("_tie"),
+    )
+    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_tie"))).where("_n = 1")
+    return once.join(keep, ["_id", "_digest"], "left_semi").select("_row.*")
