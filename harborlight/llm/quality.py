@@ -9,7 +9,8 @@ numpy on the sampled rows and a temperature fitted on the part of them that trai
 Learned from is a bounded sample, SAMPLE labelled rows with the least digests of their ids; scoring reads whole texts.
 
 Defined cases: null and empty texts have the zero vector and are scored like any other; a label that is null or whose
-document is missing is ignored; without labels of both kinds every score is 0.5; repeated rows are scored each.
+document is missing is ignored, and so is one without an id; without labels of both kinds every score is 0.5; repeated
+rows are scored each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import text_batches, written
@@ -32,7 +33,8 @@ SAMPLE, VOCABULARY, DIMENSIONS, BUCKETS, NONZERO = 12_000, 8_192, 160, 1 << 14,
 AROUND, NEAR_WEIGHT = 2, 0.5
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 48, 30, 256, 0.003, 1e-4, 11
 THRESHOLD = 0.3
-CHUNK = 256
+#: Words a row of sums, and partitions of the sample.
+CHUNK, PARTS = 256, 16
 TOKEN = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}\s]+")
 
 
@@ -86,7 +88,8 @@ def near_sums(texts: DataFrame, words: list[str]) -> np.ndarray:
     """For each word the sum of the index vectors around it; each task sends CHUNK words a row, which are added up in groups."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, place = index_vectors(), {w: i for i, w in enumerate(words)}
+        # whole numbers: their sums are exact in any order; what uses them brings them to unit length
+        index, place = np.rint(index_vectors() * np.sqrt(NONZERO)), {w: i for i, w in enumerate(words)}
         sums = np.zeros((len(words), DIMENSIONS), dtype=np.float32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -162,12 +165,32 @@ class Model:
         self.words, self.near, self.network = words, near, network
 
 
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label): at most SAMPLE labelled documents, those with the least digests of their ids.
+
+    Ids are chosen first and broadcast, SAMPLE rows at most; no other texts are moved. An id with several labels has
+    their mean, and of an id with several texts the one with the least digest counts.
+    """
+    of_id = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
+    there = of_id.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("_digest", F.xxhash64(F.col("doc_id").cast("string")))
+    there = written(there)
+    n = there.count()
+    if n > 2 * SAMPLE:  # digests are even, so about 2 * SAMPLE lie below this bound, and the last task gets no more
+        bound = -(1 << 63) + (2 * SAMPLE << 64) // n
+        if (below := there.where(F.col("_digest") < bound)).count() >= SAMPLE:
+            there = below
+    ids = written(there.orderBy("_digest", "doc_id").limit(SAMPLE).select("doc_id", "label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
 def fitted(labelled: DataFrame) -> Model:
-    """From rows (doc_id, text, label)."""
+    """From rows (doc_id, text, label), of which sampled() gives few enough."""
     spark = labelled.sparkSession
     text_batches(spark)
     few = labelled.where("label is not null").select("doc_id", "text", F.col("label").cast("double").alias("label"))
-    sample = written(few.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE))
+    sample = written(few.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE).repartition(PARTS))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     seen = labels.where(F.coalesce(~quality.held_out(labels["doc_id"]), F.lit(False))).select("doc_id", labels["quality"].alias("label"))
-    model = quality.fitted(docs.select("doc_id", "text").join(seen, "doc_id"))
+    model = quality.fitted(quality.sampled(docs, seen))
     rows = quality.scored(docs, ["doc_id"], model)
     return rows.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 

@@ -115,6 +115,17 @@ def test_quality(spark):
     assert quality.scored(labelled.limit(0), ["doc_id"], model).count() == 0
 
 
+def test_quality_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(400)] + [(1, "again"), (None, "n"), (2, None)], "doc_id long, text string").selectExpr("*", "0 AS label")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] + [(1, 0), (999, 1), (3, None), (None, 1)], "doc_id long, label int")
+    got = {r.doc_id: r for r in quality.sampled(docs, labels).collect()}
+    digests = {r.doc_id: r.d for r in labels.where("doc_id < 200").selectExpr("doc_id", "xxhash64(cast(doc_id as string)) AS d").distinct().collect()}
+    assert set(got) == set(sorted(digests, key=digests.get)[:50])
+    assert all(r.label == k % 2 for k, r in got.items() if k != 1)
+    assert quality.sampled(docs.limit(0), labels).count() == 0 and quality.sampled(docs, labels.limit(0)).count() == 0
+
+
 # pages
 
 PAGE = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='wrap'><div class='{c}'><h1>T {n}</h1><p>{t}<p>A &amp; b&nbsp;c<br>d <script>x</script></div><div class=sidebar>{s}</div></div><footer>f</footer>"
