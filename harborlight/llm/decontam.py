@@ -1,31 +1,33 @@
 """Benchmark decontamination by spaced-seed hashing (DataFrame functions only).
 
-Texts become tokens (lower case, runs of letters and digits) and tokens 64-bit hashes. Fixed masks choose two runs of
-four tokens and ignore those between, so a substituted token leaves some seeds whole. Every position of every text is
-hashed under every mask (pairs first, then fours, then both runs: each array is zipped with itself, shifted) and joined
-with the hashes of all positions of the benchmark. Around a hit the
-text and the item are laid side by side, token against token, and the best stretch (2 for an equal token, -7 for
-another) counts if at least 0.8 of its tokens are equal and it has `least` tokens, or the whole of a shorter item.
-
-The seeds of the benchmark are broadcast when a count shows them to be few; then a text's hashes never leave the
-stage that reads it. Otherwise positions and seeds are shuffled and hits are joined back to the texts.
-
-Defined cases: null and empty texts and items match nothing, nor do items shorter than a seed; rows without id report
+Texts become tokens (lower case, runs of letters and digits) and tokens 64-bit hashes. Fixed masks choose five tokens
+and ignore those between. Of 9 to 23 tokens of which at least 0.8 are equal, wherever the others stand, one mask at least
+finds its five equal, and of more tokens such a part is left, so no substitutions lose an overlap. Every position of every
+text is hashed under every mask (pairs first, then threes, then the mask's runs: arrays are zipped, shifted) and joined
+with the hashes of all positions of the benchmark. Around a hit the text and the item are laid side by side, token
+against token. They overlap if at least 0.8 of all tokens side by side are equal, or of a stretch of them that an equal
+token begins and another ends, and if those are `least` tokens or as many as a shorter item has.
+
+The seeds of the benchmark are broadcast when a count shows them to be few; then only the tokens beside an item leave the
+stage that reads a text. Otherwise positions and seeds are shuffled and hits are joined back to the texts.
+
+Defined cases: null and empty texts and items match nothing, nor do items of fewer than SHORTEST tokens; rows without id report
 a null doc_id; repeated rows report once; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import BROADCAST_ROWS, with_small, written
 
-#: The masks, each two runs of four tokens and the ignored ones between.
-MASKS = ("111101111", "1111001111")
-RUN = 4
-SIMILAR, LEAST = 0.8, 12
-SAME, OTHER = 2, -7
+#: The masks (0 is an ignored token), equal tokens in so many, and tokens of an overlap and of an item.
+MASKS = ("110111", "11010011", "11111")
+SAME, OF = 4, 5
+LEAST, SHORTEST = 12, 9
 #: Items of this number at most are broadcast for the comparison, each as its hashes.
 ITEMS = 50_000
 
@@ -35,18 +37,26 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def shifted(a: Column, by: int, *salt: Column) -> Column:
-    """The hash of each element with the one so far behind it; near the end of the element alone."""
-    return F.zip_with(a, F.slice(a, F.lit(by + 1), F.size(a)), lambda x, y: F.xxhash64(*salt, x, y))
+def shifted(a: Column, b: Column, by: int, *salt: Column) -> Column:
+    """The hash of each element with b's so far behind it; near the end of the element alone."""
+    return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.xxhash64(*salt, x, y))
 
 
 def positions(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """keep, seed and at (its first token) of every position of the texts' hashes _h under every mask."""
-    four = df.select("*", shifted(F.col("_h"), 1).alias("_g2")).select("*", shifted(F.col("_g2"), 2).alias("_g4"))
-    under = [F.when(F.size("_h") >= len(m), shifted(F.col("_g4"), m.rindex("0") + 1, F.lit(n))) for n, m in enumerate(masks)]
+    three = df.select("*", shifted(F.col("_h"), F.col("_h"), 1).alias("_g2")).select("*", shifted(F.col("_g2"), F.col("_h"), 2).alias("_g3"))
+    runs = {"1": F.col("_h"), "11": F.col("_g2"), "111": F.col("_g3")}
+
+    def under(n: int, mask: str) -> Column:
+        first, *more = re.finditer("1{1,3}", mask)
+        seeds = runs[first.group()]
+        for run in more:
+            seeds = shifted(seeds, runs[run.group()], run.start(), F.lit(n))
+        return F.when(F.size("_h") >= len(mask), seeds)
+
     # outer: for the inner form Spark would infer a filter on the array and push all of it below the hashes
     none = F.array().cast("array<bigint>")
-    listed = four.select(*keep, F.size("_h").alias("_count"), F.concat(*(F.coalesce(u, none) for u in under)).alias("_seeds"))
+    listed = three.select(*keep, F.size("_h").alias("_count"), F.concat(*(F.coalesce(under(n, m), none) for n, m in enumerate(masks))).alias("_seeds"))
     return listed.select(*keep, "_count", F.posexplode_outer("_seeds").alias("_pos", "_seed")).withColumn("_at", F.pmod("_pos", "_count"))
 
 
@@ -61,10 +71,40 @@ def hits(texts: DataFrame, marks: DataFrame, masks: tuple[str, ...], broadcast:
     return found.join(texts.dropDuplicates(keys), keys)
 
 
+def longest(at: Column) -> Column:
+    """(length, from, same) of the longest stretch that an equal token begins and another ends, SAME in OF equal at least.
+
+    at has the places of the equal tokens. A stretch from the a-th to the b-th is good if begin(a) <= end(b); along the
+    least begin so far and the greatest end from here on, two pointers pass each place once.
+    """
+    begin = F.transform(at, lambda p, a: a * OF - p * SAME)
+    end = F.transform(at, lambda p, b: (b + 1) * OF - (p + 1) * SAME)
+    held = F.struct(
+        at.alias("at"),
+        F.transform(begin, lambda _, a: F.array_min(F.slice(begin, F.lit(1), a + 1))).alias("low"),
+        F.transform(end, lambda _, b: F.array_max(F.slice(end, b + 1, F.size(end)))).alias("high"),
+        *(F.lit(0).alias(n) for n in ("a", "b", "length", "from", "same")),
+    )
+
+    def step(s: Column, _: Column) -> Column:
+        good = F.coalesce(F.get(s["low"], s["a"]) <= F.get(s["high"], s["b"]), F.lit(False))
+        length = F.get(s["at"], s["b"]) - F.get(s["at"], s["a"]) + 1
+        better = good & (length > s["length"])
+        pick = lambda x, n: F.when(better, x).otherwise(s[n]).alias(n)
+        return F.struct(
+            s["at"].alias("at"), s["low"].alias("low"), s["high"].alias("high"),
+            (s["a"] + (~good).cast("int")).alias("a"), (s["b"] + good.cast("int")).alias("b"),
+            pick(length, "length"), pick(F.get(s["at"], s["a"]), "from"), pick(s["b"] - s["a"] + 1, "same"),
+        )
+
+    best = lambda s: F.struct(s["length"].alias("length"), s["from"].alias("from"), s["same"].alias("same"))
+    return F.aggregate(F.array_repeat(F.lit(0), 2 * F.size(at)), held, step, best)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(_k1, _k2, doc_id, item_id, n_tokens, n_equal, first_token, last_token): verified stretches of texts with items."""
     items = benchmark.select(F.col("item_id").alias("_item_id"), F.xxhash64("item_id", "text").alias("_item"), token_hashes(F.col("text")).alias("_b"))
-    items = written(items.dropDuplicates(["_item"]))
+    items = written(items.where(F.size("_b") >= SHORTEST).dropDuplicates(["_item"]))
     marks = positions(items.withColumn("_h", F.col("_b")).withColumn("_m", F.size("_b")), ["_item", "_m"], masks)
     marks = written(marks.select("_seed", "_item", "_m", F.col("_at").alias("_j")))
     texts = docs.select(
@@ -74,31 +114,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     ahead = F.greatest(F.col("_d"), F.lit(0))
     length = F.least(F.col("_m") + F.least(F.col("_d"), F.lit(0)), F.size("_h") - ahead)
     found = found.select("_k1", "_k2", "_id", "_item", "_m", "_d", F.slice("_h", ahead + 1, length).alias("_side"))
-    beside = with_small(found, items, ["_item"], "inner", ITEMS)
+    beside = with_small(found.dropDuplicates(["_k1", "_k2", "_item", "_d"]), items, ["_item"], "inner", ITEMS)
     equal = F.zip_with("_side", F.slice("_b", F.greatest(-F.col("_d"), F.lit(0)) + 1, F.size("_side")), lambda a, b: a == b)
-    none = F.struct(*(F.lit(0).alias(n) for n in ("at", "score", "from", "same", "top", "top_from", "top_to", "top_same")))
-
-    def step(s: Column, e: Column) -> Column:
-        fresh = s["score"] <= 0
-        score = F.when(fresh, F.lit(0)).otherwise(s["score"]) + F.when(e, F.lit(SAME)).otherwise(F.lit(OTHER))
-        since = F.when(fresh, s["at"]).otherwise(s["from"])
-        same = F.when(fresh, F.lit(0)).otherwise(s["same"]) + e.cast("int")
-        better = score > s["top"]
-        pick = lambda a, b: F.when(better, a).otherwise(b)
-        return F.struct(
-            (s["at"] + 1).alias("at"), score.alias("score"), since.alias("from"), same.alias("same"),
-            pick(score, s["top"]).alias("top"), pick(since, s["top_from"]).alias("top_from"),
-            pick(s["at"], s["top_to"]).alias("top_to"), pick(same, s["top_same"]).alias("top_same"),
-        )
-
-    scored = beside.withColumn("_best", F.aggregate(equal, none, step))
-    tokens = F.col("_best")["top_to"] - F.col("_best")["top_from"] + 1
-    good = (F.col("_best")["top"] > 0) & (tokens >= F.least(F.lit(least), "_m")) & (F.col("_best")["top_same"] >= tokens * SIMILAR)
-    begin = F.greatest(F.col("_d"), F.lit(0)) + F.col("_best")["top_from"]
+    beside = beside.withColumn("_equal", F.array_compact(F.transform(equal, lambda e, i: F.when(e, i))))
+    side, same = F.size("_side"), F.size("_equal")
+    whole = F.struct(side.alias("length"), F.lit(0).alias("from"), same.alias("same"))
+    scored = beside.withColumn("_best", F.when(same * OF >= side * SAME, whole).otherwise(longest(F.col("_equal"))))
+    tokens = F.col("_best")["length"]
+    begin = ahead + F.col("_best")["from"]
     return (
-        scored.where(good)
+        scored.where(tokens >= F.least(F.lit(least), "_m"))
         .select("_k1", "_k2", F.col("_id").alias("doc_id"), F.col("_item_id").alias("item_id"), tokens.alias("n_tokens"),
-                F.col("_best")["top_same"].alias("n_equal"), begin.alias("first_token"), (begin + tokens - 1).alias("last_token"))
+                F.col("_best")["same"].alias("n_equal"), begin.alias("first_token"), (begin + tokens - 1).alias("last_token"))
     )
 
 

@@ -52,6 +52,40 @@ def test_cleaned(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def overlap(text, item):
+    """Whether along any diagonal all tokens, or a stretch between two equal ones, are enough and 0.8 equal."""
+    least = min(12, len(item))
+    for d in range(1 - len(item), len(text)):
+        side = [text[d + j] == item[j] for j in range(max(0, -d), min(len(item), len(text) - d))]
+        if len(side) >= least and sum(side) * 5 >= len(side) * 4:
+            return True
+        for i in range(len(side)):
+            for j in range(i + least, len(side) + 1):
+                if side[i] and side[j - 1] and sum(side[i:j]) * 5 >= (j - i) * 4:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_random_substitutions(spark, rows):
+    random = np.random.default_rng(11)
+    items = [(m, prose(random, m).split()) for m in range(9, 31)] + [(60, prose(random, 60).split())]
+    docs = [(1, items[6][1][:3] + ["x"] + items[6][1][4:]), (2, [w if i not in (3, 6) else "x" for i, w in enumerate(items[1][1])])]
+    for m, words in items:
+        for k in range(m // 5 + 3):
+            for _ in range(4):
+                at = set(random.choice(m, k, replace=False))
+                copy = [f"x{i}" if i in at else w for i, w in enumerate(words)]
+                start = random.integers(0, 8) if k % 2 else 0
+                docs.append((len(docs) + 1, [*prose(random, 6).split(), *copy[start : start + random.integers(10, 40)], *prose(random, random.integers(1, 6)).split()]))
+    expected = {(d, m) for d, text in docs for m, words in items if overlap(text, words)}
+    assert {(1, 15), (2, 10)} <= expected and len(expected) < len(docs) - 40
+    frame = lambda pairs, n: spark.createDataFrame([(k, " ".join(w)) for k, w in pairs], f"{n} long, text string")
+    got = decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), broadcast_rows=rows).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected
+    assert all(r.n_equal * 5 >= r.n_tokens * 4 and r.last_token - r.first_token + 1 == r.n_tokens for r in got)
+
+
 # repeated passages
 
 
