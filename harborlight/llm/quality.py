@@ -3,7 +3,7 @@
 Each word has a sparse ternary index vector, drawn from its hash. The vector of one of the VOCABULARY commonest words
 of the sample is its index vector plus, scaled, the sum of those of the words within two places around it, over all
 texts of the sample; other words keep their index vectors. A document is the mean of its words' vectors with three
-shape figures (length, share of different words, share of capital words). A network with one hidden layer is trained in
+shape figures (length, share of different words, share of capital letters in all its characters). A network with one hidden layer is trained in
 numpy on the sampled rows and a temperature fitted on the part of them that training doesn't see.
 
 Learned from is a bounded sample, SAMPLE labelled rows with the least digests of their ids; scoring reads whole texts.
@@ -36,6 +36,7 @@ THRESHOLD = 0.3
 #: Words a row of sums, and partitions of the sample.
 CHUNK, PARTS = 256, 16
 TOKEN = regex.compile(r"\p{L}+|\p{N}|[^\p{L}\p{N}\s]+")
+CAPITAL = regex.compile(r"\p{Uppercase}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -79,8 +80,7 @@ class Pooler:
             for i in range(0, len(at), 4096):
                 out[:DIMENSIONS] += n[i : i + 4096] @ self.matrix[at[i : i + 4096]]
             out[:DIMENSIONS] /= len(found)
-            seventh = text[::7]
-            out[DIMENSIONS:] = np.log1p(len(found)), len(counts) / len(found), sum(map(str.isupper, seventh)) / len(seventh)
+            out[DIMENSIONS:] = np.log1p(len(found)), len(counts) / len(found), len(CAPITAL.findall(text)) / len(text)
         return out
 
 

@@ -149,6 +149,13 @@ def test_quality(spark):
     assert quality.scored(labelled.limit(0), ["doc_id"], model).count() == 0
 
 
+def test_capitals_of_the_whole_text_count():
+    pooler = quality.Pooler([], None)
+    for text in ("aBcDefgh", "Xbcdefg" * 40, "xBCDEFG" * 40, "É und Ω, " * 9 + "ÀÀ"):
+        assert pooler.vector(text)[-1] == np.float32(sum(map(str.isupper, text)) / len(text))
+        assert abs(pooler.vector(f" {text}")[-1] - pooler.vector(text)[-1]) <= 1 / len(text)
+
+
 def test_quality_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE", 50)
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(400)] + [(1, "again"), (None, "n"), (2, None)], "doc_id long, text string").selectExpr("*", "0 AS label")
