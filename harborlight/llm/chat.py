@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import text_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 CHATML = (
@@ -329,7 +328,6 @@ def formatted(conversations: DataFrame, template: str = CHATML) -> DataFrame:
     Rows of a partition come in order, and a conversation lies in one partition.
     """
     compiled(template)  # errors show on the driver
-    text_batches(conversations.sparkSession)
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", "turn", "role", "text")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")

@@ -1,18 +1,20 @@
-"""What the corpus operators share: reading tables, cutting lineage, bounded Arrow batches and checked broadcasts."""
+"""What the corpus operators share: reading tables, cutting lineage, removing what was written for it, and checked broadcasts.
+
+Arrow batches that carry texts are bounded by Spark itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of at most so many rows is broadcast; its rows here are a few numbers wide.
 BROADCAST_ROWS = 200_000
-#: Rows of an Arrow batch that carries whole texts; Spark's default of 10,000 long texts would not fit a worker.
-TEXT_BATCH_ROWS = 256
 #: ASCII white space as the contracts define words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,21 +38,37 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
+#: Where written() puts its tables, below the shared folder: the innermost scratch(), else a folder of the session.
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes inside are deleted at the end: for a job whose result is saved by then."""
+    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        removed(spark, f"{shared_folder(spark)}/{_scratch.pop()}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor is lost."""
+    """df as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor is lost.
+
+    A query's tables stay as long as its lazy result may need them; scratch() deletes them.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{_scratch[-1] if _scratch else spark.sparkContext.applicationId}/written-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that carry texts, unless the session already asks for less."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
-
-
 def with_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a written table: broadcast if a count proves it small, else a shuffle join that Spark may split."""
     return big.join(F.broadcast(small) if small.count() <= rows else small, list(on), how)

@@ -22,7 +22,6 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import text_batches
 
 UNDETERMINED = "und"
 #: Bounds of what is learned from: bytes of a dictionary, characters taken of a text, texts of a language.
@@ -93,7 +92,6 @@ class Coder:
 
 def identified(docs: DataFrame, content: dict[str, bytes], columns: list[str]) -> DataFrame:
     """columns of docs with lang_pred, score and accepted."""
-    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(content)  # languages x DICTIONARY bytes
     cache: dict[str, Coder] = {}
 

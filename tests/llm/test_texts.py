@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -193,12 +195,80 @@ def test_pages_vote_by_host(spark):
         ("<article><p>1 &lt; 2 <!-- no --> &#233;<form>f</form><ul><li>a<li>b</ul></article>", "1 < 2 é\n\na\n\nb"),
         ("<article><p>cut <a href='x", "cut"),
         ("<article><table><tr><td>a<td>b</table><p style='display:none'>h</p><aside>s</aside></article>", "a\n\nb"),
+        ("<article><p>a</p><p title=don't>b</p><p>c</p></article>", "a\n\nb\n\nc"),
+        ("<article><p>a</p><p title=\"it's\">b</p><p x='1' y=\"2>3\">c</p><p>d</article>", "a\n\nb\n\nc\n\nd"),
+        ("<article><p>a<p title = \"never>b</p><p>c <i>d</i></article>", "a\n\nb\n\nc d"),
+        ("<article><p>a</p><p>c <!--> d<!-- > --!> e<!-- <p>--> f</article>", "a\n\nc d e f"),
+        ("<article><p>a</p><!-- never closed > b<p>c <!-- too > d</article>", "a\n\nb\n\nc d"),
+        ("<article><p>a</p><div class='related-work'>r <a>l</a></div><div class='skip'>s</div><p class='notice-period'>n</p></article>", "a\n\nr l\n\ns\n\nn"),
+        ("<article><div class='post-header'><h1>T</h1></div><header><h2>U</h2></header><p>a</p><header>h</header></article>", "T\n\nU\n\na"),
+        ("<article><p>a</p><div class='related-posts'><a>x y z</a> of</div><div class='site-notice'>n</div><div id=ad-3>n</div><ul class=post-comments>c</ul></article>", "a"),
+        ("<head><title>t</title><p>no body tag", "no body tag"),
+        ("<form id=all><nav>n</nav><main><p>a<form>f</form></main></form>", "a"),
+        ("<article><pre>x <span class='comment'># y</span></pre><p>a < b <textarea>c</p></article>", "x # y\n\na < b c"),
     ],
 )
 def test_page_parts(page, text):
     assert html.main_text(page, []) == text
 
 
+def test_deep_and_odd_pages_take_linear_time():
+    begun = time.perf_counter()
+    for page in ("<div>x" * 16_000, "<b>" * 16_000 + "<div>x" * 16_000, "<h1>" * 8_000 + "<p>y" * 8_000, "<li>" * 20_000 + "</span>" * 20_000,
+                 '<p a=">b" c="' * 8_000, "<!-- x " * 20_000, "<title>" * 10_000, "<article>" + "<p>word " * 100_000):
+        html.main_text(page, [html.vote_of(page)[0]])
+    assert time.perf_counter() - begun < 20
+    assert html.main_text("<div>x" * 16_000, []).count("x") == 16_000
+
+
+def plain_dom(page):
+    """Brute force for well-formed pages: text of each block of the article, by the standard parser."""
+
+    class Reader(HTMLParser):
+        blocks, skip, inside = [""], 0, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skip += tag in ("nav", "aside", "script", "form")
+            if tag in html.BLOCK:
+                self.blocks = [*self.blocks, ""]
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.skip -= tag in ("nav", "aside", "script", "form")
+            if tag in html.BLOCK:
+                self.blocks = [*self.blocks, ""]
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.blocks[-1] += data
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    return "\n\n".join(" ".join(b.split()) for b in reader.blocks if b.split())
+
+
+def test_pages_equal_brute_force():
+    random = np.random.default_rng(14)
+    for _ in range(60):
+        parts = []
+        for _ in range(random.integers(1, 30)):
+            text = f"{prose(random, random.integers(1, 9))} &amp; \n {random.choice(['<b>x</b>', '<i title=\"a>b\">y</i>', '&eacute;', '1 < 2', '<a href=/x>l</a>'])} z"
+            kind = random.choice(["p", "li", "h2", "div", "blockquote", "nav", "aside", "script", "section"])
+            parts.append(f"<{kind} class='c{random.integers(9)} k' data-x=\"it's\">{text if kind != 'script' else 'var a;'}</{kind}>")
+        page = f"<!doctype html><html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><article>{prose(random, 80)} {' '.join(parts)}</article><footer>f</footer></body></html>"
+        assert html.main_text(page, []) == plain_dom(page)
+
+
+def test_all_paths_can_be_kept(spark):
+    rows = [(k, "http://h/", f"<article class='{c}'>{c} text of its own") for k, c in enumerate("abcdefgh")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [len(r.paths) for r in html.winners(pages, None, 0.0).collect()] == [8]
+    assert [len(r.paths) for r in html.winners(pages, 2).collect()] == [2]
+    assert sorted(r.text for r in html.extracted(pages, ["page_id"], None, 0.0).collect()) == [f"{c} text of its own" for c in "abcdefgh"]
+
+
 # chat
 
 
