@@ -105,20 +105,43 @@ def test_simhash_of_nothing(spark):
     assert simhash.labelled(docs).count() == 0 and simhash.deduplicated(docs).count() == 0
 
 
-def test_vectors_equal_brute_force(spark):
+def vector_rows():
+    """Groups of near vectors of length 16, others of length 5 and 1, and vectors that can't link."""
     random = np.random.default_rng(3)
     base = random.normal(size=(40, 16))
-    x = np.vstack([base, base[:20] + random.normal(0, 0.07, (20, 16)), base[:5], base[:10] * 3 + random.normal(0, 0.2, (10, 16)), np.tile(base[0], (6, 1)) + random.normal(0, 0.02, (6, 16))]).astype(np.float32)
+    x = np.vstack([base, base[:20] + random.normal(0, 0.07, (20, 16)), base[:5], base[:10] * 3 + random.normal(0, 0.2, (10, 16)), base[:3] * 2, np.tile(base[0], (30, 1)) + random.normal(0, 0.04, (30, 16))]).astype(np.float32)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    near = u @ u.T >= 0.95
-    np.fill_diagonal(near, False)
-    roots = union_find(range(len(x)), zip(*np.nonzero(near)))
-    odd = [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (1004, [1.0] * 3, 0), (1005, [], 0), (1006, [float("inf")] + [1.0] * 15, 0)]
-    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int")
+    short = random.normal(size=(30, 5))
+    rows += [(2000 + i, v, 0) for i, v in enumerate(np.vstack([short, short[:9] + random.normal(0, 0.05, (9, 5))]).astype(np.float32).tolist())]
+    rows += [(3000, [1.0], 0), (3001, [2.0], 0), (3002, [-2.0], 0), (3003, [1.0] * 3, 0), (3004, [1.0] * 3, 0)]
+    one = rows[0][1]
+    odd = [None, [0.0] * 16, [float("nan")] * 16, [None] * 16, [], [float("inf")] + [1.0] * 15, [*one, None], [None, *one], [None] + one[1:], [*one[:15], float("nan")]]
+    return rows, [(1000 + i, v, 0) for i, v in enumerate(odd)]
+
+
+@pytest.mark.parametrize(("cell", "chunk"), [(16_384, 16_384), (16, 16_384), (8, 5)])
+def test_vectors_equal_brute_force(spark, monkeypatch, cell, chunk):
+    monkeypatch.setattr(vectors, "CELL", cell)
+    monkeypatch.setattr(vectors, "CHUNK", chunk)
+    monkeypatch.setattr(vectors, "PAIRS", chunk)
+    rows, odd = vector_rows()
+
+    def cosine(a, b):
+        a, b = np.array(a, np.float32).astype(float), np.array(b, np.float32).astype(float)
+        return a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) if len(a) == len(b) else -1
+
+    near = {(i, j) for i, a, _ in rows for j, b, _ in rows if i != j and cosine(a, b) >= 0.95}
+    roots = union_find([i for i, _, _ in rows], near)
+    frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumnRenamed("label", "n")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.labelled(frame).collect()}
-    assert got == {i: (int(near[i].sum()), roots[i], roots[i] == i) for i in range(len(x))} | {i: (0, i, True) for i, _, _ in odd}
-    assert near.sum() > 60
+    assert got == {i: (sum(a == i for a, _ in near), roots[i], roots[i] == i) for i in roots} | {i: (0, i, True) for i, _, _ in odd}
+    assert len(near) > 900 and any(i > 2000 for i, _ in near)
+
+
+def test_vectors_without_ids_and_of_doubles(spark):
+    rows = [(None, [1.0, 0.0]), (7, [1.0, 0.01]), (7, [1.0, 0.01]), (None, [0.0, 1.0]), (None, None)]
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in vectors.labelled(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [("7", 2, 7, True), ("7", 2, 7, True), ("None", 0, None, True), ("None", 0, None, True), ("None", 2, 7, False)]
 
 
 def test_vectors_of_nothing(spark):
