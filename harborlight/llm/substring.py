@@ -1,81 +1,154 @@
-"""Repeated passages by hashing lines and the sentences in them.
+"""Repeated passages by hashing units of words that a text's own words delimit.
 
-A text is cut at line ends, after sentence ends and before words that begin with a capital, so that a passage pasted
-into a line still yields whole units. Units are normalised (lower case, letters and digits, single spaces) and hashed;
-digests are grouped over the corpus, and of each the occurrence first by (document id, place) is kept. Of other
-documents' later occurrences, runs of neighbouring units are joined; a run whose units of UNIT_WORDS or more have at
-least `least` words together is a passage to remove, with its offsets in the original text.
+A line or sentence is no good unit when a passage is pasted into another, so units are cut by content: of every WINDOW
+neighbouring boundaries between words, the one with the least hash of the words beside it is a cut, and a unit goes from
+each cut to the first one that is UNIT_WORDS or more behind. Words are runs of letters and digits in lower case, so line
+ends, punctuation and capitals play no part. Units overlap, and equal stretches have equal units whatever stands around
+them: of 51 equal words at least UNIT_WORDS are always found (with the defaults: the first common cut lies within 8
+words, and its unit ends before the last 8).
 
-Defined cases: null, empty and wordless texts have no units; ids order with null last; repeated rows with one id are the
-same occurrence and both kept; an occurrence in the document that has the first one is kept unless `within` is set; an
+Digests are grouped over the corpus, and of each the occurrence first by (document id, place) is kept. The later ones of
+a document, joined where they overlap or touch, are the passages to remove, with their offsets in the original text.
+
+Defined cases: null and wordless texts and those under UNIT_WORDS words have no units; ids order with null last, and rows
+without an id are documents of their own, in the order that they were read; rows with one id and different texts are
+different documents, ordered by the text's digest; repeated rows with one id are the same occurrence and both kept;
+a repeat in the document that has the first occurrence is removed too, unless it overlaps that or `within` is unset; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborlight.llm.common import written
 
-UNIT_WORDS, LEAST = 4, 24
-BREAK = regex.compile(r"\n+|(?<=[^.!?][.!?])\s+|(?<=[\p{Ll}\d,;:])\s+(?=\p{Lu}\p{Ll})")
-NOT_WORDS = regex.compile(r"[^\p{L}\p{N}]+")
+#: Boundaries of which one is a cut, and words of a unit at least.
+WINDOW, UNIT_WORDS = 9, 25
+#: Characters whose words are hashed at once.
+BLOCK = 1 << 20
+#: Odd factors of the hashes.
+A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+B_INVERSE = np.uint64(pow(int(B), -1, 1 << 64))
+SPACE = re.compile(r"\s")
+
+
+@cache
+def alphanumeric() -> np.ndarray:
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * A
+    return h ^ (h >> np.uint64(29))
 
-def units(text: str | None) -> Iterator[tuple[int, int, int, int]]:
-    """(digest, start, end, words) of each unit that has words."""
-    if not text:
-        return
+
+def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of a text."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose small form is longer stays as it is
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+    hashes, starts, ends = [], [], []
     at = 0
-    for end, after in [*((m.start(), m.end()) for m in BREAK.finditer(text)), (len(text), len(text))]:
-        words = NOT_WORDS.sub(" ", text[at:end].lower()).strip()
-        if words:
-            digest = xxhash.xxh64_intdigest(words.encode())
-            yield digest - (1 << 64) if digest >> 63 else digest, at, end, words.count(" ") + 1
-        at = after
+    while at < len(low):
+        until = len(low)
+        if until - at > BLOCK and (m := SPACE.search(low, at + BLOCK)):
+            until = m.start()
+        codes = np.frombuffer(low[at:until].encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.concatenate([[False], alphanumeric()[codes], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        if len(start):
+            place = np.arange(len(codes)) - np.repeat(np.concatenate([[0], start]), np.diff(np.concatenate([[0], start, [len(codes)]])))
+            each = mixed(codes.astype(np.uint64) * B + place.astype(np.uint64) * C) * inside[1:-1]
+            hashes.append(mixed(np.add.reduceat(each, start)))
+            starts.append(start + at)
+            ends.append(end + at)
+        at = until
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+
+
+def units(text: str | None) -> tuple[np.ndarray, ...]:
+    """(digest, first word, word behind the last, start, end) of each unit."""
+    h, start, end = words(text or "")
+    n = len(h)
+    if n < UNIT_WORDS:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    between = mixed(h[:-1] * A + h[1:] * C)
+    least = np.lib.stride_tricks.sliding_window_view(between, WINDOW).argmin(1)
+    cuts = np.unique(np.concatenate([[0], least + np.arange(len(least)), [n]]))
+    to = np.searchsorted(cuts, cuts + UNIT_WORDS)
+    first, behind = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
+    with np.errstate(over="ignore"):
+        powers = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, B))])
+        sums = np.concatenate([[np.uint64(0)], np.add.accumulate(h * powers[:-1])])
+        inverse = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, B_INVERSE))])
+        digest = mixed((sums[behind] - sums[first]) * inverse[first])
+    return digest.view(np.int64), first, behind, start[first], end[behind - 1]
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, start, end, words): a row a unit."""
+    """(doc_id, key, digest, w0, w1, start, end): a row a unit; key tells rows of one id apart by text, rows without id one by one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "digest", "start", "end", "words"]
+    names = ["doc_id", "key", "digest", "w0", "w1", "start", "end"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TaskContext.get().partitionId() << 33
+
+        def batch_of(ids: pa.Array, at: list, keys: list, found: list) -> pa.RecordBatch:
+            sizes = [len(f[0]) for f in found]
+            columns = [np.concatenate([f[k] for f in found]) for k in range(5)]
+            kinds = (pa.int64(), *[pa.int32()] * 4)
+            return pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(np.repeat(at, sizes))), pa.array(np.repeat(np.array(keys, np.int64), sizes)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names
+            )
+
         for batch in batches:
-            ids, found = [], []
-            for i, text in enumerate(batch.column(1)):
-                mine = list(units(text.as_py()))
-                ids += [i] * len(mine)
-                found += [(n, *u) for n, u in enumerate(mine)]
-                if len(found) > 50_000 or i == len(batch) - 1:
-                    columns = list(zip(*found)) or [()] * 5
-                    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
-                    ids, found = [], []
-
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n int, digest long, start int, end int, words int")
-
-
-def repeats(docs: DataFrame, least: int = LEAST, within: bool = False) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id): the passages to remove; first_doc_id has the kept occurrence of its first unit."""
+            ids, at, keys, found, size = batch.column(0), [], [], [], 0
+            for i, (key, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                count += 1
+                at.append(i)
+                keys.append(count if key is None else key)
+                found.append(units(text.as_py()))
+                size += len(found[-1][0])
+                if size > 100_000:
+                    yield batch_of(ids, at, keys, found)
+                    at, keys, found, size = [], [], [], 0
+            if found:
+                yield batch_of(ids, at, keys, found)
+
+    key = F.when(docs["doc_id"].isNotNull(), F.shiftrightunsigned(F.xxhash64(docs["text"]), 32))
+    return docs.select("doc_id", key, "text").mapInArrow(of, f"doc_id {kind}, key long, digest long, w0 int, w1 int, start int, end int")
+
+
+def repeats(docs: DataFrame, least: int = UNIT_WORDS, within: bool = True) -> DataFrame:
+    """(doc_id, start, end, n_words, first_doc_id): the passages to remove; first_doc_id has the kept occurrence of its first unit.
+
+    n_words counts the passage's words; passages of fewer than `least` are left.
+    """
     rows = written(unit_rows(docs))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "w0")
     twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(rank).alias("first")).where("c > 1")
-    twice = written(twice.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.n").alias("first_n")))
+    twice = written(twice.select("digest", "first.none", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.w0").alias("first_w0")))
     later = rows.join(twice, "digest")
-    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
-    later = later.where(~same | (F.lit(within) & (F.col("n") != F.col("first_n"))))
-    once = later.groupBy("doc_id", "n", "start", "end", "words").agg(F.min("first_doc_id").alias("first_doc_id"))
-    island = F.col("n") - F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "start", "end"))
-    long_words = F.sum(F.when(F.col("words") >= UNIT_WORDS, F.col("words")).otherwise(0))
-    runs = once.withColumn("run", island).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), long_words.alias("long"),
-        F.min_by("first_doc_id", "n").alias("first_doc_id"),
+    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("key") == F.col("first_key"))
+    behind = F.col("w0") >= F.col("first_w0") + F.col("w1") - F.col("w0")
+    later = later.where(~same | (behind & F.lit(within)))
+    once = later.groupBy("doc_id", "key", "w0", "w1", "start", "end").agg(F.min("first_doc_id").alias("first_doc_id"))
+    order = Window.partitionBy("doc_id", "key").orderBy("w0")
+    reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("w0") <= F.col("reached"), 0).otherwise(1)
+    runs = once.withColumn("reached", reached).withColumn("run", F.sum(begins).over(order)).groupBy("doc_id", "key", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min_by("first_doc_id", "w0").alias("first_doc_id"),
     )
-    return runs.where(F.col("long") >= least).select("doc_id", "start", "end", "n_words", "first_doc_id")
+    return runs.where(F.col("n_words") >= least).select("doc_id", "start", "end", "n_words", "first_doc_id")

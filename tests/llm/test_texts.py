@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from html.parser import HTMLParser
 
@@ -95,19 +96,68 @@ def test_repeats(spark):
     random = np.random.default_rng(6)
     passage = ". ".join(prose(random, 9).capitalize() for _ in range(7)) + "."
     rows = [(k, ". ".join(prose(random, 8).capitalize() for _ in range(5)) + ".") for k in range(10)]
-    rows += [(20, f"{prose(random, 12)} {passage} {prose(random, 6)}"), (21, f"Start. {passage}\nEnd"), (22, passage + " " + passage), (23, None), (24, ""), (25, "Short line.\nShort line."), (26, "Short line."), (21, f"Start. {passage}\nEnd")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "'x' AS digest")
+    rows += [(20, f"{prose(random, 12)} {passage} {prose(random, 6)}"), (21, f"Start. {passage}\nEnd"), (22, passage.upper() + "\n" + passage.replace(" ", "\n")), (23, None), (24, ""), (25, "Short line.\nShort line."), (26, "Short line."), (21, f"Start. {passage}\nEnd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "'x' AS digest", "2 AS key")
     got = substring.repeats(docs).collect()
     assert {r.doc_id for r in got} == {21, 22} and {r.first_doc_id for r in got} == {20}
+    assert len([r for r in got if r.doc_id == 21]) == 1 and max(r.n_words for r in got if r.doc_id == 22) > 100
     text = dict(rows)
     for r in got:
-        assert len(set(text[r.doc_id][r.start : r.end].split()) & set(passage.split())) > 30
+        assert len(set(text[r.doc_id][r.start : r.end].lower().split()) & set(passage.lower().split())) > 30
     assert substring.repeats(docs.limit(0)).count() == 0
 
 
-def test_units_keep_offsets():
-    text = "One two. Three\nfour five Six seven!\n\n"
-    assert [text[a:b] for _, a, b, _ in substring.units(text)] == ["One two.", "Three", "four five", "Six seven!"]
+def test_repeats_of_rows_without_id_with_one_id_and_within_a_text(spark):
+    random = np.random.default_rng(16)
+    passage, other = prose(random, 40), prose(random, 60)
+    rows = lambda pairs: spark.createDataFrame(pairs, "doc_id long, text string")
+    assert [(r.doc_id, r.n_words > 24, r.first_doc_id) for r in substring.repeats(rows([(None, passage)] * 3)).collect()] == [(None, True, None)] * 2
+    assert [(r.doc_id, r.first_doc_id) for r in substring.repeats(rows([(None, passage), (5, passage)])).collect()] == [(None, 5)]
+    twice = rows([(5, passage), (5, f"{other} {passage} {other}")])
+    found = substring.repeats(twice).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in found} == {(5, 5)} and 2 >= len(found) >= 1
+    assert substring.repeats(rows([(5, f"{other} x {other}")])).count() == 1
+    assert substring.repeats(rows([(5, f"{other} x {other}")]), within=False).count() == 0
+    (one,) = substring.repeats(rows([(5, "tick " * 200)])).collect()  # what overlaps the first occurrence stays
+    assert one.start >= 25 * 5 and one.end == 200 * 5 - 1
+
+
+def test_repeats_equal_brute_force(spark):
+    random = np.random.default_rng(17)
+    passages = [prose(random, n) for n in (26, 51, 51, 60, 120)]
+    rows = []
+    for k in range(60):
+        parts = [prose(random, random.integers(0, 40)) for _ in range(3)]
+        for p in random.choice(passages, random.integers(0, 3)):
+            words = p.split()
+            parts.insert(random.integers(0, 3), random.choice([" ", "\n", ". "]).join(w.capitalize() if random.random() < 0.2 else w for w in words))
+        rows.append((k, random.choice([" ", "\n", " - "]).join(parts)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.repeats(docs).collect()
+    places = {k: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)] for k, t in rows}
+    many = {}
+    for k, found in places.items():
+        for n in (25, 51):
+            for i in range(len(found) - n + 1):
+                many.setdefault((n, *(w for _, _, w in found[i : i + n])), []).append((k, i))
+    reported = {(r.doc_id, i) for r in got for i, (a, b, _) in enumerate(places[r.doc_id]) if r.start <= a and b <= r.end}
+    repeated = {(k, i + j) for w, at in many.items() if w[0] == 25 and len(at) > 1 for k, i in at for j in range(25)}
+    assert reported <= repeated
+    wanted = 0
+    for w, at in many.items():
+        for k, i in at[1:] if w[0] == 51 else ():
+            if k != at[0][0] or i >= at[0][1] + 51:
+                wanted += 1
+                assert sum((k, i + j) in reported for j in range(51)) >= 25
+    assert wanted > 100
+    assert all(r.n_words == sum(r.start <= a and b <= r.end for a, b, _ in places[r.doc_id]) for r in got)
+
+
+@pytest.mark.parametrize("text", ["One two_three\nfour İx five. Ünï 12\u0301 ß\U00010400", "a" * 50, "", " ?\n", "x y " * 700_000])
+def test_words_keep_offsets(text):
+    _, start, end = substring.words(text)
+    low = text.lower() if len(text.lower()) == len(text) else text
+    assert list(zip(start.tolist(), end.tolist())) == [m.span() for m in re.finditer(r"[^\W_]+", low)]
 
 
 # languages
