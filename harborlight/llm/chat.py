@@ -25,6 +25,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -241,6 +242,11 @@ def folded(nodes: list[tuple]) -> list[tuple]:
     return out
 
 
+def of_role(node: tuple) -> bool:
+    """Whether a role goes into the value, through filters or joined to something."""
+    return node[0] == "field" and node[2] == "role" or any(of_role(x) for x in node[1:] if isinstance(x, tuple))
+
+
 def evaluator(node: tuple) -> Callable[[Env], object]:
     if node[0] == "const":
         return lambda env, value=node[1]: value
@@ -251,7 +257,7 @@ def evaluator(node: tuple) -> Callable[[Env], object]:
         return lambda env: not inner(env)
     if node[0] == "filter":
         inner, apply = evaluator(node[2]), FILTERS[node[1]]
-        if node[1] == "escape" and node[2][0] == "field" and node[2][2] == "role":
+        if node[1] == "escape" and of_role(node[2]):
             apply = escape_role
         return lambda env: apply(str(inner(env)))
     if node[0] in ("and", "or"):
@@ -321,18 +327,22 @@ def by_conversation(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[t
     return groupby(rows, key=lambda r: r[0])
 
 
+def kinds_of(df: DataFrame) -> tuple[str, pa.DataType]:
+    kind = df.schema["conv_id"].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
 def formatted(conversations: DataFrame, template: str = CHATML) -> DataFrame:
     """(conv_id, part, piece, spans): the conversation's text is its pieces in the order of part.
 
     spans lists [start, end) of the loss mask in code points of the whole conversation; a piece holds a turn.
-    Rows of a partition come in order, and a conversation lies in one partition.
     """
     compiled(template)  # errors show on the driver
-    kind = conversations.schema["conv_id"].dataType.simpleString()
+    kind, arrow = kinds_of(conversations)
     rows = conversations.select("conv_id", "turn", "role", "text")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     schema = f"conv_id {kind}, part int, piece string, spans array<struct<start:long,end:long>>"
-    layout = pa.schema([("conv_id", pa.int64() if kind == "bigint" else pa.string()), ("part", pa.int32()), ("piece", pa.string()),
+    layout = pa.schema([("conv_id", arrow), ("part", pa.int32()), ("piece", pa.string()),
                         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,21 +372,27 @@ def formatted(conversations: DataFrame, template: str = CHATML) -> DataFrame:
 TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """Of formatted()'s rows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the text and spans."""
-    kind = pieces.schema["conv_id"].dataType.simpleString()
+def read_back(pieces: DataFrame, in_order: bool = False) -> DataFrame:
+    """Of formatted()'s rows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from the text and spans.
+
+    Rows may come in any order, as from a table that they were written to. With in_order they aren't shuffled again, which
+    suits what formatted() returned itself; a part in the wrong place is an error then.
+    """
+    kind, arrow = kinds_of(pieces)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows))
-        ids = pa.array(columns[0], pa.int64() if kind == "bigint" else pa.string())
+        ids = pa.array(columns[0], arrow)
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns[1:])], names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for conv, parts in by_conversation(batches, 4):
             turns, loss, n, chars, at, rest = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
-            for _, _, piece, spans in parts:
+            for place, (_, part, piece, spans) in enumerate(parts):
+                if part != place:
+                    raise ValueError(f"part {part} of a conversation in place {place}")
                 for s in spans:
                     masked = unescape(piece[s["start"] - at : s["end"] - at])
                     chars += len(masked)
@@ -399,4 +415,5 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if rows:
             yield as_batch(rows)
 
-    return pieces.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    pieces = pieces.select("conv_id", "part", "piece", "spans")
+    return (pieces if in_order else pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part")).mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

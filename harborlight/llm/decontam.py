@@ -8,11 +8,16 @@ with the hashes of all positions of the benchmark. Around a hit the text and the
 against token. They overlap if at least 0.8 of all tokens side by side are equal, or of a stretch of them that an equal
 token begins and another ends, and if those are `least` tokens or as many as a shorter item has.
 
-The seeds of the benchmark are broadcast when a count shows them to be few; then only the tokens beside an item leave the
-stage that reads a text. Otherwise positions and seeds are shuffled and hits are joined back to the texts.
+Items of PHRASE to SHORTEST - 1 tokens have seeds of all their tokens, so they match where all stand in a row; for shorter
+ones, which stand in many a text by chance, the whole text must be the item. Masks for such lengths are used only if there
+are such items.
 
-Defined cases: null and empty texts and items match nothing, nor do items of fewer than SHORTEST tokens; rows without id report
-a null doc_id; repeated rows report once; extra columns are ignored; empty tables give an empty result.
+The seeds of the benchmark are broadcast when a count shows them to be at most SEEDS, some thousands of items; then only the
+tokens beside an item leave the stage that reads a text. Otherwise positions and seeds are shuffled and hits are joined
+back to the texts. Either way the diagonals of a text and an item are made distinct before they are compared.
+
+Defined cases: null and empty texts and items match nothing; rows without id report a null doc_id; repeated rows report
+once; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import BROADCAST_ROWS, with_small, written
+from harborlight.llm.common import with_small, written
 
 #: The masks (0 is an ignored token), equal tokens in so many, and tokens of an overlap and of an item.
 MASKS = ("110111", "11010011", "11111")
 SAME, OF = 4, 5
 LEAST, SHORTEST = 12, 9
-#: Items of this number at most are broadcast for the comparison, each as its hashes.
-ITEMS = 50_000
+#: Shorter items from this length on are phrases; below it only a whole text can match.
+PHRASE = 5
+#: Items of this number at most are broadcast for the comparison, each as its hashes; and seeds, of four numbers each.
+ITEMS, SEEDS = 50_000, 2_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -42,7 +49,12 @@ def shifted(a: Column, b: Column, by: int, *salt: Column) -> Column:
     return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.xxhash64(*salt, x, y))
 
 
-def positions(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
+def salted(masks: tuple[str, ...], lengths: list[int]) -> list[tuple[int, str]]:
+    """Masks with numbers that tell them apart: those given, and a full one for each length of a phrase."""
+    return [*enumerate(masks), *((-m, "1" * m) for m in lengths)]
+
+
+def positions(df: DataFrame, keep: list[str], masks: list[tuple[int, str]]) -> DataFrame:
     """keep, seed and at (its first token) of every position of the texts' hashes _h under every mask."""
     three = df.select("*", shifted(F.col("_h"), F.col("_h"), 1).alias("_g2")).select("*", shifted(F.col("_g2"), F.col("_h"), 2).alias("_g3"))
     runs = {"1": F.col("_h"), "11": F.col("_g2"), "111": F.col("_g3")}
@@ -56,11 +68,11 @@ def positions(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFra
 
     # outer: for the inner form Spark would infer a filter on the array and push all of it below the hashes
     none = F.array().cast("array<bigint>")
-    listed = three.select(*keep, F.size("_h").alias("_count"), F.concat(*(F.coalesce(under(n, m), none) for n, m in enumerate(masks))).alias("_seeds"))
+    listed = three.select(*keep, F.size("_h").alias("_count"), F.concat(*(F.coalesce(under(n, m), none) for n, m in masks)).alias("_seeds"))
     return listed.select(*keep, "_count", F.posexplode_outer("_seeds").alias("_pos", "_seed")).withColumn("_at", F.pmod("_pos", "_count"))
 
 
-def hits(texts: DataFrame, marks: DataFrame, masks: tuple[str, ...], broadcast: bool) -> DataFrame:
+def hits(texts: DataFrame, marks: DataFrame, masks: list[tuple[int, str]], broadcast: bool) -> DataFrame:
     """Rows of texts (keys, _id, _h) with _item, _m (its length) and _d (where the item would start in the text)."""
     keys = ["_k1", "_k2"]
     start = (F.col("_at") - F.col("_j")).alias("_d")
@@ -101,16 +113,26 @@ def longest(at: Column) -> Column:
     return F.aggregate(F.array_repeat(F.lit(0), 2 * F.size(at)), held, step, best)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, broadcast_rows: int = SEEDS) -> DataFrame:
     """(_k1, _k2, doc_id, item_id, n_tokens, n_equal, first_token, last_token): verified stretches of texts with items."""
     items = benchmark.select(F.col("item_id").alias("_item_id"), F.xxhash64("item_id", "text").alias("_item"), token_hashes(F.col("text")).alias("_b"))
-    items = written(items.where(F.size("_b") >= SHORTEST).dropDuplicates(["_item"]))
-    marks = positions(items.withColumn("_h", F.col("_b")).withColumn("_m", F.size("_b")), ["_item", "_m"], masks)
-    marks = written(marks.select("_seed", "_item", "_m", F.col("_at").alias("_j")))
+    items = written(items.where(F.size("_b") > 0).dropDuplicates(["_item"]))
+    sized = items.withColumn("_h", F.col("_b")).withColumn("_m", F.size("_b"))
+    lengths = sorted(r[0] for r in sized.where(F.col("_m") < SHORTEST).select("_m").distinct().collect())  # few, by their bound
+    phrases = [m for m in lengths if m >= PHRASE]
+    at = ["_seed", "_item", "_m", F.col("_at").alias("_j")]
+    marks = positions(sized.where(F.col("_m") >= SHORTEST), ["_item", "_m"], salted(masks, [])).where("_seed is not null").select(*at)
+    for m in phrases:
+        marks = marks.unionByName(positions(sized.where(F.col("_m") == m), ["_item", "_m"], salted((), [m])).select(*at))
+    marks = written(marks)
     texts = docs.select(
         F.xxhash64("doc_id").alias("_k1"), F.xxhash64("text").alias("_k2"), F.col("doc_id").alias("_id"), token_hashes(docs["text"]).alias("_h")
     )
-    found = hits(texts, marks, masks, marks.count() <= broadcast_rows)
+    found = hits(texts, marks, salted(masks, phrases), marks.count() <= broadcast_rows)
+    if lengths and lengths[0] < PHRASE:
+        short = sized.where(F.col("_m") < PHRASE).select("_item", "_m", F.xxhash64("_h").alias("_seed"))
+        alone = texts.where(F.size("_h").between(1, PHRASE - 1)).withColumn("_seed", F.xxhash64("_h")).join(short, "_seed")
+        found = found.unionByName(alone.where(F.size("_h") == F.col("_m")).select("_k1", "_k2", "_id", "_h", "_item", "_m", F.lit(0).alias("_d")))
     ahead = F.greatest(F.col("_d"), F.lit(0))
     length = F.least(F.col("_m") + F.least(F.col("_d"), F.lit(0)), F.size("_h") - ahead)
     found = found.select("_k1", "_k2", "_id", "_item", "_m", "_d", F.slice("_h", ahead + 1, length).alias("_side"))

@@ -45,16 +45,16 @@ def held_out(doc_id: Column) -> Column:
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """From rows (doc_id, text, lang): a dictionary a language, of at most TEXTS excerpts and DICTIONARY bytes."""
-    order = Window.partitionBy("lang").orderBy("_digest", "text")
-    rows = (
-        labelled.where("lang is not null and text is not null and length(trim(text)) > 0")
-        .select("lang", F.substring("text", 1, EXCERPT).alias("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("_digest"))
-    )
-    # a row's least digests per partition first, so that no task holds a whole language
-    few = rows.withColumn("_salt", F.pmod(F.shiftright("_digest", 8), F.lit(64)))
-    salted = Window.partitionBy("lang", "_salt").orderBy("_digest", "text")
-    few = few.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= TEXTS // 8).drop("_n")
-    picked = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= TEXTS).select("lang", "text").collect()
+    kept = labelled.where("lang is not null and text is not null and length(trim(text)) > 0")
+    kept = kept.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("_digest"), F.xxhash64("text").alias("_text"))
+    # ids without texts, and the least of 64 salts first, so that no task holds a whole language
+    ids = kept.select("lang", "_digest", "_text").withColumn("_salt", F.pmod(F.shiftright("_digest", 8), F.lit(64)))
+    salted = Window.partitionBy("lang", "_salt").orderBy("_digest", "_text")
+    few = ids.withColumn("_n", F.row_number().over(salted)).where(F.col("_n") <= TEXTS // 8).drop("_n")
+    least = Window.partitionBy("lang").orderBy("_digest", "_text")
+    few = few.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= TEXTS).select("lang", "_digest", "_text", "_n").distinct()
+    rows = kept.withColumn("text", F.substring("text", 1, EXCERPT)).join(F.broadcast(few), ["lang", "_digest", "_text"])  # TEXTS rows a language
+    picked = rows.dropDuplicates(["lang", "_n"]).orderBy("lang", "_n").select("lang", "text").collect()
     texts: dict[str, list[str]] = {}
     for lang, text in picked:
         texts.setdefault(lang, []).append(text)

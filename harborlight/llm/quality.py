@@ -95,12 +95,14 @@ def near_sums(texts: DataFrame, words: list[str]) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 found = tokens(text)
                 for start in range(0, len(found), 8192):
-                    part = found[start : start + 8192]
+                    ahead = min(AROUND, start)  # parts overlap by what is around their words
+                    part = found[start - ahead : start + 8192 + AROUND]
                     vectors = index[[bucket(w) for w in part]]
                     total = np.vstack([np.zeros((1, DIMENSIONS), np.float32), np.cumsum(vectors, axis=0)])
                     i = np.arange(len(part))
                     around = total[np.minimum(i + AROUND + 1, len(part))] - total[np.maximum(i - AROUND, 0)] - vectors
                     at = np.array([place.get(w, -1) for w in part])
+                    at[:ahead] = at[ahead + 8192 :] = -1
                     order = np.argsort(at[at >= 0], kind="stable")
                     which, first = np.unique(at[at >= 0][order], return_index=True)
                     if len(which):

@@ -1,11 +1,11 @@
 """Sharding by histogram sort: shards of near equal bytes, in key order, after one exchange.
 
-A row's key is 40 bits of its text's hash above 24 bits of its id's, so equal texts stand together. The splitters
-between shards start as the whole key range; each round counts, over all partitions, the exact bytes below 15 probes
-in every open range and narrows it, until each splitter meets its tolerance. Probes lie between texts as long as a
-range holds more than one, so a group of equal texts is cut only where it alone is larger than the tolerance.
-Shards consist of pieces, which are split in the same way; slots are the piece's start plus the rank in the piece, so
-no task sorts a whole shard.
+A row's key is 40 bits of its text's hash above 24 bits of its id's, so equal texts stand together. A bounded sample of
+keys gives each splitter between shards a first range; each round counts, over all partitions, the exact bytes below
+PROBES probes in every open range and narrows it (or widens it, where the sample was wrong), until each splitter meets
+its tolerance or its range holds no second row. Probes lie between texts as long as a range holds more than one, so a
+group of equal texts is cut only where it alone is larger than the tolerance. Shards consist of pieces of about PIECE bytes,
+which are split in the same way; slots are the piece's start plus the rank in the piece, so no task sorts a whole shard.
 
 Defined cases: a null text has 16 bytes and a null checksum; a null id is a value like any other; rows with equal text
 and id stay together; an empty table gives an empty result.
@@ -28,6 +28,8 @@ LAW = "bytes"
 OVERHEAD = 16
 LOW = 24
 PROBES = 15
+#: Keys sampled to begin with, for a splitter and at most in all; bytes of a piece and pieces at most, for the driver's counts.
+SAMPLE, SAMPLED, PIECE, PIECES = 32, 500_000, 1 << 28, 100_000
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -60,13 +62,29 @@ def below(keys: DataFrame, probes: Sequence[int]) -> list[tuple[int, int]]:
     return list(zip(np.cumsum(size).tolist(), np.cumsum(n).tolist()))
 
 
-def splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float) -> list[int]:
+def ranges(keys: DataFrame, goal: list[float], total: int, rows: int) -> tuple[list[int], list[int]]:
+    """A first range for each splitter, by a sample of at most SAMPLED keys; only the number of rounds depends on it."""
+    want = min(SAMPLED, SAMPLE * (len(goal) + 1))
+    sample = keys if rows <= want else keys.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(rows)) < want)
+    once = sample.groupBy("key").agg(F.sum("size").alias("size"))  # a key that many rows have is one row here
+    taken = sorted(once.limit(2 * SAMPLED).collect())
+    if not taken:
+        return [LEAST] * len(goal), [MOST] * len(goal)
+    key, size = np.array([k for k, _ in taken], dtype=np.int64), np.cumsum([s for _, s in taken], dtype=np.float64)
+    slack = 3 * np.sqrt(len(key)) / 2  # three deviations of a sampled rank
+    at = np.searchsorted(size, np.array(goal) * size[-1] / max(1, total))
+    bound = lambda i, other: key[np.clip(i, 0, len(key) - 1).astype(int)] if (0 <= i < len(key)) else other
+    return [int(bound(i - slack, LEAST)) for i in at], [int(bound(i + slack, MOST)) for i in at]
+
+
+def splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float, total: int, rows: int) -> list[int]:
     """shards * pieces - 1 keys, in order; every pieces-th one parts two shards."""
-    total = below(keys, [MOST])[-1][0]
     count = shards * pieces
     goal = [total * i / count for i in range(1, count)]
     allowed = [total / shards * tolerance * (1 if i % pieces == 0 else 20 / pieces) for i in range(1, count)]
-    low, high, best = [LEAST] * len(goal), [MOST] * len(goal), [(float("inf"), LEAST)] * len(goal)
+    low, high = ranges(keys, goal, total, rows)
+    n_low, n_high, best = [0] * len(goal), [rows] * len(goal), [(float("inf"), LEAST)] * len(goal)
+    checked = [False] * len(goal)  # whether the range is known to hold its splitter
     still = list(range(len(goal)))
     while still:
         asked: dict[int, list[int]] = {}
@@ -75,28 +93,35 @@ def splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float) -> li
             inside = {low[i] + span * j // (PROBES + 1) for j in range(1, PROBES + 1)}
             if span > 2 * step:
                 inside = {p >> LOW << LOW for p in inside}
-            asked[i] = sorted(p for p in inside if low[i] < p < high[i])
+            asked[i] = sorted(p for p in inside if low[i] < p < high[i]) + [low[i], high[i]] * (not checked[i])
         probes = sorted({p for x in asked.values() for p in x})
-        under = dict(zip(probes, (b for b, _ in below(keys, probes)))) if probes else {}
+        under = dict(zip(probes, below(keys, probes))) if probes else {}
         for i in still:
+            if not checked[i]:  # the sample's range may lie beside the splitter
+                low[i], n_low[i] = (low[i], under[low[i]][1]) if under[low[i]][0] <= goal[i] else (LEAST, 0)
+                high[i], n_high[i] = (high[i], under[high[i]][1]) if under[high[i]][0] > goal[i] else (MOST, rows)
+                checked[i] = True
             for p in asked[i]:
-                best[i] = min(best[i], (abs(under[p] - goal[i]), p))
-                if under[p] <= goal[i]:
-                    low[i] = max(low[i], p)
-                else:
-                    high[i] = min(high[i], p)
-        still = [i for i in still if best[i][0] > allowed[i] and asked[i]]
+                size, n = under[p]
+                best[i] = min(best[i], (abs(size - goal[i]), p))
+                if size <= goal[i] and p >= low[i]:
+                    low[i], n_low[i] = p, n
+                elif size > goal[i] and p <= high[i]:
+                    high[i], n_high[i] = p, n
+        still = [i for i in still if best[i][0] > allowed[i] and asked[i] and n_high[i] - n_low[i] > 1]
     found = [p for _, p in best]
     return np.maximum.accumulate(np.array(found, dtype=np.int64)).tolist() if found else []
 
 
 def sharded(
-    docs: DataFrame, shards: int = 40, columns: Sequence[str] | None = None, pieces: int = 8, tolerance: float = 0.005
+    docs: DataFrame, shards: int = 40, columns: Sequence[str] | None = None, pieces: int | None = None, tolerance: float = 0.005
 ) -> DataFrame:
-    """Every row with size, text_crc32, law, shard (from 0) and slot (gapless in the shard)."""
+    """Every row with size, text_crc32, law, shard (from 0) and slot (gapless in the shard). pieces: of a shard; None: by bytes."""
     columns = list(columns or docs.columns)
     keys = written(docs.select(key_of(docs["text"], docs["doc_id"]).alias("key"), size_of(docs["text"]).alias("size")))
-    edges = splitters(keys, shards, pieces, tolerance)
+    total, rows = below(keys, [MOST])[-1]
+    pieces = pieces or max(1, min(PIECES // shards, -(-total // (shards * PIECE))))
+    edges = splitters(keys, shards, pieces, tolerance, total, rows)
     before = [0, *(n for _, n in below(keys, edges))][: shards * pieces] if edges else [0] * shards * pieces
     # below() has a count for each probe and the total; the start of piece i is the count below splitter i - 1
     first = [before[i // pieces * pieces] for i in range(shards * pieces)]

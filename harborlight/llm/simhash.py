@@ -7,9 +7,10 @@ to the index of its own code word and, where it lies on the rim of its ball, to
 segments that differ in one bit share the own index of either one. A fingerprint is stored under block, segment and
 own index (8 keys) and asked for under every index (8 to 48 keys); the join of the two is verified by counting bits.
 
-Equal fingerprints are one node. In each bucket first only the least fingerprint is compared; buckets of one component
-need no more, and the second join skips pairs that already are in one, so that a dense group costs stars and not all
-its pairs, and no link between groups is lost.
+Equal fingerprints are one node. In each bucket first only the least fingerprint is compared. Buckets of one component
+need no more and are dropped. In the others those of the bucket's commonest component meet only the rest, and the rest
+meets all, so a dense group costs stars and not its pairs, and no link between groups is lost. What the second join finds
+links whole components, which are then joined as nodes.
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; a component without any id
 has a null component_id, and of its rows one is kept; repeated rows share a fingerprint, and of them one is kept; an
@@ -132,31 +133,34 @@ def near(a: Column, b: Column) -> Column:
 
 
 def links(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of distinct fingerprints: (edges, components), which together lose no link between different components."""
+    """Of distinct fingerprints: (parts, edges), the components (node, root) of stars and the links (a, b) between roots."""
     keys = written(keyed(fps))
     own = keys.where("own").select("key", F.col("fp").alias("a"))
     asked = keys.select("key", F.col("fp").alias("b"))
     first = own.groupBy("key").agg(F.min("a").alias("a"))
     stars = asked.join(first, (asked["key"] == first["key"]) & (F.col("a") != F.col("b")) & near(F.col("a"), F.col("b")))
-    stars = written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    parts = written(components(stars))
-    root = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    mine = root(own, "a").select("key", "a", F.coalesce("a_root", "a").alias("a_root"))
-    asking = root(asked, "b").select("key", "b", F.coalesce("b_root", "b").alias("b_root"))
-    rest = mine.join(asking, (mine["key"] == asking["key"]) & (F.col("a_root") != F.col("b_root")) & near(F.col("a"), F.col("b")))
-    return stars.unionByName(written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())), parts
+    parts = written(components(stars.select("a", "b")))
+    roots = keys.join(parts.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "fp", "own", F.coalesce("root", "fp").alias("root"))
+    counted = roots.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    mixed = written(roots.join(open_.select("key", "most"), "key"))  # the buckets of several components
+    mine = mixed.where("own").select(F.col("key").alias("k"), F.col("fp").alias("a"), F.col("root").alias("a_root"), (F.col("root") == F.col("most")).alias("a_most"))
+    asking = mixed.select("key", F.col("fp").alias("b"), F.col("root").alias("b_root"), (F.col("root") == F.col("most")).alias("b_most"))
+    linked = (F.col("k") == F.col("key")) & (F.col("a_root") != F.col("b_root")) & near(F.col("a"), F.col("b"))
+    rest = mine.where("not a_most").join(asking, linked).unionByName(mine.where("a_most").join(asking.where("not b_most"), linked))
+    return parts, written(rest.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, fp, group, component_id): a row a document; group is the least fingerprint reachable."""
     rows = written(fingerprints(docs))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges, _ = links(nodes)
-    parts = written(components(edges))
-    roots = parts.join(nodes, parts["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = parts.join(roots, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    named = nodes.join(of_node, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(written(named), "fp").select("doc_id", "digest", "fp", "group", "component_id")
+    parts, edges = links(nodes)
+    whole = components(edges).select(F.col("node").alias("root"), F.col("root").alias("group"))
+    of_node = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(whole, "root", "left")
+    of_node = written(of_node.select("fp", "least", F.coalesce("group", "root").alias("group")))
+    named = of_node.join(of_node.groupBy("group").agg(F.min("least").alias("component_id")), "group")
+    return rows.join(written(named.select("fp", "group", "component_id")), "fp").select("doc_id", "digest", "fp", "group", "component_id")
 
 
 def labelled(docs: DataFrame) -> DataFrame:

@@ -89,6 +89,16 @@ def test_random_substitutions(spark, rows):
     assert all(r.n_equal * 5 >= r.n_tokens * 4 and r.last_token - r.first_token + 1 == r.n_tokens for r in got)
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_short_items(spark, rows):
+    random = np.random.default_rng(15)
+    items = [(m, prose(random, m)) for m in range(1, 9)]
+    docs = [(10 * m + k, text) for m, item in items for k, text in enumerate([item.upper() + ".", f"{prose(random, 4)}, {item} {prose(random, 3)}", " ".join(item.split()[:-1] + ["x"])])]
+    frame = lambda pairs, n: spark.createDataFrame(pairs, f"{n} long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.first_token) for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id"), broadcast_rows=rows).collect()}
+    assert got == {(10 * m, m): (m, 0) for m, _ in items} | {(10 * m + 1, m): (m, 4) for m in range(5, 9)}
+
+
 # repeated passages
 
 
@@ -341,6 +351,24 @@ def run(template, *turns):
     return "".join(t for t, _ in chat.compiled(template)({"role": r, "text": x} for r, x in turns) if t)
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_read_back_takes_rows_in_any_order(spark, kind):
+    rows = [(c, t, r, f"{r} {t} says <|im_end|>") for c in range(4) for t, r in enumerate(["user", "assistant"] * 5)]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame = given.withColumn("conv_id", given["conv_id"].cast(kind))
+    pieces = chat.formatted(frame)
+    assert pieces.schema["conv_id"].dataType == frame.schema["conv_id"].dataType
+    mixed = pieces.orderBy("piece").repartition(5)
+    told = sorted(map(tuple, chat.read_back(pieces, in_order=True).collect()))
+    assert sorted(map(tuple, chat.read_back(mixed).collect())) == told and len(told) == 4
+    with pytest.raises(Exception, match="of a conversation in place"):
+        chat.read_back(pieces.coalesce(1).sortWithinPartitions("conv_id", pieces["part"].desc()), in_order=True).collect()
+
+
+def test_escapes_of_roles():
+    assert run("{% for m in messages %}{{ m.role | trim | escape }};{{ 'a' + m.role | escape }}{% endfor %}", (" u\nv ", "")) == "u\\nv;a u\nv ".replace("a u\nv", "a u\\nv")
+
+
 def test_templates():
     t = "{{ 'A' + 'b' | upper }}{% for m in messages %}{% if loop.first and m.role != 'user' %}!{% elif loop.last %}.{% else %},{% endif %}{{ loop.index }}{{ m.text | trim }}{% endfor %}"
     assert run(t, ("system", " x "), ("user", "y"), ("user", "z")) == "AB!1x,2y.3z"
