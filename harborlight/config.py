@@ -14,4 +14,10 @@ BIKE_KMH, WALK_KMH, MIN_PAIR_TRIPS, MAX_TRIP_MIN = 12.0, 4.8, 20, 90.0
 PICKUP_M, PICKUPS = 600.0, 4
 EARTH_M = 6_371_000.0
 EPS = 1e-6
-HOLIDAYS = ("2024-01-01", "2024-01-15")
+#: Minutes that live features look back.
+LOOKBACK_MIN = 69.5
+HOLIDAYS = (
+    "2024-01-01", "2024-02-05", "2024-03-18", "2024-03-28", "2024-03-29", "2024-05-01", "2024-09-16", "2024-10-01", "2024-11-18", "2024-12-25",
+    "2025-01-01", "2025-02-03", "2025-03-17", "2025-04-17", "2025-04-18", "2025-05-01", "2025-09-16", "2025-11-17", "2025-12-25",
+    "2026-01-01", "2026-02-02", "2026-03-16", "2026-04-02", "2026-04-03", "2026-05-01", "2026-09-16", "2026-11-16", "2026-12-25",
+)

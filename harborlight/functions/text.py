@@ -35,20 +35,16 @@ def street_label(kind: Column, name: Column) -> Column:
 
 
 def month_of_name(c: Column) -> Column:
-    """YYYY-MM from a file name with a numeric month or a Spanish month's name, '' if there is none."""
-    number = F.regexp_extract(c, r"((?:19|20)\d{2})[-_]?(0[1-9]|1[0-2])(?!\d)", 0)
-    numeric = F.concat(F.substring(number, 1, 4), F.lit("-"), F.substring(number, -2, 2))
-    named = F.regexp_extract(F.lower(c), f"({'|'.join(MONTHS)})", 1)
-    year = F.regexp_extract(c, r"((?:19|20)\d{2})", 1)
-    place = F.array_position(F.array(*map(F.lit, MONTHS)), named)
-    worded = F.concat(year, F.lit("-"), F.lpad(place.cast("string"), 2, "0"))
-    return F.when(number != "", numeric).when((named != "") & (year != ""), worded).otherwise("")
-
-
-def starts_words(text: Column, query: Column) -> Column:
-    """Every token of the query starts some word of the text."""
-    words, tokens = F.split(plain(text), " "), F.filter(F.split(plain(query), " "), lambda t: t != "")
-    return F.forall(tokens, lambda t: F.exists(words, lambda w: F.startswith(w, t)))
+    """YYYY-MM from a file name: a year with a numeric month, else with the Spanish month's name behind an underscore; else null."""
+    number = lambda k: F.regexp_extract(c, r"(20\d{2})[-_](0[1-9]|1[0-2])(?!\d)", k)
+    word = lambda k: F.regexp_extract(F.lower(c), rf"(20\d{{2}})_({'|'.join(MONTHS)})", k)
+    months = F.create_map(*(F.lit(x) for n, m in enumerate(MONTHS, 1) for x in (m, f"{n:02d}")))
+    return F.when(number(0) != "", F.concat_ws("-", number(1), number(2))).when(word(0) != "", F.concat_ws("-", word(1), F.try_element_at(months, word(2))))
+
+
+def words_of(text: Column) -> Column:
+    """The different words of a text, folded."""
+    return F.array_distinct(F.filter(F.split(plain(text), " "), lambda t: t != ""))
 
 
 def code_parts(code: Column) -> Column:

@@ -29,20 +29,26 @@ def places(readings: DataFrame) -> DataFrame:
     return mean.withColumn("station", F.row_number().over(Window.orderBy("sid")).cast("long") - 1)
 
 
-def neighbours(stations: DataFrame, metres: float = NEIGHBOUR_M) -> DataFrame:
-    """(a, b, metres) of stations within the distance, both ways: an equi join on grid cells and their neighbours, not all pairs."""
+def near_points(points: DataFrame, stations: DataFrame, metres: float) -> DataFrame:
+    """points (lat, lon and what else) with each station (b, lat_b, lon_b) within the distance, and metres.
+
+    An equi join on grid cells and their neighbours, not all pairs.
+    """
     step = metres / (EARTH_M * 3.141592653589793 / 180)
-    row = F.floor(F.col("lat") / step)
+    row = lambda lat: F.floor(F.col(lat) / step)
     # a row's cells are as wide as its far edge needs, so neighbours lie in adjacent columns of the row
-    width = lambda r: F.lit(step) / F.greatest(F.cos(F.radians(F.least((F.abs(r) + 2) * step, F.lit(89.0)))), F.lit(0.01))
-    here = stations.select(F.col("sid").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), row.alias("row"))
-    asked = here.withColumn("row", F.explode(F.array(*(F.col("row") + i for i in (-1, 0, 1)))))
-    asked = asked.withColumn("cell", F.explode(F.array(*(F.floor(F.col("lon_a") / width(F.col("row"))) + i for i in (-1, 0, 1)))))
-    there = stations.select(F.col("sid").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), row.alias("row"))
-    there = there.withColumn("cell", F.floor(F.col("lon_b") / width(F.col("row"))))
-    far = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    met = asked.join(there, ["row", "cell"]).where(F.col("a") != F.col("b"))
-    return met.withColumn("metres", far).where(F.col("metres") <= metres).select("a", "b", "metres")
+    width = F.lit(step) / F.greatest(F.cos(F.radians(F.least((F.abs("_row") + 2) * step, F.lit(89.0)))), F.lit(0.01))
+    asked = points.withColumn("_row", F.explode(F.array(*(row("lat") + i for i in (-1, 0, 1)))))
+    asked = asked.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("lon") / width) + i for i in (-1, 0, 1)))))
+    there = stations.select(F.col("sid").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), row("lat").alias("_row"))
+    met = asked.join(there.withColumn("_cell", F.floor(F.col("lon_b") / width)), ["_row", "_cell"]).drop("_row", "_cell")
+    return met.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).where(F.col("metres") <= metres)
+
+
+def neighbours(stations: DataFrame, metres: float = NEIGHBOUR_M) -> DataFrame:
+    """(a, b, metres) of stations within the distance, both ways."""
+    here = stations.select(F.col("sid").alias("a"), "lat", "lon")
+    return near_points(here, stations, metres).where("a <> b").select("a", "b", "metres")
 
 
 def neighbour_state(edges: DataFrame, grid: DataFrame) -> DataFrame:

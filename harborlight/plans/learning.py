@@ -180,7 +180,7 @@ def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared errors summed by station and day, which is all a block bootstrap needs."""
+    """Squared errors summed by day, which is all a bootstrap of day blocks needs."""
     rows = baselines(_examples(spark, sf_dir)).where(F.col("d").between(*REPORT))
     err = lambda c: R6(F.sum(F.pow(F.col(c) - F.col("y").cast("double"), 2))).alias(c)
     return rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sid").alias("stations"), *map(err, MODELS))
@@ -257,7 +257,7 @@ SQL = {
     "lag_presence": W(V.SNAP) + f" SELECT {', '.join(f'round(avg(CAST(docks_lag{x} IS NOT NULL AS INT)), 6) AS docks_lag{x}' for x in LAGS)}, count(*) AS n FROM ({_lags_sql(True)})",
     "feature_matrix": W(V.SNAP, V.GRID, V.STATIONS, V.NEIGHBOURS, V.NBF, V.PROFILE.format(where="AND d BETWEEN 1 AND 18"), V.TRIPS, V.FLOW, V.FLOW_CUM, V.WEATHER, V.examples()) + _matrix_sql(),
     "weather_join": W(V.SNAP, V.WEATHER) + " SELECT sid, round(avg(temp), 6) AS temp, CAST(sum(precip) AS BIGINT) AS precip FROM snap LEFT JOIN weather ON hour = date_trunc('hour', t) GROUP BY sid",
-    "holiday_flag": W(V.SNAP) + " SELECT sid, t, isodow(t + INTERVAL 720 MINUTE) AS weekday, CAST(t + INTERVAL 720 MINUTE AS DATE) IN (DATE '2024-01-01', DATE '2024-01-15') AS holiday FROM snap",
+    "holiday_flag": W(V.SNAP) + f" SELECT sid, t, isodow(t + INTERVAL 720 MINUTE) AS weekday, CAST(t + INTERVAL 720 MINUTE AS DATE) IN ({', '.join(f'DATE {d!r}' for d in HOLIDAYS)}) AS holiday FROM snap",
     "baseline_predictions": BASE + " SELECT sid, t, y, p_persist, round(p_persist_cal, 6) AS p_persist_cal, round(p_hist, 6) AS p_hist FROM pred",
     "baseline_refit": W(V.SNAP, V.examples(), V.predictions(1, 22)) + " SELECT sid, t, round(p_persist_cal, 6) AS p_persist_cal_tvf, round(p_hist, 6) AS p_hist_tvf FROM pred WHERE d BETWEEN 23 AND 30",
     "saturated_stations": W(V.SNAP, V.examples()) + " SELECT sid, round(avg(CAST(y AS INT)), 6) AS rate, count(*) AS n FROM ex WHERE d BETWEEN 1 AND 18 GROUP BY sid HAVING avg(CAST(y AS INT)) >= 0.1",

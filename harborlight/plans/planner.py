@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlight.config import BIKE_KMH, DETOUR, HORIZONS, MIN_PAIR_TRIPS, PICKUP_M, PICKUPS, WALK_KMH, WALK_M
@@ -20,27 +18,37 @@ POINT = (19.4105, -99.1685)
 FAILURE_MIN = 7.5
 
 
-def nearest_first(rows: DataFrame, by: Sequence[str], distance: str) -> DataFrame:
-    """rows with by_distance from 1, within each request."""
-    return rows.withColumn("by_distance", F.row_number().over(Window.partitionBy(*by).orderBy(distance, "station_id")))
-
+def nearest(requests: DataFrame, stations: DataFrame, lat: str, lon: str, radius_m: float, least: int, barred: str | None = None) -> DataFrame:
+    """The stations within a walk of each request's point, or its `least` nearest ones, with walk_m and by_distance from 1.
 
-def with_walk(stations: DataFrame, lat: Column, lon: Column) -> DataFrame:
-    return stations.withColumn("walk_m", haversine_m(F.col("lat"), F.col("lon"), lat, lon) * DETOUR)
+    Those within the radius come from a join on grid cells. Only requests that have too few there, a part of a stated
+    set, are compared with all stations, and of those each task sends the nearest ones.
+    """
+    points = requests.withColumns({"lat": F.col(lat), "lon": F.col(lon)})
+    allowed = lambda rows: rows.where(F.col("station_id") != F.col(barred)) if barred else rows
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("walk_m", "station_id"))
+    met = S.near_points(points, stations.withColumnRenamed("station_id", "sid"), radius_m / DETOUR * 1.0001).drop("lat", "lon")
+    met = allowed(met.withColumnRenamed("b", "station_id")).withColumn("walk_m", F.col("metres") * DETOUR).where(F.col("walk_m") <= radius_m)
+    met = met.select("request_id", "station_id", "walk_m")
+    enough = met.groupBy("request_id").count().where(F.col("count") >= least)
+    few = points.join(enough, "request_id", "left_anti").withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    far = allowed(few.crossJoin(stations.select("station_id", "lat", "lon")))
+    far = far.withColumn("walk_m", haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) * DETOUR)
+    far = far.withColumn("n", place).where(F.col("n") <= least).select("request_id", "station_id", "walk_m")
+    both = met.join(enough, "request_id", "left_semi").unionByName(far).withColumn("by_distance", place)
+    return both.join(requests, "request_id").join(stations, "station_id")
 
 
 def candidates(requests: DataFrame, stations: DataFrame, radius_m: float = WALK_M, least: int = 2) -> DataFrame:
     """Stations near each request's destination, without its origin: within the radius, or the nearest ones."""
-    near = requests.crossJoin(F.broadcast(stations)).where("station_id <> origin_id")  # a city's stations
-    near = nearest_first(with_walk(near, F.col("to_lat"), F.col("to_lon")), ["request_id"], "walk_m")
-    return near.where((F.col("walk_m") <= radius_m) | (F.col("by_distance") <= least)).drop("by_distance")
+    return nearest(requests, stations, "to_lat", "to_lon", radius_m, least, "origin_id").drop("by_distance")
 
 
 def ranked(near: DataFrame, origins: DataFrame, rides: DataFrame, depart_after_min: float = 0.0) -> DataFrame:
     """Candidates with ride, chance and expected minutes; rank counts the recommendable ones."""
     pair = rides.select("origin_id", F.col("destination_id").alias("station_id"), F.col("ride_min").alias("usual_min"), "trips")
     o = origins.select(F.col("station_id").alias("origin_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
-    rows = near.join(F.broadcast(o), "origin_id").join(pair, ["origin_id", "station_id"], "left")
+    rows = near.join(o, "origin_id").join(pair, ["origin_id", "station_id"], "left")
     usual = F.coalesce("trips", F.lit(0)) >= MIN_PAIR_TRIPS
     straight = haversine_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) * DETOUR / (BIKE_KMH * 1000 / 60)
     rows = rows.withColumn("walk_min", F.col("walk_m") / (WALK_KMH * 1000 / 60)).withColumn("ride_min", F.when(usual, F.col("usual_min")).otherwise(straight))
@@ -55,25 +63,24 @@ def ranked(near: DataFrame, origins: DataFrame, rides: DataFrame, depart_after_m
 def pickups(requests: DataFrame, stations: DataFrame, radius_m: float = PICKUP_M, limit: int = PICKUPS) -> DataFrame:
     """Usable stations with a bike within the radius of each request's start, the nearest one always."""
     usable = stations.where(S.recommendable(F.col("label")) & (F.col("bikes") > 0))
-    rows = nearest_first(with_walk(requests.crossJoin(F.broadcast(usable)), F.col("from_lat"), F.col("from_lon")), ["request_id"], "walk_m")
-    rows = rows.where(((F.col("walk_m") <= radius_m) | (F.col("by_distance") == 1)) & (F.col("by_distance") <= limit))
+    rows = nearest(requests, usable, "from_lat", "from_lon", radius_m, 1).where(F.col("by_distance") <= limit)
     return rows.withColumn("walk_min", F.col("walk_m") / (WALK_KMH * 1000 / 60)).withColumn("p_empty", ramp(F.col("p_empty_15"), F.col("walk_min")))
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest state of each station with its forecasts."""
     last = Window.partitionBy("sid").orderBy(F.col("t").desc())
-    rows = T.readings(spark, sf_dir).withColumn("n", F.row_number().over(last)).where("n = 1 and sid < 50")
+    rows = T.readings(spark, sf_dir).withColumn("n", F.row_number().over(last)).where("n = 1")
     k = F.col("k")
     name = S.label(F.col("ok"), F.col("age_s"), F.col("is_full")).alias("label")
     return rows.select(F.col("sid").alias("station_id"), "lat", "lon", name, "bikes", *(F.when(k % 9 != 0, ((k + h) % 100 + 0.5) / 100).cast("double").alias(f"p_full_{h}") for h in HORIZONS), ((k + 0.5) / 100).cast("double").alias("p_empty_15"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A request from each of ten customers."""
+    """A request from each customer whose number is divisible by 100."""
     i = F.col("c_custkey")
-    return T.table(spark, sf_dir, "customer").where("c_custkey between 1 and 10").select(
-        i.alias("request_id"), i.alias("origin_id"), (F.lit(19.40) + (i * 7 % 40) * 0.001).cast("double").alias("to_lat"), F.lit(POINT[1]).alias("to_lon"),
+    return T.table(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(
+        i.alias("request_id"), F.floor(i / 10).alias("origin_id"), (F.lit(19.40) + (i * 7 % 40) * 0.001).cast("double").alias("to_lat"), F.lit(POINT[1]).alias("to_lon"),
         (F.lit(19.40) + (i * 3 % 40) * 0.001).cast("double").alias("from_lat"), F.lit(-99.1695).alias("from_lon"),
     )
 
@@ -95,10 +102,8 @@ def pickup_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_with_bike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    usable = board(spark, sf_dir).where("label in ('available', 'full') and bikes > 0")
-    rows = with_walk(requests(spark, sf_dir).crossJoin(F.broadcast(usable)), F.col("from_lat"), F.col("from_lon"))
-    best = rows.groupBy("request_id").agg(F.min(F.struct("walk_m", "station_id")).alias("m"))
-    return best.select("request_id", "m.station_id", F.round("m.walk_m", 3).alias("walk_m"))
+    rows = pickups(requests(spark, sf_dir), board(spark, sf_dir), limit=1)
+    return rows.select("request_id", "station_id", F.round("walk_m", 3).alias("walk_m"))
 
 
 def best_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +147,9 @@ def metres(a: str, b: str, c: str, d: str) -> str:
 BOARD = """board AS (SELECT sid AS station_id, lat, lon, CASE WHEN NOT ok THEN 'unavailable' WHEN age_s > 10800 THEN 'stale' WHEN is_full THEN 'full' ELSE 'available' END AS label, bikes,
   CASE WHEN k % 9 <> 0 THEN CAST(((k + 15) % 100 + 0.5) / 100 AS DOUBLE) END AS p_full_15, CASE WHEN k % 9 <> 0 THEN CAST(((k + 30) % 100 + 0.5) / 100 AS DOUBLE) END AS p_full_30,
   CASE WHEN k % 9 <> 0 THEN CAST(((k + 45) % 100 + 0.5) / 100 AS DOUBLE) END AS p_full_45, CAST((k + 0.5) / 100 AS DOUBLE) AS p_empty_15
-  FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY t DESC) AS n FROM snap) WHERE n = 1 AND sid < 50)"""
-REQUESTS = f"""requests AS (SELECT c_custkey AS request_id, c_custkey AS origin_id, CAST(19.40 + (c_custkey * 7 % 40) * 0.001 AS DOUBLE) AS to_lat, CAST({POINT[1]} AS DOUBLE) AS to_lon,
-  CAST(19.40 + (c_custkey * 3 % 40) * 0.001 AS DOUBLE) AS from_lat, CAST(-99.1695 AS DOUBLE) AS from_lon FROM customer WHERE c_custkey BETWEEN 1 AND 10)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY t DESC) AS n FROM snap) WHERE n = 1)"""
+REQUESTS = f"""requests AS (SELECT c_custkey AS request_id, c_custkey // 10 AS origin_id, CAST(19.40 + (c_custkey * 7 % 40) * 0.001 AS DOUBLE) AS to_lat, CAST({POINT[1]} AS DOUBLE) AS to_lon,
+  CAST(19.40 + (c_custkey * 3 % 40) * 0.001 AS DOUBLE) AS from_lat, CAST(-99.1695 AS DOUBLE) AS from_lon FROM customer WHERE c_custkey % 100 = 0)"""
 NEAR = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY walk_m, station_id) AS k FROM (SELECT r.*, b.*, {metres("b.lat", "b.lon", "to_lat", "to_lon")} * 1.3::DOUBLE AS walk_m
   FROM requests r, board b WHERE station_id <> origin_id)) WHERE walk_m <= 500 OR k <= 2)"""
 RIDES = """codes AS (SELECT origin_code, destination_code, median(duration_min) AS ride_min, count(*) AS trips FROM trips WHERE duration_min BETWEEN 1 AND 90 AND origin_code <> destination_code GROUP BY 1, 2),

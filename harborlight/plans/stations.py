@@ -134,7 +134,8 @@ def capture_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def morning_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Working-day mornings from 07:00 to 11:00, also those without any reading."""
-    days = spark.sql("SELECT explode(sequence(date'2024-01-01', date'2024-01-31', interval 1 day)) AS day").where(~is_weekend(F.col("day")))
+    span = T.readings(spark, sf_dir).agg(F.to_date(F.min("t")).alias("a"), F.to_date(F.max("t")).alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b")).alias("day")).where(~is_weekend(F.col("day")))
     morning = minute_of_day(F.col("t")).between(420, 659)
     seen = T.readings(spark, sf_dir).where(morning).groupBy(F.to_date("t").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(slot(F.col("t"))).alias("slots"))
     return days.join(seen, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), R6(F.coalesce("slots", F.lit(0)) / 16).alias("share"))
@@ -232,7 +233,7 @@ SQL = {
         count(*) AS n, count(DISTINCT sid) AS stations FROM snap GROUP BY 1""",
     "capture_coverage": W(V.SNAP) + " SELECT d, count(*) AS n, count(*) - count(DISTINCT (sid, t)) AS repeated, count(DISTINCT hour(t)) AS hours, count(DISTINCT sid) AS stations FROM snap GROUP BY 1",
     "morning_coverage": W(V.SNAP) + """ SELECT CAST(x.day AS DATE) AS day, count(sid) AS n, round(count(DISTINCT (hour(t) * 60 + minute(t)) // 15) / 16.0, 6)::DOUBLE AS share
-        FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day) x
+        FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS day FROM (SELECT CAST(min(t) AS DATE) AS a, CAST(max(t) AS DATE) AS b FROM snap)) x
         LEFT JOIN snap ON CAST(t AS DATE) = x.day AND hour(t) * 60 + minute(t) BETWEEN 420 AND 659 WHERE isodow(x.day) < 6 GROUP BY 1""",
     "captures_explode": W(V.SNAP, V.GRID, DOC) + """ SELECT last_updated, CAST(sid AS VARCHAR) AS station_id, CAST(docks AS BIGINT) AS docks, CAST(bikes AS BIGINT) AS bikes, CAST(ok AS BIGINT) AS is_returning,
         CAST(floor(epoch_us(t) / 1000000) AS BIGINT) AS last_reported, CAST(NULL AS BIGINT) AS num_docks_disabled FROM docs""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlight.plans import views_sql as V
+from harborlight.sources.shared import shared_folder
 
 LATE = "3 hours"
 
@@ -66,8 +66,7 @@ def latest_lag(previous: DataFrame, batch: DataFrame, minutes: int) -> DataFrame
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote; the sink and its state lie in the shared folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="harborlight-stream-")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
     query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")).start()  # a repeated batch replaces itself
     query.awaitTermination()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harborlight.functions import geo, prob, text, timeparts
 from harborlight.operators import asof, metrics
 from harborlight.operators import stations as S
-from harborlight.plans import learning, models, planner, search, trips
+from harborlight.plans import learning, live, models, planner, search, trips
 from harborlight.sources import tables, trip_files
 from harborlight.streaming import jobs
 
@@ -94,14 +94,47 @@ def test_wall_clock_twice_and_never(spark):
     assert got == ["2022-10-30 06:30:00", None, "2022-06-01 17:00:00", None]
 
 
-def test_trip_file_with_marked_header_and_short_dates(spark, tmp_path):
-    path = tmp_path / "t.csv"
-    path.write_bytes('﻿Bici,Ciclo_Estacion_Retiro,Fecha Retiro,Hora Retiro,CicloEstacionArribo,Fecha Arribo,Hora Arribo\n7, 9 ,1/6/22,8:00:00,390-391,01/06/2022,08:30:00\n8,1000,bad,8:00:00,"""12""",,\n'.encode())
-    a, b = trip_files.read_trips(spark, str(path)).orderBy("bike_id").collect()
-    assert (a.origin_code, a.destination_code, a.duration_min) == ("009", "390-391", 30.0)
-    assert (b.origin_code, b.destination_code, b.departed_at) == ("1000", "012", None)
-    with pytest.raises(ValueError, match="time_in"):
-        trip_files.resolved(["bici", "origin", "destination", "fecha_retiro", "hora_retiro", "fecha_arribo"])
+def test_trip_files_of_all_header_styles(spark, tmp_path):
+    long = 'Genero_Usuario,Edad_Usuario,Bici,Ciclo_Estacion_Retiro,Fecha_Retiro,Hora_Retiro,Ciclo_EstacionArribo,"Fecha Arribo",Hora_Arribo\nM,24,8015364,112,30/09/2022,23:22:32,64,01/10/2022,00:01:58\n'
+    quoted = '"Genero_Usuario","Bici","Ciclo_Estacion_Retiro","Fecha_Retiro","Hora_Retiro","Ciclo_EstacionArribo","Fecha_Arribo","Hora_Arribo"\n"F",5254487,"390-391","31/08/2024","23:55:44","064","01/09/2024","00:00:00"\n'
+    short = "\ufeffGenero_usuario,Bici,CE_retiro,Fecha_retiro,Hora_retiro,CE_arribo,Fecha_arribo,Hora_arribo\nF,14112,136,31/08/22,23:55:30,135,01/09/22,0:00:27\nF,x,1000,bad,8:00:00,12,,\n"
+    names = ["2022-09.csv", "ecobici_2024_agosto.csv", "2022-08-1.csv", "2022-08.csv", "readme.csv"]
+    for name, text in zip(names, (long, quoted, "no,header\n", short, "")):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    rows = {r.bike_id: r for r in trip_files.read_months(spark, [str(tmp_path / n) for n in names if n != "2022-08-1.csv"]).collect()}
+    got = {k: (r.month, r.origin_code, r.destination_code, str(r.departed_at), r.duration_min and round(r.duration_min, 4)) for k, r in rows.items()}
+    assert got == {
+        "8015364": ("2022-09", "112", "064", "2022-10-01 04:22:32", 39.4333), "5254487": ("2024-08", "390-391", "064", "2024-09-01 05:55:44", 4.2667),
+        "14112": ("2022-08", "136", "135", "2022-09-01 04:55:30", 4.95), "x": ("2022-08", "1000", "012", "None", None),
+    }
+    with pytest.raises(ValueError, match="bike_id"):
+        trip_files.read_trips(spark, str(tmp_path / "2022-08-1.csv"))
+
+
+def test_month_of_name(spark):
+    cases = {"2024-09.csv": "2024-09", "2025-10-1.csv": "2025-10", "a_2022_10.csv": "2022-10", "datos_abiertos_2024_03-1-1.csv": "2024-03", "d_2023_octubre.csv": "2023-10",
+             "e_2024_Enero.csv": "2024-01", "public_data_web_2026-08_2.csv": "2026-08", "2010-02-feb.csv": "2010-02", "readme.csv": None, "202311.csv": None, "2021-13.csv": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "name string")
+    assert {r.name: r.m for r in rows.select("name", text.month_of_name(F.col("name")).alias("m")).collect()} == cases
+    uploads = spark.createDataFrame([("x/2024-09.csv",), ("x/2024-09_2.csv",), ("x/readme.csv",)], "name string")
+    assert [tuple(r) for r in trip_files.newest(uploads).collect()] == [("2024-09", "x/2024-09_2.csv")]
+
+
+def test_nearest_stations_equal_brute_force(spark):
+    import random
+
+    from harborlight.plans import planner
+
+    r = random.Random(4)
+    stations = [(i, 19.4 + r.random() * 0.02, -99.2 + r.random() * 0.02) for i in range(80)]
+    asked = [(i, r.randrange(80), 19.39 + r.random() * 0.04, -99.21 + r.random() * 0.04) for i in range(60)]
+    metres = lambda a, b: 2 * 6371000.0 * math.asin(math.sqrt(math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2)) * 1.3
+    expected = set()
+    for q, origin, *p in asked:
+        order = sorted((metres(p, s), i) for i, *s in stations if i != origin)
+        expected |= {(q, i) for n, (m, i) in enumerate(order) if m <= 500 or n < 2}
+    frames = spark.createDataFrame(asked, "request_id long, origin_id long, to_lat double, to_lon double"), spark.createDataFrame(stations, "station_id long, lat double, lon double")
+    assert {(x.request_id, x.station_id) for x in planner.candidates(*frames).collect()} == expected
 
 
 def test_gzip_captures(spark, tmp_path):
@@ -190,8 +223,9 @@ def test_text(spark):
     assert value(spark, text.plain(F.lit("  Ávenida  Ñandú, #3 "))) == "avenida nandu 3"
     assert [value(spark, text.station_code(F.lit(x))) for x in (' "7" ', "1000", "390-391", "a1")] == ["007", "1000", "390-391", "a1"]
     assert value(spark, text.street_label(F.lit("Calle"), F.lit("Paseo X"))) == "Paseo X"
-    assert value(spark, text.starts_words(F.lit("Río de la Plata"), F.lit("pla rio")))
-    assert not value(spark, text.starts_words(F.lit("Río de la Plata"), F.lit("lata")))
+    names = spark.createDataFrame([(1, "Río de la Plata"), (2, "Plátano riojano"), (3, None), (4, "Riobambense plaza")], "place_id long, name string")
+    asked = spark.createDataFrame([("pla rio",), ("lata",), ("riobambense",), ("",)], "query string")
+    assert {(r.place_id, r.query) for r in search.matches(names, asked).collect()} == {(1, "pla rio"), (2, "pla rio"), (4, "pla rio"), (4, "riobambense")}
 
 
 def test_folds_and_polyline(spark):
@@ -236,3 +270,20 @@ def test_latest_lag(spark):
     schema = "sid long, t timestamp, is_full boolean"
     old, new = spark.createDataFrame([(1, at(0), True), (2, at(0), True)], schema), spark.createDataFrame([(1, at(5), False), (2, at(90), False), (3, at(1), True)], schema)
     assert {r.sid: r.was_full for r in jobs.latest_lag(old, new, 60).collect()} == {1: True, 2: None, 3: None}
+
+
+def test_days_are_rebuilt_by_the_manifest(spark, tmp_path):
+    rows = lambda pairs: spark.createDataFrame(pairs, "day string, x int").selectExpr("cast(day as date) AS day", "x")
+    first = [("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-02", 3)]
+    assert live.update_days(rows(first), "day", str(tmp_path)) == ["2024-01-01", "2024-01-02"]
+    assert live.update_days(rows(first), "day", str(tmp_path)) == []
+    assert live.update_days(rows([*first, ("2024-01-02", 4), ("2024-01-03", 5)]), "day", str(tmp_path)) == ["2024-01-02", "2024-01-03"]
+    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_captures_by_the_time_in_their_names(spark):
+    names = ["status_20240307T101500Z.json.gz", "status_20240307T112500Z.json.gz", "readme.txt", "status_20240307T112430Z.json"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").withColumn("at", live.captured_at(F.col("name")))
+    assert {r.name: str(r.at) for r in rows.collect()}[names[2]] == "None"
+    kept = live.recent(rows, "at", F.lit(datetime(2024, 3, 7, 11, 24, 30)).cast("timestamp_ntz"))
+    assert [r.name for r in kept.collect()] == [names[3]] and live.recent(rows, "at", F.lit(datetime(2024, 3, 7, 11, 24, 29)).cast("timestamp_ntz")).count() == 1
