@@ -45,22 +45,33 @@ def lag_values(
 ) -> DataFrame:
     """df with prefix{lag} for each lag: the value that long ago, null if the reading is too far off or not ok.
 
-    Trailing looks back only; centered takes the nearer of both sides, the earlier on a tie.
+    Trailing looks back only; centered takes the nearer of both sides, the earlier on a tie. All lags and sides come from
+    one union, one shuffle and one window: what lies between the longest and the shortest lag is listed at each row, and
+    the lags choose from the list. Rows are dealt by key and stretch of time, and a reading goes to each stretch that can
+    see it, so no task holds a key's whole history.
     """
-    for lag in lags:
-        at = plus_minutes(F.col(time), -lag)
-        names = df.columns
-        df = backward(df, right, key, at, time, [value, ok]).withColumnRenamed("_hit", "_back")
-        back = F.when(within(F.col("_back"), at, tolerance) & F.col("_back")[ok], F.col("_back"))
-        if centered:
-            df = forward(df, right, key, at, time, [value, ok]).withColumnRenamed("_hit", "_ahead")
-            ahead = F.when(within(F.col("_ahead"), at, tolerance) & F.col("_ahead")[ok], F.col("_ahead"))
-            far = lambda h: F.abs(micros(h["t"]) - micros(at))
-            pick = F.when(back.isNull() | (ahead.isNotNull() & (far(ahead) < far(back))), ahead).otherwise(back)
-        else:
-            pick = back
-        df = df.withColumn(f"{prefix}{lag}", pick[value]).select(*names, f"{prefix}{lag}")
-    return df
+    us = lambda minutes: int(minutes * 60e6)
+    far, near = us(max(lags) + tolerance), us(min(lags) - (tolerance if centered else 0))
+    width = max(4 * far, us(24 * 60))
+    stretch = lambda t: F.floor(t / F.lit(width)).cast("long")
+    t = F.col("_t")
+    rows = df.select(F.struct(*df.columns).alias("_row"), *key, micros(F.col(time)).alias("_t")).withColumn("_stretch", stretch(t))
+    seen = right.select(*key, micros(F.col(time)).alias("_t"), F.col(ok).alias("_ok"), F.col(value).alias("_value"))
+    seen = seen.select(*key, "_t", F.struct("_t", "_ok", "_value").alias("_seen"), F.explode(F.sequence(stretch(t + near), stretch(t + far))).alias("_stretch"))
+    frame = Window.partitionBy(*key, "_stretch").orderBy("_t").rangeBetween(-far, -near)
+    both = rows.unionByName(seen, allowMissingColumns=True).withColumn("_list", F.collect_list("_seen").over(frame)).where("_row is not null")
+
+    def chosen(lag: int) -> Column:
+        at = t - us(lag)
+        between = lambda low, high: F.filter("_list", lambda x: x["_t"].between(low, high))
+        fit = lambda x: F.when(x["_ok"], x)
+        back = fit(F.array_max(between(at - us(tolerance), at)))
+        if not centered:
+            return back["_value"]
+        ahead = fit(F.array_min(between(at, at + us(tolerance))))
+        return F.when(back.isNull() | (ahead["_t"] - at < at - back["_t"]), ahead["_value"]).otherwise(back["_value"])
+
+    return both.select("_row.*", *(chosen(lag).alias(f"{prefix}{lag}") for lag in lags))
 
 
 def forward_buckets(left: DataFrame, right: DataFrame, key: Sequence[str], low: Column, high: Column, time: str, values: Sequence[str], minutes: int) -> DataFrame:

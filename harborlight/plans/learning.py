@@ -12,6 +12,7 @@ from harborlight.operators import stations as S
 from harborlight.plans import views_sql as V
 from harborlight.plans.trips import cumulative, flow_of, plausible, window_of
 from harborlight.sources import tables as T
+from harborlight.sources.shared import saved
 
 HORIZON, TOLERANCE, LAGS = 720, 360, (720, 1440)
 TRAIN, FIT, REPORT = (1, 18), (19, 22), (23, 30)
@@ -136,23 +137,29 @@ def holiday_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baselines(_examples(spark, sf_dir))
+    rows = baselines(saved(_examples(spark, sf_dir)))
     return rows.select("sid", "t", "y", "p_persist", R6("p_persist_cal").alias("p_persist_cal"), R6("p_hist").alias("p_hist"))
 
 
 def baseline_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baselines(_examples(spark, sf_dir), (TRAIN[0], FIT[1]))
+    rows = baselines(saved(_examples(spark, sf_dir)), (TRAIN[0], FIT[1]))
     return rows.where(F.col("d").between(*REPORT)).select("sid", "t", R6("p_persist_cal").alias("p_persist_cal_tvf"), R6("p_hist").alias("p_hist_tvf"))
 
 
+def saturated(ex: DataFrame) -> DataFrame:
+    rows = ex.where(F.col("d").between(*TRAIN)).groupBy("sid").agg(F.avg(F.col("y").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("rate") >= SATURATED)
+
+
 def saturated_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _examples(spark, sf_dir).where(F.col("d").between(*TRAIN)).groupBy("sid").agg(F.avg(F.col("y").cast("int")).alias("rate"), F.count(F.lit(1)).alias("n"))
-    return rows.where(F.col("rate") >= SATURATED).select("sid", R6("rate").alias("rate"), "n")
+    """Stations whose training examples are full often enough."""
+    return saturated(_examples(spark, sf_dir)).select("sid", R6("rate").alias("rate"), "n")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = baselines(_examples(spark, sf_dir)).where(F.col("d").between(*REPORT))
-    full = saturated_stations(spark, sf_dir).select("sid", F.lit(True).alias("saturated"))
+    ex = saved(_examples(spark, sf_dir))
+    rows = baselines(ex).where(F.col("d").between(*REPORT))
+    full = saturated(ex).select("sid", F.lit(True).alias("saturated"))
     rows = rows.join(full, "sid", "left").withColumn("saturated", F.coalesce("saturated", F.lit(False)))
     peak = ~F.col("weekend") & P.is_peak_slot(F.col("target_slot"))
     rows = metrics.segments(rows, {"all": F.lit(True), "peak": peak, "saturated": F.col("saturated"), "saturated_peak": F.col("saturated") & peak})
@@ -181,7 +188,7 @@ def skill_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared errors summed by day, which is all a bootstrap of day blocks needs."""
-    rows = baselines(_examples(spark, sf_dir)).where(F.col("d").between(*REPORT))
+    rows = baselines(saved(_examples(spark, sf_dir))).where(F.col("d").between(*REPORT))
     err = lambda c: R6(F.sum(F.pow(F.col(c) - F.col("y").cast("double"), 2))).alias(c)
     return rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sid").alias("stations"), *map(err, MODELS))
 

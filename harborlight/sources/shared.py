@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="harborlight-"))
     return spark.sparkContext.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once where a plan uses it several times, and safe when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
