@@ -98,7 +98,7 @@ def test_trip_files_of_all_header_styles(spark, tmp_path):
     long = 'Genero_Usuario,Edad_Usuario,Bici,Ciclo_Estacion_Retiro,Fecha_Retiro,Hora_Retiro,Ciclo_EstacionArribo,"Fecha Arribo",Hora_Arribo\nM,24,8015364,112,30/09/2022,23:22:32,64,01/10/2022,00:01:58\n'
     quoted = '"Genero_Usuario","Bici","Ciclo_Estacion_Retiro","Fecha_Retiro","Hora_Retiro","Ciclo_EstacionArribo","Fecha_Arribo","Hora_Arribo"\n"F",5254487,"390-391","31/08/2024","23:55:44","064","01/09/2024","00:00:00"\n'
     short = "\ufeffGenero_usuario,Bici,CE_retiro,Fecha_retiro,Hora_retiro,CE_arribo,Fecha_arribo,Hora_arribo\nF,14112,136,31/08/22,23:55:30,135,01/09/22,0:00:27\nF,x,1000,bad,8:00:00,12,,\n"
-    names = ["2022-09.csv", "ecobici_2024_agosto.csv", "2022-08-1.csv", "2022-08.csv", "readme.csv"]
+    names = ["2022-09.csv", "viajes_2024_agosto.csv", "2022-08-1.csv", "2022-08.csv", "readme.csv"]
     for name, text in zip(names, (long, quoted, "no,header\n", short, "")):
         (tmp_path / name).write_text(text, encoding="utf-8")
     rows = {r.bike_id: r for r in trip_files.read_months(spark, [str(tmp_path / n) for n in names if n != "2022-08-1.csv"]).collect()}
