@@ -59,13 +59,12 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def knots(p: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
-    """Piecewise linear through the knots, the end values outside; how an isotonic fit predicts."""
-    out = F.when(p <= xs[0], F.lit(ys[0]))
-    for x0, y0, x1, y1 in zip(xs, ys, xs[1:], ys[1:]):
-        if x1 > x0:
-            out = out.when(p <= x1, F.lit(y0) + (p - x0) * ((y1 - y0) / (x1 - x0)))
-    return out.otherwise(F.lit(ys[-1]))
+def along(p: Column, xs: Column, ys: Column) -> Column:
+    """Piecewise linear through knots in arrays, xs rising, the end values outside; how an isotonic fit predicts. p itself without knots."""
+    below = F.size(F.filter(xs, lambda x: x <= p))
+    x0, x1, y0, y1 = F.get(xs, below - 1), F.get(xs, below), F.get(ys, below - 1), F.get(ys, below)
+    inside = y0 + (y1 - y0) * (p - x0) / F.nullif(x1 - x0, F.lit(0.0))
+    return F.when(F.coalesce(F.size(xs), F.lit(0)) <= 0, p).when(below == 0, F.get(ys, F.lit(0))).when(below >= F.size(xs), y0).otherwise(F.coalesce(inside, y0))
 
 
 def band(p: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harborlight.plans import learning, live, models, planner, search, stations, trips
+from harborlight.plans import bundle, city, learning, live, models, planner, search, stations, trips
 from harborlight.streaming import jobs
 
-MODULES = (stations, trips, learning, planner, search, models, live, jobs)
+MODULES = (stations, trips, learning, planner, search, models, live, city, bundle, jobs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for m in MODULES for f in m.QUERIES}
 ORACLE_SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.SQL.items()}

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from harborlight.config import STALE_AFTER_S
 from harborlight.plans import views_sql as V
 from harborlight.sources.shared import shared_folder
 
@@ -56,11 +57,63 @@ def first_labels(met: DataFrame) -> DataFrame:
 def latest_lag(previous: DataFrame, batch: DataFrame, minutes: int) -> DataFrame:
     """A micro-batch with the last state before it that is recent enough: batch and lookback rows in one window."""
     both = previous.withColumn("new", F.lit(False)).unionByName(batch.withColumn("new", F.lit(True)))
-    order = Window.partitionBy("sid").orderBy("t")
+    order = Window.partitionBy("sid").orderBy("t", "event_id")
     before = F.lag(F.struct("t", "is_full")).over(order)
     rows = both.withColumn("b", before).where("new")
-    recent = F.unix_seconds("t") - F.unix_seconds("b.t") <= minutes * 60
-    return rows.select("sid", "t", "is_full", F.when(recent, F.col("b.is_full")).alias("was_full"))
+    recent = F.unix_micros("t") - F.unix_micros("b.t") <= minutes * 60_000_000
+    return rows.select("event_id", "sid", "t", "is_full", F.when(recent, F.col("b.is_full")).alias("was_full"))
+
+
+def in_parts(spark: SparkSession, sf_dir: str, days: int = 8) -> str:
+    """A folder to which the events of so many days at a time were added, as a feed would add them."""
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    part = F.floor((F.day("ts") - 1) / days)
+    for n in range(-(-31 // days)):  # in their order, so that files are found in that order
+        rows.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Readings of the folder, a file a micro-batch."""
+    schema = spark.read.parquet(folder).schema
+    k = F.get_json_object("props", "$.k").cast("int")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.select("event_id", F.col("user_id").alias("sid"), F.col("ts").cast("timestamp").alias("t"), (F.col("event_type") != "error").alias("ok"), (k % 10 == 0).alias("is_full"), (k * 200).alias("age_s"))
+
+
+def with_lookback(stream: DataFrame, minutes: int) -> DataFrame:
+    """Every reading with the state before it: a micro-batch meets the rows written earlier that are recent enough, whatever batch they came in.
+
+    A batch writes to a partition of its own number and reads only those before it, so a batch that is run again after a failure
+    gives the same rows. Rows that come later than rows after them don't change what those have been given.
+    """
+    spark = stream.sparkSession
+    out = f"{shared_folder(spark)}/lookback-{uuid.uuid4().hex}"
+    kind = "event_id long, sid long, t timestamp, is_full boolean, was_full boolean"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch = batch.select("event_id", "sid", "t", "is_full")
+        least = batch.agg(F.min("t")).first()[0]
+        if least is None:
+            return
+        if n:  # partitions before this one
+            old = batch.sparkSession.read.schema(f"{kind}, batch long").parquet(f"{out}/rows").where(F.col("batch") < n)
+            old = old.where(F.col("t") >= F.lit(least) - F.make_dt_interval(mins=F.lit(minutes))).select("event_id", "sid", "t", "is_full")
+        else:
+            old = batch.limit(0)
+        latest_lag(old, batch, minutes).write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(f"{kind}, batch long").parquet(f"{out}/rows")
+
+
+def score_counts(stream: DataFrame, length: str = "28 days", step: str = "7 days") -> DataFrame:
+    """Readings and full ones by trailing window, stepped by the week: what a weekly recalibration is fitted on."""
+    at = F.window("t", length, step)
+    counted = stream.withWatermark("t", LATE).groupBy(at, "age_s").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_full").alias("hits"))
+    return counted.select(F.col("window.end").alias("until"), "age_s", "n", "hits")
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -88,9 +141,31 @@ def stream_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sid", F.col("t").cast("timestamp_ntz").alias("t"), "y")
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_dedup, stream_slot_counts, stream_label_join]
+def stream_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_lookback(feed(spark, in_parts(spark, sf_dir)), 1_440)
+    return rows.select("event_id", "sid", "is_full", "was_full")
+
+
+def stream_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that aren't stale, over several micro-batches."""
+    rows = drained(feed(spark, in_parts(spark, sf_dir)).where(F.col("age_s") <= STALE_AFTER_S))
+    return rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_full").alias("n_full"))
+
+
+def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drained(score_counts(feed(spark, in_parts(spark, sf_dir))), "update").groupBy("until", "age_s").agg(F.max("n").alias("n"), F.max("hits").alias("hits"))
+    return rows.select(F.col("until").cast("timestamp_ntz").alias("until"), "age_s", "n", "hits")
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_dedup, stream_slot_counts, stream_label_join, stream_lookback, stream_fresh, stream_trailing_counts]
 SQL = {
     "stream_dedup": "SELECT user_id AS sid, count(DISTINCT ts) AS n FROM events GROUP BY 1",
     "stream_slot_counts": V.with_views(V.SNAP) + " SELECT time_bucket(INTERVAL 15 MINUTE, t) AS slot_start, count(*) AS n, count(*) FILTER (is_full) AS n_full FROM snap GROUP BY 1",
     "stream_label_join": V.with_views(V.SNAP, V.examples()) + " SELECT sid, t, y FROM ex",
+    "stream_lookback": V.with_views(V.SNAP) + """, e AS (SELECT event_id, user_id AS sid, ts, CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0 AS is_full FROM events),
+        b AS (SELECT *, lag(ts) OVER w AS b_ts, lag(is_full) OVER w AS b_full FROM e WINDOW w AS (PARTITION BY sid ORDER BY ts, event_id))
+        SELECT event_id, sid, is_full, CASE WHEN ts - b_ts <= INTERVAL 1440 MINUTE THEN b_full END AS was_full FROM b""",
+    "stream_fresh": V.with_views(V.SNAP) + f" SELECT sid, count(*) AS n, count(*) FILTER (is_full) AS n_full FROM snap WHERE age_s <= {STALE_AFTER_S} GROUP BY 1",
+    "stream_trailing_counts": V.with_views(V.SNAP) + """, w AS (SELECT time_bucket(INTERVAL 7 DAY, t, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY + unnest([0, 7, 14, 21]) * INTERVAL 1 DAY AS until, age_s, is_full FROM snap)
+        SELECT until, age_s, count(*) AS n, count(*) FILTER (is_full) AS hits FROM w GROUP BY 1, 2""",
 }

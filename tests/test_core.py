@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harborlight.functions import geo, prob, text, timeparts
 from harborlight.operators import asof, metrics
 from harborlight.operators import stations as S
-from harborlight.plans import learning, live, models, planner, search, trips
+from harborlight.plans import city, learning, live, models, planner, search, trips
 from harborlight.sources import tables, trip_files
 from harborlight.streaming import jobs
 
@@ -196,7 +196,10 @@ def test_interpolation_and_ramp(spark):
     assert [round(p(m), 6) for m in (0, 15, 20, 30, 40, 99)] == [0.1, 0.1, 0.2, 0.4, round(0.4 - 0.2 * 2 / 3, 6), 0.2]
     assert value(spark, prob.ramp(F.lit(0.6), F.lit(5.0))) == pytest.approx(0.2)
     assert value(spark, prob.skill(F.lit(0.1), F.lit(0.0))) is None
-    assert [value(spark, prob.knots(F.lit(x), [0.2, 0.6], [0.1, 0.9])) for x in (0.0, 0.4, 1.0)] == [0.1, pytest.approx(0.5), 0.9]
+    xs, ys = F.array(F.lit(0.2), F.lit(0.6)), F.array(F.lit(0.1), F.lit(0.9))
+    assert [value(spark, prob.along(F.lit(x), xs, ys)) for x in (0.0, 0.2, 0.4, 0.6, 1.0)] == [0.1, 0.1, pytest.approx(0.5), 0.9, 0.9]
+    none = F.lit(None).cast("array<double>")
+    assert value(spark, prob.along(F.lit(0.3), none, none)) == 0.3
 
 
 def test_metrics(spark):
@@ -251,9 +254,9 @@ def test_isotonic_is_monotone(spark):
 def test_rolling_never_looks_ahead(spark):
     rows = [(d, (i % 10) / 10 + 0.05, (i % 10) >= 5, i) for d in range(1, 29) for i in range(40)]
     schema = "d long, p double, y boolean, i long"
-    before = {(r.d, r.i): r.p_roll for r in models.rolling(spark.createDataFrame(rows, schema)).collect()}
+    before = {(r.d, r.i): r.p_roll for r in models.rolling(spark.createDataFrame(rows, schema), least=50).collect()}
     changed = [(d, p, (not y) if d >= 21 else y, i) for d, p, y, i in rows]
-    after = {(r.d, r.i): r.p_roll for r in models.rolling(spark.createDataFrame(changed, schema)).collect()}
+    after = {(r.d, r.i): r.p_roll for r in models.rolling(spark.createDataFrame(changed, schema), least=50).collect()}
     assert all(before[k] == after[k] for k in before if k[0] <= 21)
     assert all(before[k] == pytest.approx((k[1] % 10) / 10 + 0.05) for k in before if k[0] <= 7)
     assert any(before[k] != after[k] for k in before)
@@ -267,11 +270,62 @@ def test_bootstrap_covers_the_skill(spark):
 
 
 def test_latest_lag(spark):
-    schema = "sid long, t timestamp, is_full boolean"
-    old, new = spark.createDataFrame([(1, at(0), True), (2, at(0), True)], schema), spark.createDataFrame([(1, at(5), False), (2, at(90), False), (3, at(1), True)], schema)
+    schema = "event_id long, sid long, t timestamp, is_full boolean"
+    old, new = spark.createDataFrame([(1, 1, at(0), True), (2, 2, at(0), True)], schema), spark.createDataFrame([(3, 1, at(5), False), (4, 2, at(90), False), (5, 3, at(1), True)], schema)
     assert {r.sid: r.was_full for r in jobs.latest_lag(old, new, 60).collect()} == {1: True, 2: None, 3: None}
 
 
+def test_lookback_over_batches(spark, tmp_path):
+    """A late row gets what came before it, and doesn't change what later rows were given."""
+    rows = lambda part: spark.createDataFrame(part, "event_id long, sid long, t timestamp, is_full boolean").coalesce(1)
+    for part in ([(1, 1, at(0), True)], [(2, 1, at(10), False), (3, 2, at(200), True)], [(4, 1, at(5), False), (5, 1, at(20), True)]):
+        rows(part).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows([]).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r.event_id: (r.was_full, r.batch) for r in jobs.with_lookback(stream, 60).collect()}
+    assert got == {1: (None, 0), 2: (True, 1), 3: (None, 1), 4: (True, 2), 5: (False, 2)}
+
+
+def test_rolling_equals_a_plain_fit(spark):
+    """Weeks against pooling by brute force: the monotone fit is the max over starts of the min over ends of means."""
+    random = np.random.default_rng(5)
+    rows = [(d, round(float(p), 2), bool(random.uniform() < p)) for d in range(1, 22) for p in random.uniform(0.05, 0.95, 30)]
+    got = models.rolling(spark.createDataFrame(rows, "d long, p double, y boolean"), least=50).collect()
+    for week in (1, 2):
+        past = [(p, y) for d, p, y in rows if week * 7 - 28 < d <= week * 7]
+        xs = sorted({p for p, _ in past})
+        hit = {x: [y for p, y in past if p == x] for x in xs}
+        mean = lambda i, j: sum(map(sum, (hit[x] for x in xs[i : j + 1]))) / sum(len(hit[x]) for x in xs[i : j + 1])  # noqa: E731,B023
+        fit = [max(min(mean(a, b) for b in range(k, len(xs))) for a in range(k + 1)) for k in range(len(xs))]
+        for r in got:
+            if r.week == week:
+                assert r.p_roll == pytest.approx(float(np.interp(r.p, xs, fit)), abs=1e-9)
+
+
+def test_lanes_and_kinds(spark):
+    tags = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    lanes = [{"highway": "cycleway"}, {"highway": "path", "bicycle": "no"}, {"cycleway:left": "lane", "cycleway:right": "track"}, {"cycleway": "separate"}, {"cycleway:both": "share_busway", "cycleway": "lane"}]
+    assert [value(spark, city.lane_class(tags(d))) for d in lanes] == ["separated", None, "separated", None, "painted"]
+    kinds = [
+        {"place": "quarter", "building": "yes"}, {"public_transport": "platform", "network": "STC Metro", "railway": "subway"}, {"public_transport": "station", "operator": "Metrobús", "station": "subway"},
+        {"public_transport": "stop"}, {"tourism": "museum", "building": "yes"}, {"building": "yes"}, {"amenity": "cafe"}, {"amenity": "college"},
+    ]
+    assert [value(spark, city.kind_of(tags(d))) for d in kinds] == ["Colonia", "Metro", "Metrobús", None, "Museo", "Edificio", None, "Universidad"]
+
+
+def test_weather_keeps_the_first_document_of_an_hour(spark, tmp_path):
+    docs = [
+        '{"start": "2024-01-02", "hourly": {"time": ["2024-01-01T23:00", "2024-01-02T00:00"], "temperature_2m": [7, 8.5], "precipitation": [null, 0]}}',
+        '{"start": "2024-01-01", "hourly": {"time": ["2024-01-01T23:00"], "temperature_2m": [6.5], "precipitation": [1]}}',
+    ]
+    spark.createDataFrame([(d,) for d in docs], "value string").write.text(f"{tmp_path}/w")
+    assert [(str(r.hour), r.temp, r.precip) for r in city.read_weather(spark, f"{tmp_path}/w").orderBy("hour").collect()] == [("2024-01-01 23:00:00", 6.5, 1.0), ("2024-01-02 00:00:00", 8.5, 0.0)]
+
+
+def test_boxes_and_walks(spark):
+    assert value(spark, geo.in_box(F.lit(1.05), F.lit(2.0), 0.0, 1.0, 1.0, 3.0)) is False
+    assert value(spark, geo.in_box(F.lit(1.05), F.lit(2.0), 0.0, 1.0, 1.0, 3.0, 0.1)) is True
+
+
 def test_days_are_rebuilt_by_the_manifest(spark, tmp_path):
     rows = lambda pairs: spark.createDataFrame(pairs, "day string, x int").selectExpr("cast(day as date) AS day", "x")
     first = [("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-02", 3)]
