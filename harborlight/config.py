@@ -21,3 +21,8 @@ HOLIDAYS = (
     "2025-01-01", "2025-02-03", "2025-03-17", "2025-04-17", "2025-04-18", "2025-05-01", "2025-09-16", "2025-11-17", "2025-12-25",
     "2026-01-01", "2026-02-02", "2026-03-16", "2026-04-02", "2026-04-03", "2026-05-01", "2026-09-16", "2026-11-16", "2026-12-25",
 )
+#: Periods of a model's life by local day, both ends included; days between them are left out everywhere.
+PERIODS = (
+    ("train", "2024-09-01", "2025-06-30"), ("fit", "2025-08-01", "2025-09-30"), ("report", "2025-10-01", "2025-12-31"),
+    ("test", "2026-01-01", "2026-01-31"), ("test_late", "2026-09-11", "2026-09-30"),
+)

@@ -17,14 +17,19 @@ from harborlight.sources import tables as T
 PREFIX = 6
 
 
-def matches(names: DataFrame, queries: DataFrame, key: str = "place_id", text: str = "name", query: str = "query") -> DataFrame:
-    """Names with a word for every token of the query: tokens are joined with the beginnings of words."""
-    asked = queries.select(query).distinct().withColumn("_tokens", X.words_of(F.col(query)))
-    tokens = asked.select(query, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
+def word_hits(names: DataFrame, tokens: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, and what tokens has): a row for each word of a name that begins with a token; tokens are joined with the beginnings of words."""
     words = names.select(key, F.explode(X.words_of(F.col(text))).alias("_word"))
     lengths = F.sequence(F.lit(1), F.least(F.length("_word"), F.lit(PREFIX)))
     heads = words.withColumn("_head", F.explode(F.transform(lengths, lambda n: F.substring(F.col("_word"), F.lit(1), n))))
-    met = heads.join(tokens.withColumn("_head", F.substring("_token", 1, PREFIX)), "_head").where(F.startswith("_word", "_token"))
+    return heads.join(tokens.withColumn("_head", F.substring("_token", 1, PREFIX)), "_head").where(F.startswith("_word", "_token")).drop("_head", "_word")
+
+
+def matches(names: DataFrame, queries: DataFrame, key: str = "place_id", text: str = "name", query: str = "query") -> DataFrame:
+    """Names with a word for every token of the query."""
+    asked = queries.select(query).distinct().withColumn("_tokens", X.words_of(F.col(query)))
+    tokens = asked.select(query, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
+    met = word_hits(names, tokens, key, text)
     whole = met.groupBy(key, query, "_n").agg(F.countDistinct("_token").alias("_found")).where("_found = _n").select(key, query)
     return names.join(whole, key).join(queries, query)
 

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harborlight.config import STALE_AFTER_S
+from harborlight.plans import learning as L
 from harborlight.plans import views_sql as V
-from harborlight.sources.shared import shared_folder
+from harborlight.sources import tables as T
+from harborlight.sources.shared import saved, shared_folder
 
 LATE = "3 hours"
 
@@ -157,7 +159,22 @@ def stream_trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("until").cast("timestamp_ntz").alias("until"), "age_s", "n", "hits")
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_dedup, stream_slot_counts, stream_label_join, stream_lookback, stream_fresh, stream_trailing_counts]
+def scored(stream: DataFrame, rates: DataFrame, usual: float) -> DataFrame:
+    """Each reading in service once, with its station's rate, or the usual one where the station has none: a stream joined with a stored table."""
+    rows = deduplicated(stream.where("ok").select("sid", "t"))
+    return rows.join(rates.select("sid", "p"), "sid", "left").select("sid", "t", F.coalesce("p", F.lit(usual)).alias("p"))
+
+
+def stream_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction a capture file; a batch that is run again replaces what it wrote, so no capture is scored twice."""
+    ex = saved(L.examples(T.readings(spark, sf_dir)).where(F.col("d").between(*L.TRAIN)).select("sid", F.col("y").cast("int").alias("y")))
+    rates = saved(ex.groupBy("sid").agg(F.avg("y").alias("p"), F.count(F.lit(1)).alias("n")).where("n >= 10"))
+    usual = ex.agg(F.avg("y")).first()[0] or 0.0
+    rows = drained(scored(feed(spark, in_parts(spark, sf_dir)), rates, usual))
+    return rows.select("sid", F.col("t").cast("timestamp_ntz").alias("t"), F.round("p", 6).alias("p"))
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_dedup, stream_slot_counts, stream_label_join, stream_lookback, stream_fresh, stream_trailing_counts, stream_predictions]
 SQL = {
     "stream_dedup": "SELECT user_id AS sid, count(DISTINCT ts) AS n FROM events GROUP BY 1",
     "stream_slot_counts": V.with_views(V.SNAP) + " SELECT time_bucket(INTERVAL 15 MINUTE, t) AS slot_start, count(*) AS n, count(*) FILTER (is_full) AS n_full FROM snap GROUP BY 1",
@@ -168,4 +185,6 @@ SQL = {
     "stream_fresh": V.with_views(V.SNAP) + f" SELECT sid, count(*) AS n, count(*) FILTER (is_full) AS n_full FROM snap WHERE age_s <= {STALE_AFTER_S} GROUP BY 1",
     "stream_trailing_counts": V.with_views(V.SNAP) + """, w AS (SELECT time_bucket(INTERVAL 7 DAY, t, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY + unnest([0, 7, 14, 21]) * INTERVAL 1 DAY AS until, age_s, is_full FROM snap)
         SELECT until, age_s, count(*) AS n, count(*) FILTER (is_full) AS hits FROM w GROUP BY 1, 2""",
+    "stream_predictions": V.with_views(V.SNAP, V.examples()) + f""", tr AS (SELECT sid, CAST(y AS INT) AS y FROM ex WHERE d BETWEEN {L.TRAIN[0]} AND {L.TRAIN[1]}), r AS (SELECT sid, avg(y) AS p FROM tr GROUP BY 1 HAVING count(*) >= 10)
+        SELECT s.sid, s.t, round(coalesce(r.p, (SELECT avg(y) FROM tr), 0), 6) AS p FROM (SELECT DISTINCT sid, t FROM snap WHERE ok) s LEFT JOIN r ON r.sid = s.sid""",
 }
