@@ -64,6 +64,20 @@ def update_days(rows: DataFrame, day: str, folder: str) -> list[str]:
     return [str(d) for d in changed]
 
 
+def put_blobs(rows: DataFrame, folder: str) -> None:
+    """Stores the body of each key, text of any lines, where the folder lies in any file system that Spark can name; a key put again is replaced.
+
+    rows: key, body, one row a key. Keys may hold slashes; a key that isn't put stays as it was.
+    """
+    held = rows.select("key", "body").repartition("key")
+    held.write.partitionBy("key").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+
+
+def get_blobs(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, body) of all that is stored; a filter on the key reads that key's folder only."""
+    return spark.read.schema("body string, key string").parquet(folder).select("key", "body")
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -85,6 +99,16 @@ def daily_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("rebuilt", F.col("day").cast("string").isin(again))
 
 
+def blob_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of each day under a key; two days are put again with another body."""
+    rows = T.table(spark, sf_dir, "events").withColumn("key", F.date_format("ts", "'status/'yyyy/MM/dd'.json'"))
+    body = F.concat(F.lit('{"n":'), F.count(F.lit(1)), F.lit(',\n"last":'), F.max("event_id"), F.lit("}"))
+    folder = fresh_folder(spark, "blobs")
+    put_blobs(rows.groupBy("key").agg(body.alias("body")), folder)
+    put_blobs(rows.where("day(ts) in (5, 9) and event_type = 'click'").groupBy("key").agg(body.alias("body")), folder)
+    return get_blobs(spark, folder)
+
+
 def capture_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture files of the lookback before each station's last one, by the time in their names."""
     name = F.concat(F.lit("status_"), F.date_format("ts", "yyyyMMdd'T'HHmmss"), F.lit("Z.json.gz"))
@@ -242,7 +266,7 @@ def nested_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    monthly_scan, daily_partitions, capture_window, full_outer_horizons, live_predictions, info_status, fallback_share, empty_target, local_days, block_ids, months_touched,
+    monthly_scan, daily_partitions, blob_sink, capture_window, full_outer_horizons, live_predictions, info_status, fallback_share, empty_target, local_days, block_ids, months_touched,
     latest_records, private_ends, mapped_kinds, finite_values, contains_text, seeded_sample, unknown_ids, walk_order, nested_maps,
 ]
 W = V.with_views
@@ -257,6 +281,8 @@ PARTS = ", ".join(f"""CASE WHEN {_p(h)} IS NOT NULL THEN '"{h}":' || CAST(round(
 SQL = {
     "monthly_scan": W(V.TRIPS) + " SELECT strftime(departed_at, '%Y-%m') AS month, count(*) AS n, sum(duration_min) AS minutes FROM trips GROUP BY 1",
     "daily_partitions": W(V.SNAP) + " SELECT CAST(t AS DATE) AS day, count(*) AS n, CAST(sum(docks) AS BIGINT) AS docks, bool_or(day(t) IN (5, 9) AND sid % 3 = 0) AS rebuilt FROM snap GROUP BY 1",
+    "blob_sink": """WITH e AS (SELECT strftime(ts, 'status/%Y/%m/%d.json') AS key, day(ts) IN (5, 9) AS again, event_type = 'click' AS click, event_id FROM events)
+        SELECT key, '{"n":' || count(*) || ',' || chr(10) || '"last":' || max(event_id) || '}' AS body FROM e WHERE click OR NOT again GROUP BY 1""",
     "capture_window": """WITH f AS (SELECT user_id AS sid, date_trunc('second', ts) AS w FROM events), l AS (SELECT sid, max(w) AS until FROM f GROUP BY 1)
         SELECT sid, 'status_' || strftime(until, '%Y%m%dT%H%M%S') || 'Z.json.gz' AS last, count(*) AS n FROM f JOIN l USING (sid) WHERE w > until - INTERVAL 2880 MINUTE AND w <= until GROUP BY 1, 2""",
     "full_outer_horizons": W(V.SNAP, LAST) + f" SELECT sid, t, {', '.join(f'{_p(h)} AS p_full_{h}' for h in HORIZONS)} FROM last WHERE {' OR '.join(f'{_p(h)} IS NOT NULL' for h in HORIZONS)}",

@@ -38,7 +38,7 @@ def period_of(day: Column) -> Column:
 def ordered_split(days: DataFrame, day: str, dev: Sequence[int], shares: tuple[float, float] = SHARES) -> DataFrame:
     """Distinct days with their part: train, fit or report in order, days of dev always train.
 
-    Every part gets a day if three are usable; with fewer all are trained on. The window runs over days, which are few.
+    With three usable days or more the report has one (of just three, fitting has none); with fewer all are trained on. The window runs over days, which are few.
     """
     rows = days.withColumn("_dev", F.col(day).isin(*dev))
     usable = Window.partitionBy("_dev")
