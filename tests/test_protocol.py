@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborlight.plans import live, protocol
-from harborlight.sources.shared import shared_folder
 from harborlight.streaming import jobs
 
 
@@ -73,8 +72,8 @@ def test_blobs_are_replaced_by_key(spark):
 
 
 def test_captures_are_scored_once(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/twice"
-    spark.read.parquet(f"{sf_dir}/events.parquet").limit(20).write.mode("overwrite").parquet(folder)
+    folder = live.fresh_folder(spark, "twice")
+    spark.read.parquet(f"{sf_dir}/events.parquet").limit(20).write.parquet(folder)
     again = spark.read.parquet(folder)
     again.unionByName(again).coalesce(1).write.parquet(f"{folder}-all")
     rates = spark.createDataFrame([], "sid long, p double")
