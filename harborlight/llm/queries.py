@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import chat, decontam, html, langid, mixing, quality, sharding, simhash, substring, vectors
+from harborlight.llm import chat, decontam, html, langid, mixing, quality, resampling, sharding, simhash, substring, vectors
 from harborlight.llm.common import table
 
 
@@ -66,10 +66,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(given.unionByName(more)), in_order=True)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.numbered(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_substring, op3_sharding, op4_quality, op5_simhash, op6_vectors, op7_decontamination, op8_language_id, op9_html, op10_chat,
+        op11_resampling,
     )
 }
 
@@ -101,4 +107,38 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM ranked
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL}
+#: CRC-32 of each different run, byte by byte through its table.
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i::BIGINT) ORDER BY i) AS t FROM range(256) AS r(i)
+), given AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), worded AS (
+  SELECT side, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM given
+), runs AS (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM worded
+), counts AS (
+  SELECT side, r, f, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)), lambda v, b: xor(t[1 + (xor(v, b) & 255)], v >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM counts)), crc
+), met AS (
+  SELECT side, r, bucket, sum(n) AS n FROM counts JOIN hashed USING (f) GROUP BY ALL
+), shares AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 't'), 0) AS t FROM met GROUP BY 1
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM shares
+), weighed AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM met JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1
+), named AS (
+  SELECT doc_id, r, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM worded LEFT JOIN weighed USING (r) WHERE side = 'd'
+), scored AS (
+  SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM named
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id, n_features, weight) AS k, count(*) FILTER (words >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 25 * able // 100 THEN k END AS rank FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op11_resampling": OP11_SQL}
