@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import chat, decontam, html, langid, mixing, quality, resampling, sharding, simhash, substring, vectors
+from harborlight.llm import chat, decontam, html, langid, mixing, pii, quality, resampling, sharding, simhash, substring, vectors
 from harborlight.llm.common import table
 
 
@@ -71,11 +71,18 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.found(table(spark, sf_dir, "documents"), ["doc_id"])
+    fixed = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(fixed, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.listed(fixed), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_substring, op3_sharding, op4_quality, op5_simhash, op6_vectors, op7_decontamination, op8_language_id, op9_html, op10_chat,
-        op11_resampling,
+        op11_resampling, op13_personal_data,
     )
 }
 
