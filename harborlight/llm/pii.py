@@ -184,7 +184,8 @@ def votes(text: str, kind: int, start: int, end: int, fixed: bool) -> int:
         checks = say(8 <= len(digits) <= 15, True)
         listed = say(any(code[:n] in CALLING for n in (1, 2)), bool(code))
         laid = say(span[0] == "+" and len(groups) > 1 or "(" in span, len(set(groups)) == 1)
-    given = (say(fixed, False), checks, listed, say(FOR[kind].search(before), AGAINST.search(before)), say(apart, True), laid)
+    shaped = fixed or kind == CARD and 16 <= len(digits) <= 19 and laid == YES or kind == PHONE and span[0] == "+"
+    given = (say(shaped, False), checks, listed, say(FOR[kind].search(before), AGAINST.search(before)), say(apart, True), laid)
     shape = (len(digits) >= 12, any(not c.isalnum() for c in span), not before or before[-1] in "\n:;,|=\"'([", end - start > 24)
     code = kind
     for v in given:
@@ -232,19 +233,23 @@ def voted(docs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return written(rows.mapInArrow(of, f"_row {rows.schema[0].dataType.simpleString()}, _spans array<{SPAN}>"))
 
 
+#: What the prior expects of a labeler, by class: shares of abstaining, no and yes; a failed checksum hardly ever goes with a true span.
+EXPECTED = np.array([[[0.3, 0.5, 0.2], [0.3, 0.1, 0.6]]] * len(LABELERS)).transpose(1, 0, 2)
+EXPECTED[:, LABELERS.index("checksum")] = [[0.2, 0.6, 0.2], [0.02, 0.003, 0.977]]
+
+
 def reliabilities(given: np.ndarray, n: np.ndarray, rounds: int = 200, strength: float = 5.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each pattern, probability of each vote by class and labeler, share of the classes) by EM over counted patterns.
 
     given: (patterns, labelers) of votes. The prior says that labelers are right more often than wrong; it counts as `strength` spans.
     """
     one = np.eye(3)[given]  # patterns, labelers, votes
-    lean = (given == YES).sum(1) - (given == NO).sum(1)
-    p = 1 / (1 + np.exp(-lean.astype(float)))
-    expected = np.array([[0.3, 0.5, 0.2], [0.3, 0.1, 0.6]])  # by class: abstains, no, yes
+    first = np.einsum("plv,clv->cp", one, np.log(EXPECTED))
+    p = 1 / (1 + np.exp(first[0] - first[1]))
     for _ in range(rounds):
         w = np.stack([(1 - p) * n, p * n])
         share = (w.sum(1) + strength) / (w.sum() + 2 * strength)
-        theta = np.einsum("cp,plv->clv", w, one) + strength * expected[:, None, :]
+        theta = np.einsum("cp,plv->clv", w, one) + strength * EXPECTED
         theta /= theta.sum(2, keepdims=True)
         like = np.log(share)[:, None] + np.einsum("plv,clv->cp", one, np.log(theta))
         after = 1 / (1 + np.exp(np.clip(like[0] - like[1], -700, 700)))
