@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import chat, decontam, html, langid, mixing, pii, quality, resampling, sharding, simhash, substring, vectors
+from harborlight.llm import chat, decontam, html, langid, mixing, negatives, pii, quality, resampling, sharding, simhash, substring, vectors
 from harborlight.llm.common import table
 
 
@@ -71,6 +71,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(rows["vec_id"] % 7 == 0, (rows["label"] + 1) % 10).otherwise(rows["label"])
+    return negatives.mined(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.found(table(spark, sf_dir, "documents"), ["doc_id"])
     fixed = F.filter("spans", lambda s: s["base"])
@@ -82,7 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_substring, op3_sharding, op4_quality, op5_simhash, op6_vectors, op7_decontamination, op8_language_id, op9_html, op10_chat,
-        op11_resampling, op13_personal_data,
+        op11_resampling, op12_hard_negatives, op13_personal_data,
     )
 }
 
@@ -148,4 +154,23 @@ WITH crc AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 25 * able // 100 THEN k END AS rank FROM ranked
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op11_resampling": OP11_SQL}
+OP12_SQL = """
+WITH given AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (
+  SELECT row_number() OVER () AS r, * FROM given
+), scored AS (
+  SELECT q.r, q.vec_id AS anchor_id, n.vec_id, n.label = q.label AS same, CAST(list_dot_product(q.x, n.x) AS BIGINT) AS score
+  FROM numbered q JOIN numbered n ON n.r <> q.r AND len(n.x) = len(q.x) WHERE q.vec_id % 50 = 0
+), positive AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5
+), negative AS (
+  SELECT p.r, p.k, p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.r, p.k ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positive p JOIN scored n ON n.r = p.r AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 3
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": OP12_SQL, "op1_mixing": OP1_SQL, "op11_resampling": OP11_SQL}
