@@ -1,20 +1,24 @@
-"""Repeated passages by hashing units of words that a text's own words delimit.
-
-A line or sentence is no good unit when a passage is pasted into another, so units are cut by content: of every WINDOW
-neighbouring boundaries between words, the one with the least hash of the words beside it is a cut, and a unit goes from
-each cut to the first one that is UNIT_WORDS or more behind. Words are runs of letters and digits in lower case, so line
-ends, punctuation and capitals play no part. Units overlap, and equal stretches have equal units whatever stands around
-them: of 51 equal words at least UNIT_WORDS are always found (with the defaults: the first common cut lies within 8
-words, and its unit ends before the last 8).
-
-Digests are grouped over the corpus, and of each the occurrence first by (document id, place) is kept. The later ones of
-a document, joined where they overlap or touch, are the passages to remove, with their offsets in the original text.
-
-Defined cases: null and wordless texts and those under UNIT_WORDS words have no units; ids order with null last, and rows
-without an id are documents of their own, in the order that they were read; rows with one id and different texts are
-different documents, ordered by the text's digest; repeated rows with one id are the same occurrence and both kept;
-a repeat in the document that has the first occurrence is removed too, unless it overlaps that or `within` is unset; an
-empty table gives an empty result.
+"""Repeated lines, paragraphs and pasted passages: units of words are hashed, and of each the first occurrence stays.
+
+Words are runs of letters and digits in lower case, so punctuation and capitals play no part. Units are
+
+* every line and every paragraph (lines between blank ones) of LINE_WORDS words or more (`lines`; 0 leaves them out), and
+* stretches cut by content, for passages that are pasted into lines: of every WINDOW neighbouring boundaries between words
+  the one with the least hash of the words beside it is a cut, and a unit goes from each cut to the first one that is
+  UNIT_WORDS or more behind. Equal stretches have equal units whatever stands around them: of 51 equal words at least
+  UNIT_WORDS are always found, as the first common cut lies within WINDOW words and its unit ends within WINDOW more.
+
+Digests are counted over the corpus; units whose digest comes twice go on, and of each digest the occurrence first by
+(document id, place) is kept. The later ones of a document, joined where they overlap or touch, are the passages to remove.
+Each is then compared word by word with its first occurrence, up to WINDOW words ahead of it and twice as many behind,
+which is as far as a common stretch can reach beyond its units; offsets are those of the original text.
+
+Defined cases: null and wordless texts and those under LINE_WORDS words have no units, nor have lines and paragraphs of
+fewer words, unless they lie in a longer repeat; ids order with null last, and rows without an id are documents of their
+own, in the order that they were read, whose passages are not extended; rows with one id and different texts are different
+documents, ordered by the text's digest; repeated rows with one id are the same occurrence and both kept; a repeat in the
+document that has the first occurrence is removed too, unless it overlaps that or `within` is unset; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,16 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import written
+from harborlight.llm.common import with_small, written
 
-#: Boundaries of which one is a cut, and words of a unit at least.
-WINDOW, UNIT_WORDS = 9, 25
+#: Boundaries of which one is a cut, and words at least of such a unit and of a line or paragraph. A stretch of
+#: UNIT_WORDS + 2 * WINDOW words is always found.
+WINDOW, UNIT_WORDS, LINE_WORDS = 13, 25, 5
 #: Characters whose words are hashed at once.
 BLOCK = 1 << 20
 #: Odd factors of the hashes.
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 B_INVERSE = np.uint64(pow(int(B), -1, 1 << 64))
-SPACE = re.compile(r"\s")
+SPACE, LINE, BLANK = re.compile(r"\s"), re.compile(r"\n"), re.compile(r"\n\s*\n")
 
 
 @cache
@@ -78,17 +83,32 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
-def units(text: str | None) -> tuple[np.ndarray, ...]:
+def parts(start: np.ndarray, text: str, breaks: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word behind the last) of the stretches between breaks that have words."""
+    at = np.searchsorted(np.array([m.start() for m in breaks.finditer(text)], dtype=np.int64), start)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 0]))
+    return first, np.append(first[1:], len(start))
+
+
+def units(text: str | None, lines: int = LINE_WORDS) -> tuple[np.ndarray, ...]:
     """(digest, first word, word behind the last, start, end) of each unit."""
-    h, start, end = words(text or "")
+    text = text or ""
+    h, start, end = words(text)
     n = len(h)
-    if n < UNIT_WORDS:
+    found = []
+    if lines and n >= lines:
+        for breaks in (LINE, BLANK):
+            first, behind = parts(start, text, breaks)
+            found.append(np.stack([first, behind])[:, behind - first >= lines])
+    if n >= UNIT_WORDS:
+        between = mixed(h[:-1] * A + h[1:] * C)
+        least = np.lib.stride_tricks.sliding_window_view(between, WINDOW).argmin(1)
+        cuts = np.unique(np.concatenate([[0], least + np.arange(len(least)) + 1, [n]]))
+        to = np.searchsorted(cuts, cuts + UNIT_WORDS)
+        found.append(np.stack([cuts[to < len(cuts)], cuts[to[to < len(cuts)]]]))
+    if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    between = mixed(h[:-1] * A + h[1:] * C)
-    least = np.lib.stride_tricks.sliding_window_view(between, WINDOW).argmin(1)
-    cuts = np.unique(np.concatenate([[0], least + np.arange(len(least)), [n]]))
-    to = np.searchsorted(cuts, cuts + UNIT_WORDS)
-    first, behind = cuts[to < len(cuts)], cuts[to[to < len(cuts)]]
+    first, behind = np.unique(np.concatenate(found, axis=1), axis=1)
     with np.errstate(over="ignore"):
         powers = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, B))])
         sums = np.concatenate([[np.uint64(0)], np.add.accumulate(h * powers[:-1])])
@@ -97,7 +117,11 @@ def units(text: str | None) -> tuple[np.ndarray, ...]:
     return digest.view(np.int64), first, behind, start[first], end[behind - 1]
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
+def key_of(docs: DataFrame):
+    return F.when(docs["doc_id"].isNotNull(), F.shiftrightunsigned(F.xxhash64(docs["text"]), 32))
+
+
+def unit_rows(docs: DataFrame, lines: int = LINE_WORDS) -> DataFrame:
     """(doc_id, key, digest, w0, w1, start, end): a row a unit; key tells rows of one id apart by text, rows without id one by one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "key", "digest", "w0", "w1", "start", "end"]
@@ -119,7 +143,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                 count += 1
                 at.append(i)
                 keys.append(count if key is None else key)
-                found.append(units(text.as_py()))
+                found.append(units(text.as_py(), lines))
                 size += len(found[-1][0])
                 if size > 100_000:
                     yield batch_of(ids, at, keys, found)
@@ -127,28 +151,98 @@ def unit_rows(docs: DataFrame) -> DataFrame:
             if found:
                 yield batch_of(ids, at, keys, found)
 
-    key = F.when(docs["doc_id"].isNotNull(), F.shiftrightunsigned(F.xxhash64(docs["text"]), 32))
-    return docs.select("doc_id", key, "text").mapInArrow(of, f"doc_id {kind}, key long, digest long, w0 int, w1 int, start int, end int")
+    return docs.select("doc_id", key_of(docs), "text").mapInArrow(of, f"doc_id {kind}, key long, digest long, w0 int, w1 int, start int, end int")
 
 
-def repeats(docs: DataFrame, least: int = UNIT_WORDS, within: bool = True) -> DataFrame:
+def in_runs(rows: DataFrame, *more) -> DataFrame:
+    """(doc_id, key, w0, w1, start, end, ...) joined where they overlap or touch."""
+    order = Window.partitionBy("doc_id", "key").orderBy("w0")
+    reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("w0") <= F.col("reached"), 0).otherwise(1)
+    runs = rows.withColumn("reached", reached).withColumn("run", F.sum(begins).over(order)).groupBy("doc_id", "key", "run")
+    return runs.agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("start").alias("start"), F.max("end").alias("end"), *more)
+
+
+def around(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, key, place, back, hashes, edges): the words next to each place, nearest first, with their outer ends.
+
+    places: (doc_id, key, place, back), no row twice; a document has at most two for each word.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    asked = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "back")).alias("places"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, key, text, asks in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
+                h, start, end = words(text.as_py())
+                h, rows = h.view(np.int64), []
+                for ask in asks.as_py():
+                    at, back = ask["place"], ask["back"]
+                    near = np.arange(at - 1, max(-1, at - 1 - WINDOW), -1) if back else np.arange(at, min(len(h), at + 2 * WINDOW))
+                    rows.append((at, back, h[near].tolist(), (start if back else end)[near].tolist()))
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+                same = [pa.array([v.as_py()] * len(rows), batch.schema.field(i).type) for i, v in enumerate((ids, key))]
+                yield pa.RecordBatch.from_arrays([*same, *columns], ["doc_id", "key", "place", "back", "hashes", "edges"])
+
+    texts = docs.where(docs["doc_id"].isNotNull()).select("doc_id", key_of(docs).alias("key"), "text")
+    near = with_small(texts, written(asked), ["doc_id", "key"], "inner").mapInArrow(of, f"doc_id {kind}, key long, place int, back boolean, hashes array<long>, edges array<int>")
+    return near.dropDuplicates(["doc_id", "key", "place", "back"])  # of repeated rows one is enough
+
+
+def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """runs with w0, w1, start and end moved outwards over words that equal those beside the first occurrence."""
+    runs = written(runs.withColumn("id", F.monotonically_increasing_id()))
+    sides = [("doc_id", "key", "w0", True, True), ("a_doc_id", "a_key", "a_w0", True, False), ("doc_id", "key", "w1", False, True), ("z_doc_id", "z_key", "z_w1", False, False)]
+    able = runs.where("doc_id is not null and a_doc_id is not null and z_doc_id is not null")
+    asks = [able.select("id", F.col(d).alias("doc_id"), F.col(k).alias("key"), F.col(w).alias("place"), F.lit(back).alias("back"), F.lit(own).alias("own")) for d, k, w, back, own in sides]
+    asks = written(asks[0].unionByName(asks[1]).unionByName(asks[2]).unionByName(asks[3]))
+    near = asks.join(around(docs, asks.select("doc_id", "key", "place", "back").distinct()), ["doc_id", "key", "place", "back"])
+    side = lambda own, back, c: F.max(F.when((F.col("own") == own) & (F.col("back") == back), F.col(c)))
+    met = near.groupBy("id").agg(*(side(own, back, c).alias(f"{c}_{'own' if own else 'first'}_{'back' if back else 'on'}") for own in (True, False) for back in (True, False) for c in ("hashes", "edges")))
+
+    def equal(back: str):
+        a, b = F.col(f"hashes_own_{back}"), F.col(f"hashes_first_{back}")
+        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.coalesce(F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
+
+    # in the first occurrence's own document neither may grow into the other
+    alike = lambda d, k: F.coalesce((F.col("doc_id") == F.col(d)) & (F.col("key") == F.col(k)), F.lit(False))
+    kept_to = F.greatest(F.when(alike("a_doc_id", "a_key"), F.col("a_w1")), F.when(alike("z_doc_id", "z_key"), F.col("z_w1")))
+    rows = runs.join(met, "id", "left").withColumn("kept_to", kept_to)
+    free = lambda w: F.when(F.col("kept_to").isNull(), F.lit(1 << 30)).otherwise(F.greatest(F.lit(0), w - F.col("kept_to")))
+    rows = rows.withColumn("more", F.least(equal("back"), free(F.col("w0"))))
+    rows = rows.withColumn("on", F.least(equal("on"), free(F.col("w0") - F.col("more"))))
+    edge = lambda c, n, other: F.when(F.col(n) > 0, F.try_element_at(c, F.col(n))).otherwise(F.col(other))
+    return rows.select(
+        "doc_id", "key", (F.col("w0") - F.col("more")).alias("w0"), (F.col("w1") + F.col("on")).alias("w1"),
+        edge("edges_own_back", "more", "start").alias("start"), edge("edges_own_on", "on", "end").alias("end"), "first_doc_id",
+    )
+
+
+def repeats(docs: DataFrame, least: int = LINE_WORDS, within: bool = True, lines: int = LINE_WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): the passages to remove; first_doc_id has the kept occurrence of its first unit.
 
     n_words counts the passage's words; passages of fewer than `least` are left.
     """
-    rows = written(unit_rows(docs))
+    rows = written(unit_rows(docs, lines))
+    twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    hits = written(rows.join(twice, "digest", "left_semi"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "w0")
-    twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(rank).alias("first")).where("c > 1")
-    twice = written(twice.select("digest", "first.none", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.w0").alias("first_w0")))
-    later = rows.join(twice, "digest")
+    first = hits.groupBy("digest").agg(F.min(rank).alias("first"))
+    first = first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.w0").alias("first_w0"))
+    later = hits.join(first, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("key") == F.col("first_key"))
     behind = F.col("w0") >= F.col("first_w0") + F.col("w1") - F.col("w0")
     later = later.where(~same | (behind & F.lit(within)))
-    once = later.groupBy("doc_id", "key", "w0", "w1", "start", "end").agg(F.min("first_doc_id").alias("first_doc_id"))
-    order = Window.partitionBy("doc_id", "key").orderBy("w0")
-    reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(F.col("w0") <= F.col("reached"), 0).otherwise(1)
-    runs = once.withColumn("reached", reached).withColumn("run", F.sum(begins).over(order)).groupBy("doc_id", "key", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("n_words"), F.min_by("first_doc_id", "w0").alias("first_doc_id"),
+    kept = F.struct(F.col("first_doc_id").isNull().alias("none"), "first_doc_id", "first_key", "first_w0")
+    once = later.groupBy("doc_id", "key", "w0", "w1", "start", "end").agg(F.min(kept).alias("kept"))
+    ahead, last = F.min_by("kept", F.struct("w0", "w1")), F.max_by(F.struct("kept", "w0", "w1"), F.struct("w1", "w0"))
+    runs = in_runs(once, ahead.alias("a"), F.min_by(F.col("w1") - F.col("w0"), F.struct("w0", "w1")).alias("a_n"), last.alias("z"))
+    runs = runs.select(
+        "doc_id", "key", "w0", "w1", "start", "end", F.col("a.first_doc_id").alias("first_doc_id"),
+        F.col("a.first_doc_id").alias("a_doc_id"), F.col("a.first_key").alias("a_key"), F.col("a.first_w0").alias("a_w0"), (F.col("a.first_w0") + F.col("a_n")).alias("a_w1"),
+        F.col("z.kept.first_doc_id").alias("z_doc_id"), F.col("z.kept.first_key").alias("z_key"), (F.col("z.kept.first_w0") + F.col("z.w1") - F.col("z.w0")).alias("z_w1"),
     )
-    return runs.where(F.col("n_words") >= least).select("doc_id", "start", "end", "n_words", "first_doc_id")
+    whole = in_runs(extended(docs, runs), F.min_by("first_doc_id", "w0").alias("first_doc_id"))
+    out = whole.select("doc_id", "start", "end", (F.col("w1") - F.col("w0")).alias("n_words"), "first_doc_id")
+    return out.where(F.col("n_words") >= least)

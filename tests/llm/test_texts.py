@@ -132,6 +132,52 @@ def test_repeats_of_rows_without_id_with_one_id_and_within_a_text(spark):
     assert one.start >= 25 * 5 and one.end == 200 * 5 - 1
 
 
+def test_repeated_lines_paragraphs_and_passages_go_whole(spark):
+    """Every later line, paragraph and passage of 51 words goes to its last word, and nothing but what was there before."""
+    random = np.random.default_rng(18)
+    lines = [prose(random, n) for n in (1, 3, 4, 5, 6, 9, 24)]
+    blocks = ["\n".join(prose(random, n) for n in sizes) for sizes in ((3, 3), (2, 4, 2), (7, 1, 8))]
+    passages = [prose(random, n) for n in (51, 52, 55, 64, 90)]
+    rows = []
+    for k in range(80):
+        parts = [prose(random, random.integers(6, 30)) for _ in range(random.integers(1, 6))]
+        for _ in range(random.integers(0, 3)):
+            parts.insert(random.integers(0, len(parts) + 1), random.choice(lines).upper() + "!")
+        if random.random() < 0.4:
+            parts.insert(random.integers(0, len(parts) + 1), "\n" + random.choice(blocks) + "\n \n")
+        at = random.integers(0, len(parts))
+        if random.random() < 0.5:
+            parts[at] = f"{prose(random, random.integers(0, 9))} a{k} {random.choice(passages)} z{k} {prose(random, random.integers(0, 9))}"
+        rows.append((k, "\n".join(parts)))
+    got = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    places = {k: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t)] for k, t in rows}
+    reported = {(r.doc_id, i) for r in got for i, (a, b, _) in enumerate(places[r.doc_id]) if r.start <= a and b <= r.end}
+    seen, wanted = set(), set()
+    for k, text in rows:
+        words = [w for _, _, w in places[k]]
+        for stretch in [*re.finditer(r"[^\n]+", text), *re.finditer(r"(?:(?!\n\s*\n)[\s\S])+", text)]:
+            inside = [i for i, (a, b, _) in enumerate(places[k]) if stretch.start() <= a and b <= stretch.end()]
+            unit = (stretch.re.pattern, *(words[i] for i in inside))
+            if len(inside) >= 5:
+                if unit in seen:
+                    wanted |= {(k, i) for i in inside}
+                seen.add(unit)
+        for i in range(len(words) - 50):
+            if ("passage", *words[i : i + 51]) in seen:
+                wanted |= {(k, j) for j in range(i, i + 51)}
+        seen |= {("passage", *words[i : i + 51]) for i in range(len(words) - 50)}
+    assert len(wanted) > 800 and wanted <= reported
+    fives = {}
+    for k, found in places.items():
+        for i in range(len(found) - 4):
+            fives.setdefault(tuple(w for _, _, w in found[i : i + 5]), []).append((k, i))
+    again = {(k, i + j) for at in fives.values() for k, i in at[1:] for j in range(5)}
+    assert reported <= again
+    assert all(r.n_words == sum(r.start <= a and b <= r.end for a, b, _ in places[r.doc_id]) >= 5 for r in got)
+    none = substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), lines=0).collect()
+    assert all(r.n_words >= 25 for r in none)
+
+
 def test_repeats_equal_brute_force(spark):
     random = np.random.default_rng(17)
     passages = [prose(random, n) for n in (26, 51, 51, 60, 120)]
