@@ -3,8 +3,10 @@
 A row's key is 40 bits of its text's hash above 24 bits of its id's, so equal texts stand together. A bounded sample of
 keys gives each splitter between shards a first range; each round counts, over all partitions, the exact bytes below
 PROBES probes in every open range and narrows it (or widens it, where the sample was wrong), until each splitter meets
-its tolerance or its range holds no second row. Probes lie between texts as long as a range holds more than one, so a
-group of equal texts is cut only where it alone is larger than the tolerance. Shards consist of pieces of about PIECE bytes,
+its tolerance or its range holds no second row. Probes lie between texts as long as a range holds more than one, and a
+splitter that falls into a group of equal texts moves to the nearer edge of the group, unless the group is larger than WHOLE of
+a shard: so groups up to that size stand in one shard, at the price of shards that differ by half of it at most, and larger
+groups are cut where sizes ask for it. Shards consist of pieces of about PIECE bytes,
 which are split in the same way; slots are the piece's start plus the rank in the piece, so no task sorts a whole shard.
 
 Defined cases: a null text has 16 bytes and a null checksum; a null id is a value like any other; rows with equal text
@@ -28,6 +30,8 @@ LAW = "bytes"
 OVERHEAD = 16
 LOW = 24
 PROBES = 15
+#: The share of a shard up to which a group of equal texts is never cut.
+WHOLE = 0.1
 #: Keys sampled to begin with, for a splitter and at most in all; bytes of a piece and pieces at most, for the driver's counts.
 SAMPLE, SAMPLED, PIECE, PIECES = 32, 500_000, 1 << 28, 100_000
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -74,7 +78,8 @@ def ranges(keys: DataFrame, goal: list[float], total: int, rows: int) -> tuple[l
     slack = 3 * np.sqrt(len(key)) / 2  # three deviations of a sampled rank
     at = np.searchsorted(size, np.array(goal) * size[-1] / max(1, total))
     bound = lambda i, other: key[np.clip(i, 0, len(key) - 1).astype(int)] if (0 <= i < len(key)) else other
-    return [int(bound(i - slack, LEAST)) for i in at], [int(bound(i + slack, MOST)) for i in at]
+    low, high = [int(bound(i - slack, LEAST)) for i in at], [int(bound(i + slack, MOST)) for i in at]
+    return [k >> LOW << LOW for k in low], [min(MOST, (k >> LOW) + 1 << LOW) for k in high]  # between texts
 
 
 def splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float, total: int, rows: int) -> list[int]:
@@ -91,8 +96,11 @@ def splitters(keys: DataFrame, shards: int, pieces: int, tolerance: float, total
         for i in still:
             span, step = high[i] - low[i], 1 << LOW
             inside = {low[i] + span * j // (PROBES + 1) for j in range(1, PROBES + 1)}
-            if span > 2 * step:
-                inside = {p >> LOW << LOW for p in inside}
+            between = {p >> LOW << LOW for p in inside} if span > step * PROBES else set(range((low[i] >> LOW) + 1 << LOW, high[i], step))
+            if between:
+                inside = between
+            elif i % pieces == pieces - 1 and best[i][0] <= total / shards * WHOLE / 2:  # one group is left, whose edges were asked
+                inside = set()
             asked[i] = sorted(p for p in inside if low[i] < p < high[i]) + [low[i], high[i]] * (not checked[i])
         probes = sorted({p for x in asked.values() for p in x})
         under = dict(zip(probes, below(keys, probes))) if probes else {}

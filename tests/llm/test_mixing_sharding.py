@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from harborlight.llm import mixing, sharding
@@ -100,6 +101,38 @@ def test_a_heavy_group_of_equal_texts_is_split(spark):
     assert len(size) == 4 and max(size.values()) < 1.1 * min(size.values())
 
 
+def test_splitters_equal_a_sorted_list(spark):
+    """Each splitter lies at the group edge nearest to its goal, or within its tolerance of the goal; only large groups are cut."""
+    rng = np.random.default_rng(8)
+    texts = [f"{k} " * int(rng.integers(1, 60)) for k in range(260)]
+    rows = [(None if i % 9 == 0 else i, texts[int(k)], "s") for i, k in enumerate(rng.zipf(1.25, 2_500) % 260)] + [(None, None, None)] * 30 + [(5, None, None)] * 9
+    docs = frame(spark, rows)
+    n, got = 8, shards_of(spark, rows, 8)
+    keyed = docs.select("text", sharding.key_of(docs["text"], docs["doc_id"]).alias("key"), sharding.size_of(docs["text"]).alias("size")).collect()
+    groups = defaultdict(int)
+    for r in keyed:
+        groups[r.key >> sharding.LOW] += r.size
+    total, order = sum(groups.values()), sorted(groups)
+    edges = np.concatenate([[0], np.cumsum([groups[k] for k in order])])
+    size = defaultdict(int)
+    for r in got:
+        size[r.shard] += r.size
+    ends = np.cumsum([size[k] for k in range(n)])
+    held = defaultdict(set)
+    for r in got:
+        held[r.text].add(r.shard)
+    by_text = defaultdict(int)
+    for r in keyed:
+        by_text[r.text] += r.size
+    share = total / n
+    assert all(len(s) == 1 for t, s in held.items() if by_text[t] <= sharding.WHOLE * share)
+    assert sum(by_text[t] > sharding.WHOLE * share for t in by_text) >= 2
+    for i in range(1, n):
+        off = abs(ends[i - 1] - share * i)
+        assert off <= 0.005 * share or off <= np.abs(edges - share * i).min() + 1e-6 or off <= sharding.WHOLE * share / 2 and by_text[None] > 0
+    assert len(got) == len(rows)
+
+
 def test_reruns_agree_and_edges(spark):
     rows = [(None, None, None), (None, None, None), (3, "", "a"), (4, "é" * 1000, None), (5, "x", "a")]
     key = lambda rs: sorted((str(r.doc_id), r.size, str(r.text_crc32), r.shard, r.slot) for r in rs)
