@@ -12,7 +12,8 @@ its links, so no table of all pairs comes about, however dense a group is.
 Equal vectors are one node with a count; nodes are rows of a written table and told apart by the whole vector, not a hash.
 Vectors of each length are joined among themselves, in the same jobs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; rows without
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; very large and very
+small components count in full, as vectors are scaled by powers of two first; rows without
 an id are counted as links and have no part in component_id; repeated rows are vectors of their own; an empty table gives
 an empty result.
 """
@@ -51,10 +52,15 @@ def bounds(d: int) -> np.ndarray:
 
 def turned(x: np.ndarray) -> np.ndarray:
     """Vectors of one length as unit vectors, rotated."""
-    x = x / np.abs(x).max(1, keepdims=True)
+    x = scaled(x)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, which changes no digit, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def given(vectors: DataFrame) -> Column:
     """The vectors in their own kind if that is float, else as doubles."""
     return F.col("embedding").cast("array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>")
@@ -164,7 +170,7 @@ def compared(rows: pa.Table, cosine: float) -> pa.Table:
     """(a, b, n): links of the chunk's forest, and with b null the number of vectors that a links with here."""
     d, block = rows.column("d")[0].as_py(), rows.column("block")[0].as_py()
     flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    x = flat.reshape(rows.num_rows, d).astype(np.float64)
+    x = scaled(flat.reshape(rows.num_rows, d).astype(np.float64))
     node, n, home, stored = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "home", "stored"))
     node, n, home, stored = node.astype(np.int64), n.astype(np.float64), home.astype(bool), stored.astype(bool)
     names, place = np.unique(node, return_inverse=True)

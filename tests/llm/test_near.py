@@ -144,5 +144,11 @@ def test_vectors_without_ids_and_of_doubles(spark):
     assert got == [("7", 2, 7, True), ("7", 2, 7, True), ("None", 0, None, True), ("None", 0, None, True), ("None", 2, 7, False)]
 
 
+def test_vectors_of_extreme_components(spark):
+    rows = [(1, [1e-200, 0.0, 0.0]), (2, [2e-200, 0.0, 0.0]), (3, [1e200, 1.0]), (4, [2e200, 1.0]), (5, [1e-320, 1e-320]), (6, [3.0, 3.0]), (7, [1e308, 1e308]), (8, [-1e308, 1e308])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.labelled(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (0, 8)}
+
+
 def test_vectors_of_nothing(spark):
     assert vectors.labelled(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
