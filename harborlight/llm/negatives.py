@@ -159,9 +159,10 @@ def window(score: int, low: int, high: int) -> tuple[int, int]:
 
 
 def asking(anchors: DataFrame, keys: dict[int, Keys], cells: dict[int, Cells], step: int, low: int, high: int) -> DataFrame:
-    """(row, label, x, d, wanted, ask, bound): the cells that each anchor asks in this round, and the bound of those that it hasn't asked yet (null: none is left).
+    """(row, label, x, d, wanted, held, ask, bound): the cells that each anchor asks in this round, and the bound of those that it hasn't asked yet (null: none is left).
 
-    wanted: the positives' scores whose negatives are searched, or empty to search for positives.
+    wanted: the positives' scores whose negatives are searched, or empty to search for positives. held: for each of them (or
+    the positives) the score of the k-th find so far, null without one.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +183,9 @@ def asking(anchors: DataFrame, keys: dict[int, Keys], cells: dict[int, Cells], s
                         rest = order[before >= upto[1]]
                         asked[i] = cells[d].cell[new].tolist()
                         bound[i] = float(top[i][rest[0]]) if len(rest) else None
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(asked, pa.list_(pa.int32())), pa.array(bound, pa.float64())], ["row", "label", "x", "d", "wanted", "ask", "bound"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(asked, pa.list_(pa.int32())), pa.array(bound, pa.float64())], ["row", "label", "x", "d", "wanted", "held", "ask", "bound"])
 
-    return anchors.select("row", "label", "x", "d", "wanted").mapInArrow(of, "row long, label long, x array<bigint>, d int, wanted array<bigint>, ask array<int>, bound double")
+    return anchors.select("row", "label", "x", "d", "wanted", "held").mapInArrow(of, "row long, label long, x array<bigint>, d int, wanted array<bigint>, held array<bigint>, ask array<int>, bound double")
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -197,7 +198,7 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best(group: pa.Table, positives: int, negatives: int, low: int, high: int) -> pa.Table:
-    """(row, wanted, vec_id, score): of a piece of a cell, each anchor's first positives, or its first negatives for each wanted score."""
+    """(row, wanted, vec_id, score): of a piece of a cell, each anchor's first positives, or its first negatives for each wanted score, unless behind what is held."""
     d = group.column("d")[0].as_py()
     asks = np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False))
     there = group.filter(pa.compute.invert(group.column("asks")))
@@ -205,11 +206,11 @@ def best(group: pa.Table, positives: int, negatives: int, low: int, high: int) -
     rows, anchors = there.column("row").to_numpy(zero_copy_only=False), group.take(pa.array(asks))
     x, label = matrix(there.column("x"), d), there.column("label").to_numpy(zero_copy_only=False)
     q, q_label = matrix(anchors.column("x"), d), anchors.column("label").to_numpy(zero_copy_only=False)
-    q_row, wanted = anchors.column("row").to_numpy(zero_copy_only=False), anchors.column("wanted").to_pylist()
+    q_row, wanted, held = anchors.column("row").to_numpy(zero_copy_only=False), anchors.column("wanted").to_pylist(), anchors.column("held").to_pylist()
     out: tuple[list, list, list, list] = ([], [], [], [])
 
-    def first(i: int, score: np.ndarray, fit: np.ndarray, k: int, want: int | None) -> None:
-        at = np.flatnonzero(fit)
+    def first(i: int, score: np.ndarray, fit: np.ndarray, k: int, want: int | None, least: int | None) -> None:
+        at = np.flatnonzero(fit if least is None else fit & (score >= least))
         if len(at) > k:
             at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
         at = at[np.argsort(-score[at], kind="stable")][:k]
@@ -222,11 +223,11 @@ def best(group: pa.Table, positives: int, negatives: int, low: int, high: int) -
         for i, score in enumerate(part, at):
             same = label == q_label[i]
             if wanted[i]:
-                for want in wanted[i]:
+                for want, kth in zip(wanted[i], held[i] or [None] * len(wanted[i])):
                     least, most = window(want, low, high)
-                    first(i, score, ~same & (score >= least) & (score <= most), negatives, want)
+                    first(i, score, ~same & (score >= least) & (score <= most), negatives, want, kth)
             else:
-                first(i, score, same & (rows != q_row[i]), positives, None)
+                first(i, score, same & (rows != q_row[i]), positives, None, held[i][0] if held[i] else None)
     ids = there.column("vec_id").take(pa.array(out[2], pa.int64()))
     return pa.table({"row": pa.array(out[0], pa.int64()), "wanted": pa.array(out[1], pa.int64()), "vec_id": ids, "score": pa.array(out[3], pa.int64())})
 
@@ -234,15 +235,15 @@ def best(group: pa.Table, positives: int, negatives: int, low: int, high: int) -
 def met(asks: DataFrame, store: DataFrame, positives: int, negatives: int, low: int, high: int) -> DataFrame:
     """best() of all pieces of the cells that are asked."""
     cell = ["d", "cell"]
-    asks = asks.select("row", "label", "x", "d", "wanted", F.explode("ask").alias("cell"))
+    asks = asks.select("row", "label", "x", "d", "wanted", "held", F.explode("ask").alias("cell"))
     sizes = store.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows")).join(asks.groupBy(*cell).agg(F.count(F.lit(1)).alias("asked")), cell)
     parts = written(sizes.select(*cell, F.ceil(F.col("rows") / PIECE).cast("int").alias("p"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("c")))
     tasks = parts.agg(F.sum(F.col("p") * F.col("c")).alias("n")).first().n or 1
     deal = lambda n: F.pmod(F.xxhash64("row", F.lit(1)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
-    left = store.join(parts, cell).select("row", "vec_id", "label", "x", none("wanted", asks), F.lit(False).alias("asks"), *cell, deal("p").alias("p"), each("c").alias("c"))
-    right = asks.join(parts, cell).select("row", none("vec_id", store), "label", "x", "wanted", F.lit(True).alias("asks"), *cell, each("p").alias("p"), deal("c").alias("c"))
+    left = store.join(parts, cell).select("row", "vec_id", "label", "x", none("wanted", asks), none("held", asks), F.lit(False).alias("asks"), *cell, deal("p").alias("p"), each("c").alias("c"))
+    right = asks.join(parts, cell).select("row", none("vec_id", store), "label", "x", "wanted", "held", F.lit(True).alias("asks"), *cell, each("p").alias("p"), deal("c").alias("c"))
     dealt = left.unionByName(right).repartition(min(tasks, 2_000), *cell, "p", "c").groupBy(*cell, "p", "c")
     id_kind = store.schema["vec_id"].dataType.simpleString()
     return dealt.applyInArrow(lambda group: best(group, positives, negatives, low, high), f"row long, wanted long, vec_id {id_kind}, score long")
@@ -257,7 +258,7 @@ def certain(last: Column, wanted: Column, bound: Column, low: int) -> Column:
 
 def searched(anchors: DataFrame, store: DataFrame, keys: dict[int, Keys], cells: dict[int, Cells], k: int, positives: int, negatives: int, low: int, high: int) -> DataFrame:
     """(row, wanted, vec_id, score, rank): the first k finds of each anchor and wanted score, in rounds."""
-    open_, found = anchors, None
+    open_, found = anchors.withColumn("held", F.array().cast("array<bigint>")), None
     step = 0
     while True:
         asks = written(asking(open_, keys, cells, step, low, high))
@@ -268,7 +269,8 @@ def searched(anchors: DataFrame, store: DataFrame, keys: dict[int, Keys], cells:
         entry = F.struct(F.coalesce("wanted", F.lit(0).cast("long")).alias("wanted"), "score")
         last = found.where(F.col("rank") == k).groupBy("row").agg(F.map_from_entries(F.collect_list(entry)).alias("last"))
         rest = asks.where("bound is not null").join(last, "row", "left").where(~certain(F.col("last"), F.col("wanted"), F.col("bound"), low))
-        open_ = written(rest.select("row", "label", "x", "d", "wanted"))
+        each = F.when(F.size("wanted") > 0, F.col("wanted")).otherwise(F.array(F.lit(0).cast("long")))
+        open_ = written(rest.select("row", "label", "x", "d", "wanted", F.transform(each, lambda w: F.element_at("last", w)).alias("held")))
         if open_.isEmpty():
             return found
         step += 1

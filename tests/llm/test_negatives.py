@@ -64,7 +64,7 @@ def test_bounds_hold_and_leave_cells_out(spark, small):
     store = negatives.stored(rows, keys)
     cells = negatives.directory(store, keys)
     assert sum(c.rows.sum() for c in cells.values()) == 900
-    anchors = rows.where("vec_id % 50 = 0").withColumn("wanted", F.array().cast("array<bigint>"))
+    anchors = rows.where("vec_id % 50 = 0").withColumns({c: F.array().cast("array<bigint>") for c in ("wanted", "held")})
     asks = negatives.asking(anchors, keys, cells, 0, 50, 95).collect()
     held = {}
     for r in store.collect():
