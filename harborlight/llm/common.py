@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
-#: Where written() puts its tables, below the shared folder: the innermost scratch(), else a folder of the session.
-_scratch: list[str] = []
+#: Where written() puts its tables, below the shared folder: the innermost scratch() of the thread's context, else a folder of the session.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that written() makes inside are deleted at the end: for a job whose result is saved by then."""
-    _scratch.append(f"scratch-{uuid.uuid4().hex}")
+    name = f"scratch-{uuid.uuid4().hex}"
+    held = _scratch.set((*_scratch.get(), name))
     try:
         yield
     finally:
-        removed(spark, f"{shared_folder(spark)}/{_scratch.pop()}")
+        _scratch.reset(held)
+        removed(spark, f"{shared_folder(spark)}/{name}")
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -58,13 +61,15 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, **options: str) -> DataFrame:
+def written(df: DataFrame, outside: bool = False, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe when an executor is lost.
 
-    A query's tables stay as long as its lazy result may need them; scratch() deletes them.
+    A query's tables stay as long as its lazy result may need them; scratch() deletes them, but not those that are written
+    `outside` of the innermost one.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{_scratch[-1] if _scratch else spark.sparkContext.applicationId}/written-{uuid.uuid4().hex}"
+    open_ = [spark.sparkContext.applicationId, *_scratch.get()]
+    path = f"{shared_folder(spark)}/{open_[-2 if outside and len(open_) > 1 else -1]}/written-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

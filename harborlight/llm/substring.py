@@ -15,7 +15,7 @@ which is as far as a common stretch can reach beyond its units; offsets are thos
 
 Defined cases: null and wordless texts and those under LINE_WORDS words have no units, nor have lines and paragraphs of
 fewer words, unless they lie in a longer repeat; ids order with null last, and rows without an id are documents of their
-own, in the order that they were read, whose passages are not extended; rows with one id and different texts are different
+own, in the order of their texts' digests and then as they were read; rows with one id and different texts are different
 documents, ordered by the text's digest; repeated rows with one id are the same occurrence and both kept; a repeat in the
 document that has the first occurrence is removed too, unless it overlaps that or `within` is unset; an empty table gives
 an empty result.
@@ -30,10 +30,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborlight.llm.common import with_small, written
+from harborlight.llm.common import scratch, written
 
 #: Boundaries of which one is a cut, and words at least of such a unit and of a line or paragraph. A stretch of
 #: UNIT_WORDS + 2 * WINDOW words is always found.
@@ -91,9 +91,9 @@ def parts(start: np.ndarray, text: str, breaks: re.Pattern) -> tuple[np.ndarray,
 
 
 def units(text: str | None, lines: int = LINE_WORDS) -> tuple[np.ndarray, ...]:
-    """(digest, first word, word behind the last, start, end) of each unit."""
+    """(digest, first word, word behind the last) of each unit."""
     text = text or ""
-    h, start, end = words(text)
+    h, start, _ = words(text)
     n = len(h)
     found = []
     if lines and n >= lines:
@@ -107,115 +107,127 @@ def units(text: str | None, lines: int = LINE_WORDS) -> tuple[np.ndarray, ...]:
         to = np.searchsorted(cuts, cuts + UNIT_WORDS)
         found.append(np.stack([cuts[to < len(cuts)], cuts[to[to < len(cuts)]]]))
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     first, behind = np.unique(np.concatenate(found, axis=1), axis=1)
     with np.errstate(over="ignore"):
         powers = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, B))])
         sums = np.concatenate([[np.uint64(0)], np.add.accumulate(h * powers[:-1])])
         inverse = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, B_INVERSE))])
         digest = mixed((sums[behind] - sums[first]) * inverse[first])
-    return digest.view(np.int64), first, behind, start[first], end[behind - 1]
+    return digest.view(np.int64), first, behind
 
 
-def key_of(docs: DataFrame):
-    return F.when(docs["doc_id"].isNotNull(), F.shiftrightunsigned(F.xxhash64(docs["text"]), 32))
+#: What tells documents apart: the id, a digest of the text, and a number for rows without id, which are counted one by one.
+DOC = ["doc_id", "key", "n"]
+
+
+def key_of(docs: DataFrame) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(docs["text"]), 32)
 
 
 def unit_rows(docs: DataFrame, lines: int = LINE_WORDS) -> DataFrame:
-    """(doc_id, key, digest, w0, w1, start, end): a row a unit; key tells rows of one id apart by text, rows without id one by one."""
+    """(doc_id, key, n, digest, w0, w1): a row a unit."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "key", "digest", "w0", "w1", "start", "end"]
+    names = [*DOC, "digest", "w0", "w1"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TaskContext.get().partitionId() << 33
 
-        def batch_of(ids: pa.Array, at: list, keys: list, found: list) -> pa.RecordBatch:
+        def batch_of(batch: pa.RecordBatch, at: list, numbers: list, found: list) -> pa.RecordBatch:
             sizes = [len(f[0]) for f in found]
-            columns = [np.concatenate([f[k] for f in found]) for k in range(5)]
-            kinds = (pa.int64(), *[pa.int32()] * 4)
-            return pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.repeat(at, sizes))), pa.array(np.repeat(np.array(keys, np.int64), sizes)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names
-            )
+            columns = [pa.array(np.concatenate([f[k] for f in found]), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            places = pa.array(np.repeat(at, sizes))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array(np.repeat(np.array(numbers, np.int64), sizes)), *columns], names)
 
         for batch in batches:
-            ids, at, keys, found, size = batch.column(0), [], [], [], 0
-            for i, (key, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+            at, numbers, found, size = [], [], [], 0
+            for i, (doc_id, text) in enumerate(zip(batch.column(0), batch.column(2))):
                 count += 1
                 at.append(i)
-                keys.append(count if key is None else key)
+                numbers.append(0 if doc_id.is_valid else count)
                 found.append(units(text.as_py(), lines))
                 size += len(found[-1][0])
                 if size > 100_000:
-                    yield batch_of(ids, at, keys, found)
-                    at, keys, found, size = [], [], [], 0
+                    yield batch_of(batch, at, numbers, found)
+                    at, numbers, found, size = [], [], [], 0
             if found:
-                yield batch_of(ids, at, keys, found)
+                yield batch_of(batch, at, numbers, found)
 
-    return docs.select("doc_id", key_of(docs), "text").mapInArrow(of, f"doc_id {kind}, key long, digest long, w0 int, w1 int, start int, end int")
+    return docs.select("doc_id", key_of(docs), "text").mapInArrow(of, f"doc_id {kind}, key long, n long, digest long, w0 int, w1 int")
 
 
-def in_runs(rows: DataFrame, *more) -> DataFrame:
-    """(doc_id, key, w0, w1, start, end, ...) joined where they overlap or touch."""
-    order = Window.partitionBy("doc_id", "key").orderBy("w0")
+def in_runs(rows: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, key, n, w0, w1, ...) joined where they overlap or touch."""
+    order = Window.partitionBy(*DOC).orderBy("w0")
     reached = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(F.col("w0") <= F.col("reached"), 0).otherwise(1)
-    runs = rows.withColumn("reached", reached).withColumn("run", F.sum(begins).over(order)).groupBy("doc_id", "key", "run")
-    return runs.agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min("start").alias("start"), F.max("end").alias("end"), *more)
+    runs = rows.withColumn("reached", reached).withColumn("run", F.sum(begins).over(order)).groupBy(*DOC, "run")
+    return runs.agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), *more)
 
 
 def around(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, key, place, back, hashes, edges): the words next to each place, nearest first, with their outer ends.
+    """(doc_id, key, place, back, hashes, edges): the words ahead of each place (back) or from it on, nearest first.
 
-    places: (doc_id, key, place, back), no row twice; a document has at most two for each word.
+    edges: where the word at the place starts (the one before it ends, if not back), and then the outer end of each word.
+    places: (doc_id, key, place, back), no row twice; a text has at most two for each word.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("place", "back")).alias("places"))
+    asked = places.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.collect_list(F.struct("place", "back")).alias("places"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, key, text, asks in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
+            for i, (text, asks) in enumerate(zip(batch.column(2), batch.column(3))):
                 h, start, end = words(text.as_py())
                 h, rows = h.view(np.int64), []
                 for ask in asks.as_py():
                     at, back = ask["place"], ask["back"]
                     near = np.arange(at - 1, max(-1, at - 1 - WINDOW), -1) if back else np.arange(at, min(len(h), at + 2 * WINDOW))
-                    rows.append((at, back, h[near].tolist(), (start if back else end)[near].tolist()))
+                    rows.append((at, back, h[near].tolist(), [int(start[at] if back else end[at - 1]), *(start if back else end)[near].tolist()]))
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
-                same = [pa.array([v.as_py()] * len(rows), batch.schema.field(i).type) for i, v in enumerate((ids, key))]
-                yield pa.RecordBatch.from_arrays([*same, *columns], ["doc_id", "key", "place", "back", "hashes", "edges"])
+                same = pa.array([i] * len(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), batch.column(1).take(same), *columns], ["doc_id", "key", "place", "back", "hashes", "edges"])
 
-    texts = docs.where(docs["doc_id"].isNotNull()).select("doc_id", key_of(docs).alias("key"), "text")
-    near = with_small(texts, written(asked), ["doc_id", "key"], "inner").mapInArrow(of, f"doc_id {kind}, key long, place int, back boolean, hashes array<long>, edges array<int>")
+    texts = docs.select("doc_id", key_of(docs).alias("key"), "text")
+    near = texts.join(asked, texts["doc_id"].eqNullSafe(F.col("id")) & (texts["key"] == F.col("k"))).select("doc_id", "key", "text", "places")
+    near = near.mapInArrow(of, f"doc_id {kind}, key long, place int, back boolean, hashes array<long>, edges array<int>")
     return near.dropDuplicates(["doc_id", "key", "place", "back"])  # of repeated rows one is enough
 
 
 def extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """runs with w0, w1, start and end moved outwards over words that equal those beside the first occurrence."""
-    runs = written(runs.withColumn("id", F.monotonically_increasing_id()))
-    sides = [("doc_id", "key", "w0", True, True), ("a_doc_id", "a_key", "a_w0", True, False), ("doc_id", "key", "w1", False, True), ("z_doc_id", "z_key", "z_w1", False, False)]
-    able = runs.where("doc_id is not null and a_doc_id is not null and z_doc_id is not null")
-    asks = [able.select("id", F.col(d).alias("doc_id"), F.col(k).alias("key"), F.col(w).alias("place"), F.lit(back).alias("back"), F.lit(own).alias("own")) for d, k, w, back, own in sides]
+    """runs with w0 and w1 moved outwards over words that equal those beside the first occurrence, and with start and end."""
+    runs = written(runs.withColumn("run_id", F.monotonically_increasing_id()))
+    sides = [("", "w0", True, True), ("a_", "a_w0", True, False), ("", "w1", False, True), ("z_", "z_w1", False, False)]
+    asks = [
+        runs.select("run_id", F.col(f"{whose}doc_id").alias("doc_id"), F.col(f"{whose}key").alias("key"), F.col(w).alias("place"), F.lit(back).alias("back"), F.lit(own).alias("own"))
+        for whose, w, back, own in sides
+    ]
     asks = written(asks[0].unionByName(asks[1]).unionByName(asks[2]).unionByName(asks[3]))
-    near = asks.join(around(docs, asks.select("doc_id", "key", "place", "back").distinct()), ["doc_id", "key", "place", "back"])
-    side = lambda own, back, c: F.max(F.when((F.col("own") == own) & (F.col("back") == back), F.col(c)))
-    met = near.groupBy("id").agg(*(side(own, back, c).alias(f"{c}_{'own' if own else 'first'}_{'back' if back else 'on'}") for own in (True, False) for back in (True, False) for c in ("hashes", "edges")))
-
-    def equal(back: str):
-        a, b = F.col(f"hashes_own_{back}"), F.col(f"hashes_first_{back}")
-        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.coalesce(F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
+    near = around(docs, asks.select("doc_id", "key", "place", "back").distinct()).alias("near")
+    same = F.col("asks.doc_id").eqNullSafe(F.col("near.doc_id"))
+    for c in ("key", "place", "back"):
+        same &= F.col(f"asks.{c}") == F.col(f"near.{c}")
+    side = lambda own, back, c: F.max(F.when((F.col("own") == own) & (F.col("asks.back") == back), F.col(c)))
+    met = asks.alias("asks").join(near, same).groupBy("run_id").agg(
+        *(side(own, back, c).alias(f"{c}_{'own' if own else 'first'}_{'back' if back else 'on'}") for own in (True, False) for back in (True, False) for c in ("hashes", "edges"))
+    )
+
+    def equal(where: str) -> Column:
+        same = F.zip_with(f"hashes_own_{where}", f"hashes_first_{where}", lambda x, y: F.coalesce(x == y, F.lit(False)))
+        at = F.array_position(same, False)
+        return F.coalesce(F.when(at > 0, at - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
+
+    def alike(whose: str) -> Column:
+        return F.col("doc_id").eqNullSafe(F.col(f"{whose}_doc_id")) & (F.col("key") == F.col(f"{whose}_key")) & (F.col("n") == F.col(f"{whose}_n"))
 
     # in the first occurrence's own document neither may grow into the other
-    alike = lambda d, k: F.coalesce((F.col("doc_id") == F.col(d)) & (F.col("key") == F.col(k)), F.lit(False))
-    kept_to = F.greatest(F.when(alike("a_doc_id", "a_key"), F.col("a_w1")), F.when(alike("z_doc_id", "z_key"), F.col("z_w1")))
-    rows = runs.join(met, "id", "left").withColumn("kept_to", kept_to)
+    kept_to = F.greatest(F.when(alike("a"), F.col("a_w1")), F.when(alike("z"), F.col("z_w1")))
     free = lambda w: F.when(F.col("kept_to").isNull(), F.lit(1 << 30)).otherwise(F.greatest(F.lit(0), w - F.col("kept_to")))
+    rows = runs.join(met, "run_id").withColumn("kept_to", kept_to)
     rows = rows.withColumn("more", F.least(equal("back"), free(F.col("w0"))))
     rows = rows.withColumn("on", F.least(equal("on"), free(F.col("w0") - F.col("more"))))
-    edge = lambda c, n, other: F.when(F.col(n) > 0, F.try_element_at(c, F.col(n))).otherwise(F.col(other))
     return rows.select(
-        "doc_id", "key", (F.col("w0") - F.col("more")).alias("w0"), (F.col("w1") + F.col("on")).alias("w1"),
-        edge("edges_own_back", "more", "start").alias("start"), edge("edges_own_on", "on", "end").alias("end"), "first_doc_id",
+        *DOC, (F.col("w0") - F.col("more")).alias("w0"), (F.col("w1") + F.col("on")).alias("w1"),
+        F.get("edges_own_back", F.col("more")).alias("start"), F.get("edges_own_on", F.col("on")).alias("end"), "first_doc_id",
     )
 
 
@@ -224,25 +236,22 @@ def repeats(docs: DataFrame, least: int = LINE_WORDS, within: bool = True, lines
 
     n_words counts the passage's words; passages of fewer than `least` are left.
     """
-    rows = written(unit_rows(docs, lines))
-    twice = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    hits = written(rows.join(twice, "digest", "left_semi"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "w0")
-    first = hits.groupBy("digest").agg(F.min(rank).alias("first"))
-    first = first.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.w0").alias("first_w0"))
+    with scratch(docs.sparkSession):  # all units are large, and not needed once those that come twice are written
+        rows = written(unit_rows(docs, lines))
+        twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest"))
+        hits = written(rows.join(twice, "digest", "left_semi"), outside=True)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), *DOC, "w0")
+    first = hits.groupBy("digest").agg(F.min(rank).alias("kept"))
     later = hits.join(first, "digest")
-    same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("key") == F.col("first_key"))
-    behind = F.col("w0") >= F.col("first_w0") + F.col("w1") - F.col("w0")
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key")) & (F.col("n") == F.col("kept.n"))
+    behind = F.col("w0") >= F.col("kept.w0") + F.col("w1") - F.col("w0")
     later = later.where(~same | (behind & F.lit(within)))
-    kept = F.struct(F.col("first_doc_id").isNull().alias("none"), "first_doc_id", "first_key", "first_w0")
-    once = later.groupBy("doc_id", "key", "w0", "w1", "start", "end").agg(F.min(kept).alias("kept"))
-    ahead, last = F.min_by("kept", F.struct("w0", "w1")), F.max_by(F.struct("kept", "w0", "w1"), F.struct("w1", "w0"))
-    runs = in_runs(once, ahead.alias("a"), F.min_by(F.col("w1") - F.col("w0"), F.struct("w0", "w1")).alias("a_n"), last.alias("z"))
-    runs = runs.select(
-        "doc_id", "key", "w0", "w1", "start", "end", F.col("a.first_doc_id").alias("first_doc_id"),
-        F.col("a.first_doc_id").alias("a_doc_id"), F.col("a.first_key").alias("a_key"), F.col("a.first_w0").alias("a_w0"), (F.col("a.first_w0") + F.col("a_n")).alias("a_w1"),
-        F.col("z.kept.first_doc_id").alias("z_doc_id"), F.col("z.kept.first_key").alias("z_key"), (F.col("z.kept.first_w0") + F.col("z.w1") - F.col("z.w0")).alias("z_w1"),
-    )
-    whole = in_runs(extended(docs, runs), F.min_by("first_doc_id", "w0").alias("first_doc_id"))
+    once = later.groupBy(*DOC, "w0", "w1").agg(F.min("kept").alias("kept"))
+    unit = F.struct("kept", "w0", "w1")
+    runs = in_runs(once, F.min_by(unit, F.struct("w0", "w1")).alias("a"), F.max_by(unit, F.struct("w1", "w0")).alias("z"))
+    of = lambda side: [F.col(f"{side}.kept.{c}").alias(f"{side}_{c}") for c in DOC]
+    until = lambda side: (F.col(f"{side}.kept.w0") + F.col(f"{side}.w1") - F.col(f"{side}.w0")).alias(f"{side}_w1")
+    runs = runs.select(*DOC, "w0", "w1", *of("a"), F.col("a.kept.w0").alias("a_w0"), until("a"), *of("z"), until("z"), F.col("a.kept.doc_id").alias("first_doc_id"))
+    whole = in_runs(extended(docs, runs), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first_doc_id", "w0").alias("first_doc_id"))
     out = whole.select("doc_id", "start", "end", (F.col("w1") - F.col("w0")).alias("n_words"), "first_doc_id")
     return out.where(F.col("n_words") >= least)
