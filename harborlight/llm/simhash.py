@@ -169,13 +169,17 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (of the ids that come twice, the least fingerprint).
+    """docs with one row of each component: that of the smallest id (of the ids that come twice, the least fingerprint)."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest")).alias("first")
+    return chosen(docs, grouped(docs).groupBy("group").agg(least))
+
+
+def chosen(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with the rows named by the groups' `first` (doc_id, digest of the text), one row each.
 
     Whole rows are shuffled once, by id and text digest, at every size; of repeated rows each task sends one.
     """
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest")).alias("first")
-    first = grouped(docs).groupBy("group").agg(least)
-    keep = written(first.select(F.struct(F.col("first.doc_id").alias("doc_id")).alias("_id"), F.col("first.digest").alias("_digest")))
+    keep = written(groups.select(F.struct(F.col("first.doc_id").alias("doc_id")).alias("_id"), F.col("first.digest").alias("_digest")))
     plain = [docs[c] for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]  # what can be hashed
     rows = docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.struct(docs["doc_id"].alias("doc_id")).alias("_id"),

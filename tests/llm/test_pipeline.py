@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from harborlight.llm import decontam, simhash
+from harborlight.llm import decontam, near
 from harborlight.llm.common import shared_folder, table
 from harborlight.llm.queries import ORACLE_SQL, QUERIES
+from tests.llm.test_jaccard import alike, shingles
 from tests.llm.test_near import union_find
 from tests.llm.test_texts import overlap
 
@@ -24,8 +25,8 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         counts.append(docs.count())
         if name == "near_duplicates":
-            labels = simhash.labelled(docs).collect()
-            assert len({r.component_id for r in labels}) == len(labels)
+            groups = near.grouped(docs).collect()
+            assert len({r.group for r in groups}) == len(groups)
         if name == "decontamination":
             assert decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).count() == 0
         assert docs.columns[: len(columns)] == columns
@@ -41,7 +42,7 @@ def test_run_gives_shards(spark, sf_dir):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.fixture
@@ -132,8 +133,8 @@ def test_registered_decontamination_equals_brute_force(spark, sf_dir):
 
 def test_near_duplicates_keep_the_least_of_each_group(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = [(r.doc_id, r.fp) for r in simhash.labelled(docs).collect()]
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if bin((rows[i][1] ^ rows[j][1]) % 2**64).count("1") <= 3]
+    rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if alike(rows[i][1], rows[j][1])]
     roots = union_find(range(len(rows)), links)
     least = {}
     for i, (doc, _) in enumerate(rows):
