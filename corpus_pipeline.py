@@ -5,7 +5,7 @@ before it. The last stage is lazy, so the one before it and its own tables stay
 takes them.
 
 Defined cases, by stage: null, empty and wordless texts have no language and go at `language`, as do texts of uncertain
-language; without any label all go. Rows without id are kept like others, and learned from. Of rows with equal fingerprints
+language; without any label all go. Rows without id are kept like others, and learned from. Of rows with near equal texts
 (repeated rows and exact copies among them) one stays at `near_duplicates`, the one with the least id. Ties, null ids and null
 sources at the later stages are as the operators state. Columns of any name beside doc_id, text, lang and source are carried
 through, and those named like the last stage's (size, text_crc32, law, shard, slot) are replaced by it. Empty tables give
@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborlight.llm import decontam, langid, mixing, sharding, simhash
+from harborlight.llm import decontam, langid, mixing, near, sharding
 from harborlight.llm.common import removed, scratch, shared_folder, table
 
 SHARDS = 40
@@ -34,8 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.deduplicated(docs)
+    """Keeps one document of each group of near-duplicates: five-word shingles of a Jaccard similarity of 0.8 or more."""
+    return near.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
