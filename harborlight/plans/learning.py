@@ -39,9 +39,12 @@ def examples_now(readings: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return known_at(readings.where("ok"), horizon).withColumn("y", F.lit(None).cast("boolean"))
 
 
-def features(readings: DataFrame, grid: DataFrame, flow: DataFrame, hourly: DataFrame, ex: DataFrame, horizon: int = HORIZON, lags: tuple[int, ...] = LAGS, tolerance: int = TOLERANCE, centered: bool = False) -> DataFrame:
-    """The examples with everything known at t: state, lags, neighbours, calendar, weather, flows and profiles of the training days."""
-    places, now = S.places(readings), readings.select("sid", "t", F.col("bikes").alias("bikes_now"), "docks_disabled")
+def features(readings: DataFrame, grid: DataFrame, flow: DataFrame, hourly: DataFrame, ex: DataFrame, horizon: int = HORIZON, lags: tuple[int, ...] = LAGS, tolerance: int = TOLERANCE, centered: bool = False, places: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """The examples with everything known at t: state, lags, neighbours, calendar, weather, flows and profiles of the training days.
+
+    Where readings are a lookback only, places and profile come from a bundle.
+    """
+    places, now = S.places(readings) if places is None else places, readings.select("sid", "t", F.col("bikes").alias("bikes_now"), "docks_disabled")
     rows = ex.join(places.select("sid", "station"), "sid").join(now, ["sid", "t"])
     right = readings.withColumn("state", F.struct("docks", "is_full")).select("sid", "t", "state", "ok")
     rows = asof.lag_values(rows, right, ["sid"], "t", "state", "ok", lags, tolerance, centered, "lag")
@@ -58,7 +61,7 @@ def features(readings: DataFrame, grid: DataFrame, flow: DataFrame, hourly: Data
     at = flow.select("station_id", F.col("slot").alias("target_slot"), "weekend", F.col("arrivals_mean").alias("flow_arrivals_target"), F.col("departures_mean").alias("flow_departures_target"), F.col("net_flow_mean").alias("flow_net_target"))
     rows = window_of(cumulative(flow), rows.join(at, ["station_id", "target_slot", "weekend"], "left"), "station_id", "slot", "target_slot").drop("station_id")
     later = P.plus_minutes(F.col("t"), horizon)
-    rows = rows.join(S.profile(readings.where(F.col("d").between(*TRAIN))), "sid", "left")
+    rows = rows.join(S.profile(readings.where(F.col("d").between(*TRAIN))) if profile is None else profile, "sid", "left")
     return rows.withColumns({
         "occupancy_now": 1 - F.col("docks_now") / F.nullif(F.col("capacity"), F.lit(0)), "nb_n": F.coalesce("nb_n", F.lit(0)), "minute_of_day": P.minute_of_day(F.col("t")),
         "weekday": P.iso_weekday(later), "holiday": P.on_holiday(later, HOLIDAYS),

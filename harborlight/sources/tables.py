@@ -14,8 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One station reading per event: sid, t, d (day of the month), ok, is_full, docks, bikes, docks_disabled, capacity, lat, lon."""
+    return as_readings(table(spark, sf_dir, "events"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
     k, user = F.get_json_object("props", "$.k").cast("int"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         user.alias("sid"), F.col("ts").alias("t"), F.day("ts").cast("long").alias("d"), (F.col("event_type") != "error").alias("ok"),
         (k % 10 == 0).alias("is_full"), (k % 10).alias("docks"), (19 - k % 20).alias("bikes"), (k % 3).alias("docks_disabled"),
         F.lit(20).alias("capacity"), (F.lit(19.40) + (user % 40) * 0.001).cast("double").alias("lat"),
@@ -24,11 +28,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_of_day(readings(spark, sf_dir))
+
+
+def last_of_day(rows: DataFrame) -> DataFrame:
     """The last reading of each station and day, at the shared time g."""
     day = F.date_trunc("day", "t").cast("timestamp_ntz")
     last = Window.partitionBy("sid", "g").orderBy(F.col("t").desc())
-    rows = readings(spark, sf_dir).withColumn("g", day).withColumn("rn", F.row_number().over(last))
-    return rows.where("rn = 1").drop("rn")
+    return rows.withColumn("g", day).withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
