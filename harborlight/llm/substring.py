@@ -241,7 +241,7 @@ def repeats(docs: DataFrame, least: int = LINE_WORDS, within: bool = True, lines
         twice = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest"))
         hits = written(rows.join(twice, "digest", "left_semi"), outside=True)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), *DOC, "w0")
-    first = hits.groupBy("digest").agg(F.min(rank).alias("kept"))
+    first = written(hits.groupBy("digest").agg(F.min(rank).alias("kept")))  # a table, so that Spark can split the join of a common unit
     later = hits.join(first, "digest")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key") == F.col("kept.key")) & (F.col("n") == F.col("kept.n"))
     behind = F.col("w0") >= F.col("kept.w0") + F.col("w1") - F.col("w0")
