@@ -29,8 +29,8 @@ from harborlight.llm.common import written
 from harborlight.llm.components import components
 
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 16, 6, 42
-#: Shingles whose hashes are permuted at once.
-BLOCK = 1 << 14
+#: Shingles whose hashes are permuted at once, and texts whose results are held at once.
+BLOCK, TEXTS = 1 << 11, 512
 #: Odd factors of the hashes.
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,8 +63,7 @@ def sketch(h: np.ndarray, bands: int, rows: int) -> tuple[str, int, list[int]]:
     for at in range(0, len(h), BLOCK):
         part = h[at : at + BLOCK]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        for i, f in enumerate(factors):
-            least[i] = min(least[i], mixed(part * f).min())
+        least = np.minimum(least, mixed(part[None, :] * factors[:, None]).min(1))
     key = np.arange(bands, dtype=np.uint64)
     for k in range(rows):
         key = mixed(key * B + least[k::rows])
@@ -72,12 +71,18 @@ def sketch(h: np.ndarray, bands: int, rows: int) -> tuple[str, int, list[int]]:
     return name, int(fp), key.view(np.int64).tolist()
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, digest, node, fp, keys): a row a document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [sketch(shingles(t.as_py(), shingle), bands, rows) for t in batch.column(2)]
             columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "digest", "node", "fp", "keys"])
@@ -90,7 +95,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, hashes): the sets of the wanted nodes. wanted: (digest, node), one text a node."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [shingles(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
