@@ -32,16 +32,21 @@ def places(readings: DataFrame) -> DataFrame:
 def near_points(points: DataFrame, stations: DataFrame, metres: float) -> DataFrame:
     """points (lat, lon and what else) with each station (b, lat_b, lon_b) within the distance, and metres.
 
-    An equi join on grid cells and their neighbours, not all pairs.
+    An equi join on grid cells and their neighbours, not all pairs. A station near the date line has a cell on its other side
+    as well; where cells are wider than a third of the circle, a row is one.
     """
     step = metres / (EARTH_M * 3.141592653589793 / 180)
     row = lambda lat: F.floor(F.col(lat) / step)
     # a row's cells are as wide as its far edge needs, so neighbours lie in adjacent columns of the row
     width = F.lit(step) / F.greatest(F.cos(F.radians(F.least((F.abs("_row") + 2) * step, F.lit(89.0)))), F.lit(0.01))
+    width = F.when(width > 120, F.lit(1000.0)).otherwise(width)
     asked = points.withColumn("_row", F.explode(F.array(*(row("lat") + i for i in (-1, 0, 1)))))
     asked = asked.withColumn("_cell", F.explode(F.array(*(F.floor(F.col("lon") / width) + i for i in (-1, 0, 1)))))
     there = stations.select(F.col("sid").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), row("lat").alias("_row"))
-    met = asked.join(there.withColumn("_cell", F.floor(F.col("lon_b") / width)), ["_row", "_cell"]).drop("_row", "_cell")
+    cell = lambda lon: F.floor(lon / width)
+    lon, narrow = F.col("lon_b"), width < 1000
+    cells = F.array(cell(lon), F.when(narrow & (lon > 180 - width), cell(lon - 360)), F.when(narrow & (lon < width - 180), cell(lon + 360)))
+    met = asked.join(there.withColumn("_cell", F.explode(F.array_compact(cells))), ["_row", "_cell"]).drop("_row", "_cell")
     return met.withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b"))).where(F.col("metres") <= metres)
 
 

@@ -12,17 +12,20 @@ from harborlight.operators import stations as S
 from harborlight.plans import views_sql as V
 from harborlight.plans.trips import ride_times
 from harborlight.sources import tables as T
+from harborlight.sources.shared import saved
 
 R6 = lambda c: F.round(c, 6)
 POINT = (19.4105, -99.1685)
 FAILURE_MIN = 7.5
+#: How much farther each ring reaches, and the farthest that a point can be.
+RING, HALF_EARTH_M = 4.0, 20_100_000.0
 
 
 def nearest(requests: DataFrame, stations: DataFrame, lat: str, lon: str, radius_m: float, least: int, barred: str | None = None) -> DataFrame:
     """The stations within a walk of each request's point, or its `least` nearest ones, with walk_m and by_distance from 1.
 
     Those within the radius come from a join on grid cells. Only requests that have too few there, a part of a stated
-    set, are compared with all stations, and of those each task sends the nearest ones.
+    set, look again within RING times the distance, and so on, until each has enough or the whole earth was searched.
     """
     points = requests.withColumns({"lat": F.col(lat), "lon": F.col(lon)})
     allowed = lambda rows: rows.where(F.col("station_id") != F.col(barred)) if barred else rows
@@ -31,10 +34,17 @@ def nearest(requests: DataFrame, stations: DataFrame, lat: str, lon: str, radius
     met = allowed(met.withColumnRenamed("b", "station_id")).withColumn("walk_m", F.col("metres") * DETOUR).where(F.col("walk_m") <= radius_m)
     met = met.select("request_id", "station_id", "walk_m")
     enough = met.groupBy("request_id").count().where(F.col("count") >= least)
-    few = points.join(enough, "request_id", "left_anti").withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    far = allowed(few.crossJoin(stations.select("station_id", "lat", "lon")))
-    far = far.withColumn("walk_m", haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) * DETOUR)
-    far = far.withColumn("n", place).where(F.col("n") <= least).select("request_id", "station_id", "walk_m")
+    few, found, reach = saved(points.join(enough, "request_id", "left_anti")), None, radius_m
+    while not few.isEmpty() and reach < HALF_EARTH_M * DETOUR:  # in rings, and only the requests that still have too few
+        reach *= RING
+        near = S.near_points(few, stations.withColumnRenamed("station_id", "sid"), reach / DETOUR).drop("lat", "lon")
+        near = allowed(near.withColumnRenamed("b", "station_id")).withColumn("walk_m", F.col("metres") * DETOUR)
+        near = near.withColumn("n", place).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("request_id")))
+        whole = (F.col("all") >= least) | F.lit(reach >= HALF_EARTH_M * DETOUR)
+        near = saved(near.where(whole & (F.col("n") <= least)).select("request_id", "station_id", "walk_m"))
+        found = near if found is None else found.unionByName(near)
+        few = saved(few.join(near.select("request_id").distinct(), "request_id", "left_anti"))
+    far = met.limit(0) if found is None else found
     both = met.join(enough, "request_id", "left_semi").unionByName(far).withColumn("by_distance", place)
     return both.join(requests, "request_id").join(stations, "station_id")
 

@@ -341,3 +341,42 @@ def test_captures_by_the_time_in_their_names(spark):
     assert {r.name: str(r.at) for r in rows.collect()}[names[2]] == "None"
     kept = live.recent(rows, "at", F.lit(datetime(2024, 3, 7, 11, 24, 30)).cast("timestamp_ntz"))
     assert [r.name for r in kept.collect()] == [names[3]] and live.recent(rows, "at", F.lit(datetime(2024, 3, 7, 11, 24, 29)).cast("timestamp_ntz")).count() == 1
+
+
+def test_near_points_across_the_date_line_and_the_whole_earth(spark):
+    import math
+
+    rng = np.random.default_rng(4)
+    spots = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-60, 60, 40), rng.uniform(-180, 180, 40)))] + [(100, 10.0, 179.999), (101, 10.0, -179.999), (102, 10.001, -179.9995)]
+
+    def metres(p, q):
+        a = [math.radians(x) for x in (p[1], p[2], q[1], q[2])]
+        h = math.sin((a[2] - a[0]) / 2) ** 2 + math.cos(a[0]) * math.cos(a[2]) * math.sin((a[3] - a[1]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+    frame = spark.createDataFrame(spots, "sid long, lat double, lon double")
+    for reach in (500, 50_000, 2_000_000, 9_000_000, 20_100_000):
+        got = S.near_points(frame.withColumnRenamed("sid", "a"), frame, reach).select("a", "b").collect()
+        expected = {(p[0], q[0]) for p in spots for q in spots if metres(p, q) <= reach}
+        assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_nearest_widens_in_rings(spark):
+    from harborlight.plans import planner
+
+    rng = np.random.default_rng(5)
+    stations = [(i, 19.4 + float(a), -99.1 + float(b)) for i, (a, b) in enumerate(zip(rng.normal(0, 0.01, 60), rng.normal(0, 0.01, 60)))] + [(900, 40.0, -3.7)]
+    asked = [(1, 19.4, -99.1, 0), (2, 19.9, -99.0, 3), (3, 41.0, -3.0, 900), (4, -40.0, 170.0, 5), (5, 40.0, -3.7, 7)]
+    frame = spark.createDataFrame(stations, "station_id long, lat double, lon double")
+    got = planner.nearest(spark.createDataFrame(asked, "request_id long, y double, x double, origin_id long"), frame, "y", "x", 500, 3, "origin_id")
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    far = S.near_points(spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in asked], "request_id long, lat double, lon double, origin_id long"), frame.withColumnRenamed("station_id", "sid"), 20_100_000)
+    every = {}
+    for r in far.where("b <> origin_id").collect():
+        every.setdefault(r.request_id, []).append((r.metres * 1.3, r.b))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.request_id, []).append((r.by_distance, r.station_id))
+    for k, v in every.items():
+        near = [b for m, b in sorted(v) if m <= 500]
+        assert [b for _, b in sorted(found[k])] == (near if len(near) >= 3 else [b for _, b in sorted(v)[:3]])
