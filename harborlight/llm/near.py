@@ -5,9 +5,11 @@ of 0.8 some ten of 64 bits differ. So candidates are also all texts that share o
 the shingles' permuted hashes: a pair of similarity s shares one with 1 - (1 - s^ROWS)^BANDS, which is 0.99 at 0.8.
 Every candidate pair is verified on the whole sets of shingles, so no dissimilar pair links.
 
-Texts with the same set are one node. In each bucket of nodes first all are compared with the least; buckets whose nodes are
-in one component then are done. In the others the commonest component's nodes meet only the rest, and the rest meets all,
-so a large group costs stars and not its pairs. Sets are made of the texts in buckets only.
+Texts with the same set are one node. In each bucket of nodes first all are compared with the one that meets most others over
+all its buckets, mostly the original of a family; buckets whose nodes are in one component then are done. In the others the
+nodes of different components are compared: as pairs, each with the commonest component's nodes or a larger node, where a
+bucket is small, and else in tasks that hold two pieces of the bucket and give a forest of the links they find, so a large
+family makes no table of its pairs. Sets are made of the texts in buckets only.
 
 Defined cases: words are split at ASCII white space, A-Z in lower case; a text of fewer words than a shingle is one shingle,
 and null, empty and blank texts have none and are equal to each other; a component without any id keeps one row; of repeated
@@ -31,6 +33,8 @@ from harborlight.llm.components import components
 SHINGLE, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 16, 6, 42
 #: Shingles whose hashes are permuted at once, and texts whose results are held at once.
 BLOCK, TEXTS = 1 << 11, 512
+#: Nodes up to which a bucket's pairs are joined, and nodes of a piece of a larger one.
+FEW, PIECE = 24, 512
 #: Odd factors of the hashes.
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -113,6 +117,47 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.where(common >= F.lit(similarity) * (size - common)).select("a", "b")
 
 
+def compared(rows: pa.Table, similarity: float) -> pa.Table:
+    """(a, b): links between different components of some nodes (node, root, small: shortened hashes), a forest of them.
+
+    A set's members are marked in a table of all members, so one sum gives its common members with all others.
+    """
+    names, group = rows.column("node").to_pylist(), np.unique(rows.column("root").to_pylist(), return_inverse=True)[1]
+    sets = rows.column("small").combine_chunks()
+    sizes = np.diff(sets.offsets.to_numpy())
+    _, member = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(member.max(initial=-1) + 1, dtype=np.int32)
+    found: tuple[list, list] = ([], [])
+    for u in range(len(names)):
+        if (group[u:] == group[u]).all():
+            continue
+        mine = member[at[u] : at[u + 1]]
+        mark[mine] = 1
+        common = np.add.reduceat(mark[member[at[u] :]], at[u:-1] - at[u])
+        mark[mine] = 0
+        near = u + np.flatnonzero((common >= similarity * (sizes[u] + sizes[u:] - common) - 1e-9) & (group[u:] != group[u]))
+        for v in near:
+            if group[u] != group[v]:
+                found[0].append(names[u])
+                found[1].append(names[v])
+                group[group == group[v]] = group[u]
+    return pa.table({"a": pa.array(found[0], pa.string()), "b": pa.array(found[1], pa.string())})
+
+
+def inside(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between components in large buckets (key, node, root, n), found where a bucket's pieces lie together.
+
+    Hashes are shortened to 32 bits here, so the links still have to be verified.
+    """
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), pieces).cast("int")
+    small = F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    rows = buckets.join(sets, "node").select("key", "node", "root", small.alias("small"), mine.alias("i"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("j"))
+    dealt = rows.select("key", "node", "root", "small", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q")).groupBy("key", "p", "q")
+    return dealt.applyInArrow(lambda t: compared(t, similarity), "a string, b string")
+
+
 def grouped(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, digest, node, group): a row a document; group is the least node reachable by verified links."""
     made = written(sketches(docs, shingle, bands, rows))
@@ -120,21 +165,28 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHIN
     parts, edges = simhash.links(nodes.select("fp").distinct())
     whole = components(edges).select(F.col("node").alias("root"), F.col("root").alias("family"))
     family = parts.join(whole, "root", "left").select(F.col("node").alias("fp"), F.coalesce("family", "root").alias("family"))
-    of_family = nodes.join(family, "fp", "left").select("node", F.xxhash64(F.lit("family"), F.coalesce("family", "fp")).alias("key"))
+    of_family = nodes.where(F.size("keys") > 0).join(family, "fp", "left").select("node", F.xxhash64(F.lit("family"), F.coalesce("family", "fp")).alias("key"))
     keys = nodes.select("node", F.explode("keys").alias("key")).unionByName(of_family)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
-    buckets = written(keys.join(written(shared), "key"))
+    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    held = written(keys.join(shared, "key"))
+    # the node that meets most others in all its buckets is the middle of a family, so that one star joins it
+    middle = written(held.groupBy("node").agg(F.sum("n").alias("met")))
+    first = held.join(middle, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("first"))
+    buckets = written(held.select("key", "node").join(written(first), "key"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "digest"), "node")
     sets = written(sets_of(docs, written(wanted), shingle))
     stars = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     near = written(verified(stars, sets, similarity))
     roots = written(components(near))
     rooted = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    counted = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    left = written(rooted.join(open_.select("key", "most"), "key").select("key", "node", "root", (F.col("root") == F.col("most")).alias("common")))
-    rest = left.where("not common").alias("u").join(left.alias("v"), (F.col("u.key") == F.col("v.key")) & (F.col("u.root") != F.col("v.root")) & (F.col("v.common") | (F.col("u.node") < F.col("v.node"))))
-    more = rest.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct()
+    counted = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = counted.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    left = rooted.join(open_, "key").select("key", "node", "root", "n", (F.col("root") == F.col("most")).alias("common"))
+    left = written(left)
+    few = left.where(F.col("n") <= FEW)
+    other = (F.col("u.key") == F.col("v.key")) & (F.col("u.root") != F.col("v.root")) & (F.col("v.common") | (F.col("u.node") < F.col("v.node")))
+    more = few.where("not common").alias("u").join(few.alias("v"), other).select(F.col("u.node").alias("a"), F.col("v.node").alias("b"))
+    more = more.unionByName(written(inside(left.where(F.col("n") > FEW), sets, similarity)))
     asked = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
     root_of: Column = F.coalesce("root", "node")

@@ -61,8 +61,11 @@ def test_groups_equal_brute_force(spark):
     assert len(left) == len({r.group for r in found})
 
 
-def test_dissimilar_texts_of_one_bucket_stay(spark, monkeypatch):
-    """With keys that all share, only the verification decides, in both rounds."""
+@pytest.mark.parametrize("few, piece", [(24, 512), (100, 512), (2, 7)])
+def test_dissimilar_texts_of_one_bucket_stay(spark, monkeypatch, few, piece):
+    """With keys that all share, only the verification decides, in all ways of the second round."""
+    monkeypatch.setattr(near, "FEW", few)
+    monkeypatch.setattr(near, "PIECE", piece)
     real = near.sketch
     monkeypatch.setattr(near, "sketch", lambda h, bands, rows: (real(h, bands, rows)[0], 0, [1] if len(h) else []))
     rng = np.random.default_rng(9)
