@@ -131,9 +131,12 @@ def estimate_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A number's place between its known neighbours of the same parity, if those are within 500 m."""
     known = numbers(spark, sf_dir)
     asked = T.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("street"), (F.col("c_custkey") * 7 % 300).alias("asked")).distinct()
-    side = lambda t: F.struct("number", "lat", "lon")
-    pairs = asked.join(known, "street").where((F.col("number") - F.col("asked")) % 2 == 0)
-    ends = pairs.groupBy("street", "asked").agg(F.max(F.when(F.col("number") <= F.col("asked"), side(0))).alias("a"), F.min(F.when(F.col("number") >= F.col("asked"), side(0))).alias("b"))
+    side = F.struct("number", "lat", "lon")
+    both = known.select("street", "number", side.alias("side")).unionByName(asked.select("street", F.col("asked").alias("number"), "asked"), allowMissingColumns=True)
+    order = Window.partitionBy("street", F.pmod("number", F.lit(2))).orderBy("number")  # one pass over a street's numbers
+    a = F.last("side", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    b = F.first("side", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    ends = both.withColumns({"a": a, "b": b}).where("asked is not null")
     at = F.when(F.col("b.number") > F.col("a.number"), (F.col("asked") - F.col("a.number")) / F.nullif(F.col("b.number") - F.col("a.number"), F.lit(0))).otherwise(0.0)
     near = G.flat_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) < 500
     lerp = lambda c: F.round(F.col(f"a.{c}") + at * (F.col(f"b.{c}") - F.col(f"a.{c}")), 7).alias(c)
