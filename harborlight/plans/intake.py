@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from harborlight.plans import views_sql as V
 from harborlight.plans.live import fresh_folder
-from harborlight.sources import captures, files
+from harborlight.sources import captures, files, trip_files
 from harborlight.sources import tables as T
 
 FEED = "station_status"
@@ -124,7 +124,39 @@ def whole_mornings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [capture_source, capture_stream, sync_manifest, atomic_publish, zipped_csv, whole_mornings]
+#: The three ways in which headers of trip files have been written.
+HEADERS = (
+    ("Genero_Usuario", "Edad_Usuario", "Bici", "Ciclo_Estacion_Retiro", "Fecha_Retiro", "Hora_Retiro", "Ciclo_Estacion_Arribo", "Fecha_Arribo", "Hora_Arribo"),
+    ("Genero_Usuario", "Edad_Usuario", "Bici", "Ciclo_Estacion_Retiro", "Fecha_Retiro", "Hora_Retiro", "Ciclo_EstacionArribo", "Fecha Arribo", "Hora_Arribo"),
+    ("\ufeffbici", "ce_retiro", "fecha_retiro", "hora_retiro", "ce_arribo", "fecha_arribo", "hora_arribo"),
+)
+YEARS = 32
+
+
+def trip_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips written as one CSV folder a month, each with one of the three headers, and read by month; the later upload of a month counts."""
+    trips = T.trips(spark, sf_dir)
+    moved = {c: F.col(c) + F.make_ym_interval(F.lit(YEARS)) for c in ("departed_at", "arrived_at")}
+    rows = trips.withColumns(moved).withColumn("month", F.date_format("departed_at", "yyyy-MM"))
+    style = F.pmod(F.month("departed_at"), F.lit(3))
+    folder = fresh_folder(spark, "trip-files")
+    paths = []
+    for k, header in enumerate(HEADERS):
+        day = "d/M/yy" if k == 2 else "dd/MM/yyyy"
+        value = {
+            "bici": F.lit("7"), "retiro": F.col("origin_code"), "arribo": F.col("destination_code"), "fecha_retiro": F.date_format("departed_at", day), "fecha_arribo": F.date_format("arrived_at", day),
+            "hora_retiro": F.date_format("departed_at", "H:mm:ss"), "hora_arribo": F.date_format("arrived_at", "H:mm:ss"),
+        }
+        name = lambda c: c.strip("\ufeff").lower().replace(" ", "_")
+        pick = lambda c: value.get(name(c), value["retiro"] if "retiro" in name(c) else value["arribo"] if "arribo" in name(c) else F.lit("M"))
+        mine = rows.where(style == k).select("month", *(pick(c).alias(c) for c in header))
+        mine.repartition("month").write.partitionBy("month").option("header", True).csv(f"{folder}/style-{k}")
+        paths += [f"{folder}/style-{k}/month={r.month}" for r in mine.select("month").distinct().collect()]  # a row a month
+    months = trip_files.read_months(spark, paths)
+    return months.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_min"), 3).alias("minutes"), F.countDistinct("origin_code").alias("origins"))
+
+
+QUERIES = [capture_source, capture_stream, sync_manifest, atomic_publish, zipped_csv, whole_mornings, trip_months]
 _DAILY = V.with_views(V.SNAP) + ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, date_trunc('day', t) ORDER BY t DESC) AS rn FROM snap) WHERE rn = 1)"
 _NAME = "strftime(date_trunc('day', t), 'station_status_%Y%m%dT%H%M%SZ.json.gz')"
 SQL = {
@@ -135,6 +167,8 @@ SQL = {
         SELECT strftime(t, 'station_status/%Y/%m/%d/station_status_%Y%m%dT%H%M%SZ.json.gz') AS key, first, second FROM f""",
     "atomic_publish": "SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(1 AS BIGINT) AS left_over FROM events GROUP BY 1",
     "zipped_csv": f"""SELECT p_partkey, p_name || ' "{ODD}"' AS name, 'denue_' || p_partkey % 2 || '.csv' AS member FROM part""",
+    "trip_months": f"""SELECT strftime(l_shipdate + INTERVAL {YEARS} YEAR, '%Y-%m') AS month, count(*) AS n, round(sum(l_quantity), 3) AS minutes, count(DISTINCT l_suppkey % 100) AS origins FROM
+        (SELECT *, l_shipdate + (l_orderkey % 96 * 15) * INTERVAL 1 MINUTE AS dep FROM lineitem) GROUP BY 1""",
     "whole_mornings": f"""WITH c AS (SELECT DISTINCT ts - INTERVAL {ZONE_HOURS} HOUR AS t FROM events),
         d AS (SELECT CAST(x AS DATE) AS day, x + INTERVAL 7 HOUR AS a, x + INTERVAL 11 HOUR AS b FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(t)) FROM c), (SELECT max(t) FROM c), INTERVAL 1 DAY)) AS x)
           WHERE isodow(x) < 6 AND x + INTERVAL 7 HOUR >= (SELECT min(t) FROM c) AND x + INTERVAL 11 HOUR <= (SELECT max(t) FROM c)),

@@ -68,14 +68,20 @@ def rolling(rows: DataFrame, step: int = 7, window: int = 28, gap: int = 1, leas
 
     The window's rows are reduced to counts by score before a week is fitted, so a group is bounded by the scores' digits.
     """
-    week = F.floor((F.col("d") - 1) / step)
-    rows = rows.withColumn("week", week)
+    rows = rows.withColumn("week", F.floor((F.col("d") - 1) / step))
+    past = rows.groupBy("d", F.round("p", DIGITS).alias("x")).agg(F.sum(F.col("y").cast("double")).alias("hits"), F.count(F.lit(1)).alias("n"))
+    return mapped(rows, weekly_maps(past, rows.select("week").distinct(), step, window, gap), least)
+
+
+def weekly_maps(counts: DataFrame, weeks: DataFrame, step: int, window: int, gap: int) -> DataFrame:
+    """(week, xs, ys, total): each week's monotone fit on the counts (d, x, hits, n) of the days of its window."""
     first = F.col("w.week") * step + 1
-    weeks = rows.select("week").distinct().alias("w")
-    past = rows.groupBy("d", F.round("p", DIGITS).alias("x")).agg(F.sum(F.col("y").cast("double")).alias("hits"), F.count(F.lit(1)).alias("n")).alias("r")
     inside = F.col("r.d").between(first - gap - window + 1, first - gap)
-    met = past.join(F.broadcast(weeks), inside).groupBy("w.week", "x").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))  # a row a week
-    maps = met.groupBy("week").applyInPandas(lambda key, part: pooled(key[0], part), "week long, xs array<double>, ys array<double>, total double")
+    met = counts.alias("r").join(F.broadcast(weeks.alias("w")), inside).groupBy("w.week", "x").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))  # a row a week
+    return met.groupBy("week").applyInPandas(lambda key, part: pooled(key[0], part), "week long, xs array<double>, ys array<double>, total double")
+
+
+def mapped(rows: DataFrame, maps: DataFrame, least: int) -> DataFrame:
     joined = rows.join(F.broadcast(maps), "week", "left")  # a row a week
     enough = F.coalesce(F.col("total"), F.lit(0.0)) >= least
     return joined.withColumn("p_roll", F.when(enough, along(F.col("p"), F.col("xs"), F.col("ys"))).otherwise(F.col("p"))).drop("xs", "ys", "total")

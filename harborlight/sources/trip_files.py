@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.functions.text import month_of_name, station_code
 from harborlight.functions.timeparts import local_wall_clock
+from harborlight.sources.files import at
 
 # The spellings that a field's column has had, in lower case and with underscores for spaces.
 SPELLINGS = {
@@ -33,13 +37,13 @@ def fields(raw: DataFrame) -> dict[str, Column]:
     return read
 
 
-def trips_of(raw: DataFrame, zone: str) -> DataFrame:
-    """All-string columns to codes, instants and minutes; what can't be read is null, and years of two digits are 20yy."""
+def trips_of(raw: DataFrame, zone: str, *more: Column) -> DataFrame:
+    """All-string columns to codes, instants and minutes, and more columns of the file; what can't be read is null, and years of two digits are 20yy."""
     of = fields(raw)
     day = lambda end: F.regexp_replace(of[f"{end}_date"], r"/(\d\d)$", "/20$1")
     instant = {name: local_wall_clock(F.concat_ws(" ", day(end), of[f"{end}_time"]), "d/M/yyyy H:mm:ss", zone) for name, end in INSTANTS.items()}
     codes = [station_code(of[f"{end}_code"]).alias(f"{end}_code") for end in INSTANTS.values()]
-    rows = raw.select(of["bike_id"].alias("bike_id"), *codes, *(c.alias(n) for n, c in instant.items()))
+    rows = raw.select(of["bike_id"].alias("bike_id"), *codes, *(c.alias(n) for n, c in instant.items()), *more)
     minutes = F.timestamp_diff("MICROSECOND", F.col("departed_at"), F.col("arrived_at")) / 60e6
     return rows.withColumn("duration_min", minutes)
 
@@ -55,12 +59,29 @@ def newest(names: DataFrame) -> DataFrame:
     return months.where("month is not null").groupBy("month").agg(F.max("name").alias("name"))
 
 
+def header_of(path: str) -> tuple[str, ...]:
+    """The header of a file, or of the first file of a folder; only its first line is read."""
+    where, name = at(path)
+    if where.get_file_info(name).type == fs.FileType.Directory:
+        name = min(i.path for i in where.get_file_info(fs.FileSelector(name)) if i.base_name[0] not in "._")
+    with where.open_input_stream(name) as given:
+        line = io.TextIOWrapper(given, encoding="utf-8", errors="replace", newline="").readline()
+    return tuple(next(csv.reader([line])))
+
+
 def read_months(spark: SparkSession, paths: Sequence[str], zone: str = "America/Mexico_City") -> DataFrame:
-    """Trips of several monthly files, each with its own header, and their month; of a month's files the last upload counts."""
+    """Trips of several monthly files or folders and their month; of a month's files the last upload counts. Files of one header are one read."""
     named = newest(spark.createDataFrame([(p,) for p in paths], "name string")).collect()  # a row a month
-    out = None
+    alike: dict[tuple[str, ...], list] = {}
     for row in sorted(named):
-        one = read_trips(spark, row.name, zone).withColumn("month", F.lit(row.month))
+        alike.setdefault(header_of(row.name), []).append(row)
+    out = None
+    for header, rows in alike.items():
+        schema = ", ".join(f"`{c}` string" for c in header)
+        raw = spark.read.schema(schema).csv([r.name for r in rows], header=True, encoding="UTF-8")
+        ends = [(r.name.rstrip("/").rsplit("/", 1)[1], r.month) for r in rows]
+        month = F.coalesce(*(F.when(F.instr(F.col("_metadata.file_path"), f"/{end}") > 0, F.lit(m)) for end, m in ends))
+        one = trips_of(raw, zone, month.alias("month"))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no file names a month")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from harborlight.plans import learning as L
-from harborlight.plans import scoring
+from harborlight.plans import models, scoring
 from harborlight.plans import views_sql as V
 from harborlight.sources import tables as T
 from harborlight.sources.shared import shared_folder
@@ -225,7 +225,42 @@ def stream_live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sid", "t", "p_trees", "p", "sub")
 
 
-QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_state_lags, stream_limits, stream_live_scores]
+def refitted(stream: DataFrame, step: int = 7, window: int = 28, gap: int = 1, least: int = 1_000) -> DataFrame:
+    """A stream of scores with their outcomes (sid, t, d, p, y), each score through its week's isotonic map: p_roll.
+
+    A micro-batch adds the counts of its scores by day and digits, then fits the maps of its weeks from the counts of the days that
+    end `gap` before them, stores them by week, and scores with them. Batches must come in the order of weeks, each whole;
+    a batch that is run again replaces its own rows. Only counts are kept, a bounded number a day.
+    """
+    spark = stream.sparkSession
+    out = f"{shared_folder(spark)}/refit-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows = models.saved(batch.withColumn("week", F.floor((F.col("d") - 1) / step)))
+        counts = rows.groupBy("d", F.round("p", models.DIGITS).alias("x")).agg(F.sum(F.col("y").cast("double")).alias("hits"), F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/counts/batch={n}")
+        held = spark.read.schema("d long, x double, hits double, n long, batch long").parquet(f"{out}/counts").where(F.col("batch") <= n).drop("batch")
+        maps = models.weekly_maps(held, rows.select("week").distinct(), step, window, gap)
+        maps.write.mode("overwrite").parquet(f"{out}/maps/batch={n}")
+        stored = spark.read.parquet(f"{out}/maps/batch={n}")
+        models.mapped(rows, stored, least).write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+def stream_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly recalibration as its weeks close, a file a week."""
+    rows = models.saved(models._predictions(spark, sf_dir).select("sid", "t", F.col("d").cast("long").alias("d"), "y", "p"))
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    for week in range(-(-31 // 7)):
+        rows.where(F.floor((F.col("d") - 1) / 7) == week).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return refitted(stream, least=50).select("sid", "t", "d", "week", "y", "p", "p_roll")
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_state_lags, stream_limits, stream_live_scores, stream_recalibration]
 _EVENTS = "e AS (SELECT event_id, user_id AS sid, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 SQL = {
     "stream_state_lags": V.with_views(V.SNAP, V.examples()) + f""", {_EVENTS}, b AS (SELECT *, lag(ts) OVER w AS b_ts, lag(k) OVER w AS b_k FROM e WINDOW w AS (PARTITION BY sid ORDER BY ts, event_id))

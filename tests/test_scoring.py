@@ -1,14 +1,16 @@
 """Stored trees against MLlib, the round against its curve, and live and streamed scores against the batch."""
 
+import datetime as dt
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from harborlight.plans import learning as L
-from harborlight.plans import scoring
+from harborlight.plans import models, scoring
 from harborlight.sources import tables as T
 from harborlight.streaming import keyed
 from harborlight.streaming.jobs import in_parts
@@ -81,3 +83,16 @@ def test_live_scores_equal_the_batch(spark, sf_dir, frozen):
     stream = spark.readStream.schema(spark.read.parquet(stream_folder).schema).option("maxFilesPerTrigger", 1).parquet(stream_folder)
     found = keyed.scored_captures(stream, folder, lambda back, ex: scoring.live(spark, folder, back, ex)).collect()
     assert len(found) == len(whole) and all(whole[r.sid, r.t] == r for r in found)
+
+
+def test_streamed_refit_equals_the_weekly_one(spark, sf_dir, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), int(d), bool(rng.random() < p * p), float(p)) for i, (d, p) in enumerate(zip(rng.integers(1, 31, 3_000), rng.random(3_000)))]
+    frame = spark.createDataFrame(rows, "sid long, t timestamp, d long, y boolean, p double")
+    for week in range(5):
+        frame.where(F.floor((F.col("d") - 1) / 7) == week).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed")
+    got = {r.sid: r.p_roll for r in keyed.refitted(stream, least=100).collect()}
+    expected = {r.sid: (r.p_roll, r.p, r.week) for r in models.rolling(frame, least=100).collect()}
+    assert len(got) == 3_000 and all(abs(got[k] - v[0]) < 1e-12 for k, v in expected.items())
+    assert sum(abs(v[0] - v[1]) > 1e-3 for v in expected.values()) > 1_500 and all(v[0] == v[1] for v in expected.values() if v[2] == 0)
