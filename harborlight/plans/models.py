@@ -119,7 +119,7 @@ def isotonic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     xs, ys = isotonic(rows.where(F.col("d").between(*L.FIT)))
     fit = spark.createDataFrame([(xs, ys)], "xs array<double>, ys array<double>")
     report = rows.where(F.col("d").between(*L.REPORT)).crossJoin(F.broadcast(fit))  # one row
-    return report.select("sid", "t", "y", "p", along(F.col("p"), F.col("xs"), F.col("ys")).alias("p_iso"))
+    return report.select("sid", "t", "y", F.round("p", 6).alias("p"), F.round(along(F.col("p"), F.col("xs"), F.col("ys")), 6).alias("p_iso"))
 
 
 def _saturated_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,8 @@ def platt_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rolling_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window has 50 rows at least here, as the test readings are sparse."""
-    return rolling(saved(_predictions(spark, sf_dir)), least=50).select("sid", "t", "d", "week", "y", "p", "p_roll")
+    rows = rolling(saved(_predictions(spark, sf_dir)), least=50)
+    return rows.select("sid", "t", "d", "week", "y", F.round("p", 6).alias("p"), F.round("p_roll", 6).alias("p_roll"))
 
 
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +247,21 @@ QUERIES = [isotonic_map, platt_map, rolling_recalibration, bootstrap_interval, b
 _COUNT = " + ".join(f"CAST(u >= {limit!r} AS INT)" for limit in POISSON)
 _ERRORS = V.with_views(V.SNAP, V.examples(), V.predictions()) + ", err AS (SELECT *, CAST(y AS INT) AS hit FROM pred WHERE d BETWEEN 23 AND 30)"
 _DRAWN = f"""drawn AS (SELECT *, {_COUNT} AS w FROM (SELECT *, CAST('0x' || substr(md5(sid || '|' || d || '|' || draw || '|3'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range({DRAWS})) AS draw FROM cells)))"""
+_SCORES = V.with_views(V.SNAP, V.examples(), V.predictions()) + ", sc AS (SELECT sid, t, d, y, CAST(y AS INT) AS hit, least(greatest(p_hist, 0.001), 0.999) AS p, (d - 1) // 7 AS week FROM pred)"
+#: The monotone fit of counted scores cnt (g, x, hits, n) by its closed form: at each score the largest, over stretches that begin no
+#: later, of the least mean, over those that end no sooner.
+_MONOTONE = """, pts AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(hits) OVER w AS ch FROM cnt WINDOW w AS (PARTITION BY g ORDER BY x)),
+        lows AS (SELECT j.g, k.i, min((k.ch - j.ch + j.hits) / CAST(k.cn - j.cn + j.n AS DOUBLE)) OVER (PARTITION BY j.g, j.i ORDER BY k.i DESC) AS v FROM pts j JOIN pts k ON k.g = j.g AND k.i >= j.i),
+        knots AS (SELECT p.g, p.x, l.y, lead(p.x) OVER w AS x1, lead(l.y) OVER w AS y1, first_value(l.y) OVER w AS y0 FROM pts p JOIN (SELECT g, i, max(v) AS y FROM lows GROUP BY 1, 2) l ON l.g = p.g AND l.i = p.i WINDOW w AS (PARTITION BY p.g ORDER BY p.x)),
+        lowest AS (SELECT g, any_value(y0) AS y0, count(*) AS knots FROM knots GROUP BY 1)"""
+_ALONG = "CASE WHEN k.x IS NULL THEN e.y0 ELSE k.y + coalesce((k.y1 - k.y) * (s.p - k.x) / nullif(k.x1 - k.x, 0), 0) END"
+WEEKLY_SQL = _SCORES + """, days AS (SELECT d, round(p, 4) AS x, sum(hit) AS hits, count(*) AS n FROM sc GROUP BY 1, 2), weeks AS (SELECT DISTINCT week FROM sc),
+        cnt AS (SELECT week AS g, x, sum(hits) AS hits, sum(n) AS n FROM days JOIN weeks ON d BETWEEN week * 7 - 27 AND week * 7 GROUP BY 1, 2), enough AS (SELECT g FROM cnt GROUP BY 1 HAVING sum(n) >= 50)""" + _MONOTONE + f"""
+        SELECT s.sid, s.t, s.d, s.week, s.y, round(s.p, 6) AS p, round(CASE WHEN s.week IN (SELECT g FROM enough) THEN {_ALONG} ELSE s.p END, 6) AS p_roll FROM sc s ASOF LEFT JOIN knots k ON k.g = s.week AND s.p >= k.x LEFT JOIN lowest e ON e.g = s.week"""
 SQL: dict[str, str] = {
+    "isotonic_map": _SCORES + ", cnt AS (SELECT 0 AS g, round(p, 4) AS x, sum(hit) AS hits, count(*) AS n FROM sc WHERE d BETWEEN 19 AND 22 GROUP BY 2), rep AS (SELECT *, 0 AS g FROM sc WHERE d BETWEEN 23 AND 30)" + _MONOTONE + f"""
+        SELECT s.sid, s.t, s.y, round(s.p, 6) AS p, round({_ALONG}, 6) AS p_iso FROM rep s ASOF LEFT JOIN knots k ON k.g = s.g AND s.p >= k.x LEFT JOIN lowest e ON e.g = s.g""",
+    "rolling_recalibration": WEEKLY_SQL,
     "bootstrap_skill": _ERRORS + f""", cells AS (SELECT sid, d, round(sum(pow(p_hist - hit, 2)), 9) AS a, round(sum(pow(p_persist - hit, 2)), 9) AS b FROM err GROUP BY 1, 2), {_DRAWN},
         s AS (SELECT draw, 1 - sum(w * a) / nullif(sum(w * b), 0) AS skill FROM drawn WHERE w > 0 GROUP BY 1)
         SELECT count(*) AS draws, round(quantile_cont(skill, 0.025), 6) AS low, round(quantile_cont(skill, 0.975), 6) AS high FROM s""",

@@ -257,12 +257,13 @@ def stream_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     for week in range(-(-31 // 7)):
         rows.where(F.floor((F.col("d") - 1) / 7) == week).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return refitted(stream, least=50).select("sid", "t", "d", "week", "y", "p", "p_roll")
+    return refitted(stream, least=50).select("sid", "t", "d", "week", "y", F.round("p", 6).alias("p"), F.round("p_roll", 6).alias("p_roll"))
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [stream_state_lags, stream_limits, stream_live_scores, stream_recalibration]
 _EVENTS = "e AS (SELECT event_id, user_id AS sid, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 SQL = {
+    "stream_recalibration": models.WEEKLY_SQL,
     "stream_state_lags": V.with_views(V.SNAP, V.examples()) + f""", {_EVENTS}, b AS (SELECT *, lag(ts) OVER w AS b_ts, lag(k) OVER w AS b_k FROM e WINDOW w AS (PARTITION BY sid ORDER BY ts, event_id))
         SELECT sid, event_id, 'lag' AS kind, CASE WHEN ts - b_ts <= INTERVAL {LAG} MINUTE THEN b_k % 10 = 0 END AS value FROM b
         UNION ALL SELECT ex.sid, e.event_id, 'label', ex.y FROM ex JOIN e ON e.sid = ex.sid AND e.ts = ex.t""",
