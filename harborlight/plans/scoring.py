@@ -19,8 +19,10 @@ from harborlight.functions.prob import along, brier, clip, log_loss, logit, sigm
 from harborlight.functions.timeparts import is_peak_slot
 from harborlight.operators import stations as S
 from harborlight.plans import learning as L
+from harborlight.plans import planner
+from harborlight.plans.live import all_horizons
 from harborlight.plans.models import COLUMNS, isotonic, numeric, platt
-from harborlight.plans.trips import flow_of, plausible
+from harborlight.plans.trips import flow_of, plausible, ride_times
 from harborlight.sources import tables as T
 from harborlight.sources.shared import saved, shared_folder
 
@@ -30,6 +32,8 @@ CHECK, PERIODS = 4, {"report": (23, 26), "test": (27, 28), "test_late": (29, 30)
 #: The station is a category; everything else is a number with a mark of its absence.
 NUMBERS = [c for c in COLUMNS if c != "station"]
 INPUTS = [f"{p}_{c}" for c in [*NUMBERS, "holiday"] for p in ("f", "m")] + ["station_index"]
+#: The planner's horizons, and the ones that they stand for on the sparse readings.
+SCALED = {15: 720, 30: 1_080, 45: 1_440}
 NODES = "tree int, node int, feature int, threshold double, categories array<double>, left int, right int, leaf double, weight double"
 MODEL = "digest string, rounds int, xs array<double>, ys array<double>, a double, b double"
 
@@ -261,5 +265,29 @@ def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live(spark, folder, saved(lookback), L.examples_now(now)).select("sid", "t", "p_trees", "p", "sub")
 
 
-QUERIES = [gbt_curve, frozen_nodes, final_test, live_scores]
+def scored_board(spark: SparkSession, sf_dir: str, rounds: int = 6) -> DataFrame:
+    """The planner's board: each station's latest state with the stored models' probability of being full after each horizon.
+
+    A model a horizon; a horizon that a station has no forecast for is null. The planner's horizons stand for the scaled ones.
+    """
+    readings = T.readings(spark, sf_dir)
+    lookback, now = latest(readings)
+    lookback = saved(lookback)
+    frames = []
+    for h, minutes in SCALED.items():
+        folder = freeze(spark, sf_dir, matrix(spark, sf_dir, minutes), rounds)
+        frames.append(live(spark, folder, lookback, L.examples_now(now, minutes), minutes).select("sid", "t", F.col("p").alias(f"p_full_{h}")))
+    forecasts = all_horizons([saved(f) for f in frames], ["sid", "t"]).drop("t").withColumnRenamed("sid", "station_id")
+    state = planner.board(spark, sf_dir).drop(*(f"p_full_{h}" for h in SCALED))
+    return saved(state.join(forecasts, "station_id", "left"))
+
+
+def plan_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips ranked by expected time with the stored models' probabilities."""
+    board = scored_board(spark, sf_dir)
+    rows = planner.ranked(planner.candidates(planner.requests(spark, sf_dir), board), board, ride_times(spark, sf_dir))
+    return rows.select("request_id", "station_id", "rank", "recommendable", "ride_min", "p_full", "expected_min")
+
+
+QUERIES = [gbt_curve, frozen_nodes, final_test, live_scores, plan_live]
 SQL: dict[str, str] = {}

@@ -10,7 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from harborlight.plans import learning as L
-from harborlight.plans import models, scoring
+from harborlight.plans import models, planner, scoring
+from harborlight.plans.trips import ride_times
 from harborlight.sources import tables as T
 from harborlight.streaming import keyed
 from harborlight.streaming.jobs import in_parts
@@ -96,3 +97,12 @@ def test_streamed_refit_equals_the_weekly_one(spark, sf_dir, tmp_path):
     expected = {r.sid: (r.p_roll, r.p, r.week) for r in models.rolling(frame, least=100).collect()}
     assert len(got) == 3_000 and all(abs(got[k] - v[0]) < 1e-12 for k, v in expected.items())
     assert sum(abs(v[0] - v[1]) > 1e-3 for v in expected.values()) > 1_500 and all(v[0] == v[1] for v in expected.values() if v[2] == 0)
+
+
+def test_plans_use_the_stored_models(spark, sf_dir):
+    board = scoring.scored_board(spark, sf_dir, rounds=2)
+    plans = planner.ranked(planner.candidates(planner.requests(spark, sf_dir), board), board, ride_times(spark, sf_dir)).collect()
+    known = {r.station_id: r for r in board.collect()}
+    assert plans and all(r.p_full is None or min(known[r.station_id][f"p_full_{h}"] for h in scoring.SCALED) - 1e-9 <= r.p_full <= max(known[r.station_id][f"p_full_{h}"] for h in scoring.SCALED) + 1e-9 for r in plans)
+    assert all((known[r.station_id].p_full_15 is None) == (r.p_full is None) and (r.rank is not None) == bool(r.recommendable) for r in plans)
+    assert any(r.p_full is not None for r in plans)
