@@ -123,8 +123,8 @@ def lag_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = T.readings(spark, sf_dir)
-    rows = features(r, T.daily_readings(spark, sf_dir), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), examples(r))
+    r = saved(T.readings(spark, sf_dir))  # parsed once
+    rows = features(r, T.last_of_day(r), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), examples(r))
     doubles = [n for n, kind in rows.dtypes if kind == "double"]
     return rows.withColumns({c: F.round(c, 5 if c == "flow_net_window" else 7) + 0.0 for c in doubles})
 

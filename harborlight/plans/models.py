@@ -197,8 +197,8 @@ COLUMNS = [
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The features as doubles, in a fixed order, so that samples and splits agree between runs."""
-    r = T.readings(spark, sf_dir)
-    rows = L.features(r, T.daily_readings(spark, sf_dir), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), L.examples(r))
+    r = saved(T.readings(spark, sf_dir))
+    rows = L.features(r, T.last_of_day(r), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), L.examples(r))
     rows = numeric(rows, COLUMNS).withColumn("label", F.col("y").cast("double")).withColumn("check", F.col("d") > L.TRAIN[1] - 4)
     return saved(rows.repartitionByRange("sid", "t").sortWithinPartitions("sid", "t"))
 

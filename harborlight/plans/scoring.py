@@ -148,8 +148,8 @@ def calibrated(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 def matrix(spark: SparkSession, sf_dir: str, horizon: int = L.HORIZON) -> DataFrame:
     """Features and label of all examples, in a fixed order, so that fits agree between runs."""
-    r = T.readings(spark, sf_dir)
-    rows = L.features(r, T.daily_readings(spark, sf_dir), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), L.examples(r, horizon), horizon)
+    r = saved(T.readings(spark, sf_dir))
+    rows = L.features(r, T.last_of_day(r), flow_of(plausible(spark, sf_dir)), T.weather(spark, sf_dir), L.examples(r, horizon), horizon)
     rows = indexed(rows).withColumn("label", F.col("y").cast("double"))
     return saved(rows.repartitionByRange("sid", "t").sortWithinPartitions("sid", "t"))
 
