@@ -235,6 +235,18 @@ def test_languages(spark):
     assert langid.identified(docs.limit(0), content, ["doc_id"]).count() == 0
 
 
+def test_languages_of_repeated_rows_and_ties(spark):
+    random = np.random.default_rng(19)
+    make = lambda: " ".join(random.choice(WORDS, 60))
+    texts = [make() for _ in range(30)]
+    train = spark.createDataFrame([(k, t, x) for k, t in enumerate(texts) for x in ("aa", "bb")], "doc_id long, text string, lang string")
+    content = langid.dictionaries(train)
+    rows = [(1, make(), None), (1, make(), None), (2, make(), None)] + [(3, texts[0], None)] * 3
+    got = langid.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), content, ["doc_id"]).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 3, 3, 3] and len({(r.lang_pred, r.score) for r in got if r.doc_id == 3}) == 1
+    assert all(r.lang_pred in ("aa", "bb") and not r.accepted for r in got)  # both languages have the same texts
+
+
 # quality
 
 
@@ -257,6 +269,17 @@ def test_quality(spark):
     assert quality.scored(labelled.limit(0), ["doc_id"], model).count() == 0
 
 
+def test_quality_of_repeated_rows_and_a_long_text(spark):
+    random = np.random.default_rng(20)
+    rows = [(k, prose(random, 60) if k % 3 else " ".join(w + "%%%" for w in random.choice(WORDS[:20], 40)), int(k % 3 > 0)) for k in range(300)]
+    model = quality.fitted(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    good, bad = prose(random, 200_000), " ".join(w + "%%%" for w in random.choice(WORDS[:20], 100_000))
+    odd = [(1, good), (2, bad), (3, rows[1][1]), (3, rows[1][1]), (None, rows[1][1]), (4, "x" * 1_000_000)]
+    got = quality.scored(spark.createDataFrame(odd, "doc_id long, text string"), ["doc_id"], model).collect()
+    score = {r.doc_id: r.score for r in got}
+    assert len(got) == 6 and score[1] > 0.5 > score[2] and len({r.score for r in got if r.doc_id in (3, None)}) == 1 and 0 <= score[4] <= 1
+
+
 def test_capitals_of_the_whole_text_count():
     pooler = quality.Pooler([], None)
     for text in ("aBcDefgh", "Xbcdefg" * 40, "xBCDEFG" * 40, "É und Ω, " * 9 + "ÀÀ"):
