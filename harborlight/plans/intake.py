@@ -156,7 +156,39 @@ def trip_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_min"), 3).alias("minutes"), F.countDistinct("origin_code").alias("origins"))
 
 
-QUERIES = [capture_source, capture_stream, sync_manifest, atomic_publish, zipped_csv, whole_mornings, trip_months]
+def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers appended to a log of JSON lines by day, in two runs; read back, the last one of a plan and kind counts."""
+    folder = fresh_folder(spark, "log")
+    rows = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("plan_id"), F.col("event_type").alias("kind"), "event_id", F.col("ts").alias("received_at"), "value")
+    for run in ("event_id % 2 = 0", "event_id % 2 = 1"):
+        rows.where(run).withColumn("day", F.to_date("received_at")).repartition("day").write.mode("append").partitionBy("day").json(folder)
+    log = spark.read.schema("plan_id long, kind string, event_id long, received_at timestamp_ntz, value double").json(folder)
+    last = F.max_by(F.struct("event_id", "value"), F.struct("received_at", "event_id"))
+    return log.groupBy("plan_id", "kind").agg(last.alias("r"), F.count(F.lit(1)).alias("answers")).select("plan_id", "kind", "r.event_id", F.round("r.value", 6).alias("value"), "answers")
+
+
+def stations_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, station): the stations that have one; of a code the first."""
+    rows = T.table(spark, sf_dir, "supplier").where("s_nationkey % 4 > 0").select(F.lpad((F.col("s_suppkey") % 100).cast("string"), 3, "0").alias("code"), "s_suppkey")
+    return rows.groupBy("code").agg(F.min("s_suppkey").alias("station"))
+
+
+def mapped_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips between stations of the feed, both ends by their code; trips with an end that has no station are left out."""
+    codes = stations_by_code(spark, sf_dir)
+    of = lambda end: codes.select(F.col("code").alias(f"{end}_code"), F.col("station").alias(f"{end}_id"))
+    rows = T.trips(spark, sf_dir).join(of("origin"), "origin_code").join(of("destination"), "destination_code")
+    return rows.groupBy("origin_id", "destination_id").agg(F.count(F.lit(1)).alias("n"), F.median("duration_min").alias("minutes"))
+
+
+def period_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind of event the first and last time, its days as a list, and how many values are null or not positive."""
+    rows = T.table(spark, sf_dir, "events").withColumn("v", F.nullif(F.floor(F.abs("value")), F.lit(0)))
+    days = F.array_join(F.array_sort(F.collect_set(F.date_format("ts", "MM-dd"))), ",")  # a period's days
+    return rows.groupBy("event_type").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), days.alias("days"), F.count_if(F.col("v").isNull()).alias("null_count"), F.countDistinct("user_id").alias("stations"))
+
+
+QUERIES = [capture_source, capture_stream, sync_manifest, atomic_publish, zipped_csv, whole_mornings, trip_months, record_log, mapped_trips, period_facts]
 _DAILY = V.with_views(V.SNAP) + ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, date_trunc('day', t) ORDER BY t DESC) AS rn FROM snap) WHERE rn = 1)"
 _NAME = "strftime(date_trunc('day', t), 'station_status_%Y%m%dT%H%M%SZ.json.gz')"
 SQL = {
@@ -169,6 +201,12 @@ SQL = {
     "zipped_csv": f"""SELECT p_partkey, p_name || ' "{ODD}"' AS name, 'denue_' || p_partkey % 2 || '.csv' AS member FROM part""",
     "trip_months": f"""SELECT strftime(l_shipdate + INTERVAL {YEARS} YEAR, '%Y-%m') AS month, count(*) AS n, round(sum(l_quantity), 3) AS minutes, count(DISTINCT l_suppkey % 100) AS origins FROM
         (SELECT *, l_shipdate + (l_orderkey % 96 * 15) * INTERVAL 1 MINUTE AS dep FROM lineitem) GROUP BY 1""",
+    "record_log": """SELECT plan_id, kind, event_id, round(value, 6) AS value, answers FROM (SELECT user_id AS plan_id, event_type AS kind, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k,
+        count(*) OVER (PARTITION BY user_id, event_type) AS answers FROM events) WHERE k = 1""",
+    "mapped_trips": V.with_views(V.TRIPS) + """, c AS (SELECT lpad(CAST(s_suppkey % 100 AS VARCHAR), 3, '0') AS code, min(s_suppkey) AS station FROM supplier WHERE s_nationkey % 4 > 0 GROUP BY 1)
+        SELECT a.station AS origin_id, b.station AS destination_id, count(*) AS n, median(duration_min) AS minutes FROM trips JOIN c a ON a.code = origin_code JOIN c b ON b.code = destination_code GROUP BY 1, 2""",
+    "period_facts": """SELECT event_type, min(ts) AS first, max(ts) AS last, array_to_string(list_sort(list(DISTINCT strftime(ts, '%m-%d'))), ',') AS days,
+        count(*) FILTER (floor(abs(value)) = 0 OR value IS NULL) AS null_count, count(DISTINCT user_id) AS stations FROM events GROUP BY 1""",
     "whole_mornings": f"""WITH c AS (SELECT DISTINCT ts - INTERVAL {ZONE_HOURS} HOUR AS t FROM events),
         d AS (SELECT CAST(x AS DATE) AS day, x + INTERVAL 7 HOUR AS a, x + INTERVAL 11 HOUR AS b FROM (SELECT unnest(generate_series((SELECT date_trunc('day', min(t)) FROM c), (SELECT max(t) FROM c), INTERVAL 1 DAY)) AS x)
           WHERE isodow(x) < 6 AND x + INTERVAL 7 HOUR >= (SELECT min(t) FROM c) AND x + INTERVAL 11 HOUR <= (SELECT max(t) FROM c)),

@@ -143,6 +143,20 @@ def rolling_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sid", "t", "d", "week", "y", F.round("p", 6).alias("p"), F.round("p_roll", 6).alias("p_roll"))
 
 
+FITTED = ("p_persist_cal", "p_hist")
+
+
+def baseline_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted baselines with the models' calibration step: each through a monotone fit of the fitting days, on those of the report."""
+    rows = saved(L.baselines(L.examples(T.readings(spark, sf_dir))))
+    scores = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("week"), F.lit(m).alias("model"), F.col(m).alias("p")) for i, m in enumerate(FITTED))))
+    long = rows.select("sid", "t", "d", "y", scores.alias("s")).select("sid", "t", "d", "y", "s.*").where("p is not null")
+    counts = long.where(F.col("d").between(*L.FIT)).groupBy("week", F.round("p", DIGITS).alias("x")).agg(F.sum(F.col("y").cast("double")).alias("hits"), F.count(F.lit(1)).alias("n"))
+    maps = counts.groupBy("week").applyInPandas(lambda key, part: pooled(key[0], part), "week long, xs array<double>, ys array<double>, total double")  # counts by digits
+    found = mapped(long.where(F.col("d").between(*L.REPORT)), maps, 1)
+    return found.select("sid", "t", "y", F.concat("model", F.lit("_iso")).alias("model"), F.round("p_roll", 6).alias("p"))
+
+
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, low, high = bootstrap(L.block_sums(spark, sf_dir), "p_hist", "p_persist")
     return spark.createDataFrame([("p_hist", "p_persist", value, low, high)], "model string, reference string, skill double, low double, high double")
@@ -243,7 +257,7 @@ def stacked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _of(short, scored.where(F.col("d").between(*L.REPORT)), "p").select("sid", "t", "y", "p_base", "p")
 
 
-QUERIES = [isotonic_map, platt_map, rolling_recalibration, bootstrap_interval, bootstrap_skill, bootstrap_gap, gbt_scores, gbt_importances, stacked_scores]
+QUERIES = [isotonic_map, platt_map, rolling_recalibration, baseline_iso, bootstrap_interval, bootstrap_skill, bootstrap_gap, gbt_scores, gbt_importances, stacked_scores]
 _COUNT = " + ".join(f"CAST(u >= {limit!r} AS INT)" for limit in POISSON)
 _ERRORS = V.with_views(V.SNAP, V.examples(), V.predictions()) + ", err AS (SELECT *, CAST(y AS INT) AS hit FROM pred WHERE d BETWEEN 23 AND 30)"
 _DRAWN = f"""drawn AS (SELECT *, {_COUNT} AS w FROM (SELECT *, CAST('0x' || substr(md5(sid || '|' || d || '|' || draw || '|3'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range({DRAWS})) AS draw FROM cells)))"""
@@ -262,6 +276,9 @@ SQL: dict[str, str] = {
     "isotonic_map": _SCORES + ", cnt AS (SELECT 0 AS g, round(p, 4) AS x, sum(hit) AS hits, count(*) AS n FROM sc WHERE d BETWEEN 19 AND 22 GROUP BY 2), rep AS (SELECT *, 0 AS g FROM sc WHERE d BETWEEN 23 AND 30)" + _MONOTONE + f"""
         SELECT s.sid, s.t, s.y, round(s.p, 6) AS p, round({_ALONG}, 6) AS p_iso FROM rep s ASOF LEFT JOIN knots k ON k.g = s.g AND s.p >= k.x LEFT JOIN lowest e ON e.g = s.g""",
     "rolling_recalibration": WEEKLY_SQL,
+    "baseline_iso": V.with_views(V.SNAP, V.examples(), V.predictions()) + """, sc AS (SELECT sid, t, d, y, CAST(y AS INT) AS hit, 'p_persist_cal' AS g, p_persist_cal AS p FROM pred UNION ALL SELECT sid, t, d, y, CAST(y AS INT), 'p_hist', p_hist FROM pred),
+        cnt AS (SELECT g, round(p, 4) AS x, sum(hit) AS hits, count(*) AS n FROM sc WHERE d BETWEEN 19 AND 22 AND p IS NOT NULL GROUP BY 1, 2), rep AS (SELECT * FROM sc WHERE d BETWEEN 23 AND 30 AND p IS NOT NULL)""" + _MONOTONE + f"""
+        SELECT s.sid, s.t, s.y, s.g || '_iso' AS model, round(CASE WHEN e.g IS NULL THEN s.p ELSE {_ALONG} END, 6) AS p FROM rep s ASOF LEFT JOIN knots k ON k.g = s.g AND s.p >= k.x LEFT JOIN lowest e ON e.g = s.g""",
     "bootstrap_skill": _ERRORS + f""", cells AS (SELECT sid, d, round(sum(pow(p_hist - hit, 2)), 9) AS a, round(sum(pow(p_persist - hit, 2)), 9) AS b FROM err GROUP BY 1, 2), {_DRAWN},
         s AS (SELECT draw, 1 - sum(w * a) / nullif(sum(w * b), 0) AS skill FROM drawn WHERE w > 0 GROUP BY 1)
         SELECT count(*) AS draws, round(quantile_cont(skill, 0.025), 6) AS low, round(quantile_cont(skill, 0.975), 6) AS high FROM s""",
