@@ -14,6 +14,8 @@ BIKE_KMH, WALK_KMH, MIN_PAIR_TRIPS, MAX_TRIP_MIN = 12.0, 4.8, 20, 90.0
 PICKUP_M, PICKUPS = 600.0, 4
 EARTH_M = 6_371_000.0
 EPS = 1e-6
+#: Where holidays and mornings are those of the place; six hours behind UTC all year since 2022.
+ZONE = "America/Mexico_City"
 #: Minutes that live features look back.
 LOOKBACK_MIN = 69.5
 HOLIDAYS = (

@@ -46,8 +46,10 @@ def is_peak_slot(s: Column) -> Column:
     return s.between(*PEAK_SLOTS)
 
 
-def on_holiday(t: Column, days: tuple[str, ...]) -> Column:
-    return F.to_date(t).isin(*(F.to_date(F.lit(d)) for d in days))
+def on_holiday(t: Column, days: tuple[str, ...], zone: str = "UTC") -> Column:
+    """Whether the day of a UTC time in the zone is one of the days."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), t.cast("timestamp_ntz"))
+    return F.to_date(local).isin(*(F.to_date(F.lit(d)) for d in days))
 
 
 def local_wall_clock(text: Column, pattern: str, zone: str) -> Column:

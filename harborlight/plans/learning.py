@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborlight.config import HOLIDAYS, SATURATED
+from harborlight.config import HOLIDAYS, SATURATED, ZONE
 from harborlight.functions import timeparts as P
 from harborlight.operators import asof, metrics
 from harborlight.operators import stations as S
@@ -64,7 +64,7 @@ def features(readings: DataFrame, grid: DataFrame, flow: DataFrame, hourly: Data
     rows = rows.join(S.profile(readings.where(F.col("d").between(*TRAIN))) if profile is None else profile, "sid", "left")
     return rows.withColumns({
         "occupancy_now": 1 - F.col("docks_now") / F.nullif(F.col("capacity"), F.lit(0)), "nb_n": F.coalesce("nb_n", F.lit(0)), "minute_of_day": P.minute_of_day(F.col("t")),
-        "weekday": P.iso_weekday(later), "holiday": P.on_holiday(later, HOLIDAYS),
+        "weekday": P.iso_weekday(later), "holiday": P.on_holiday(later, HOLIDAYS, ZONE),
     })
 
 
@@ -136,7 +136,7 @@ def weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holiday_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = P.plus_minutes(F.col("t"), HORIZON)
-    return T.readings(spark, sf_dir).select("sid", "t", P.iso_weekday(later).alias("weekday"), P.on_holiday(later, HOLIDAYS).alias("holiday"))
+    return T.readings(spark, sf_dir).select("sid", "t", P.iso_weekday(later).alias("weekday"), P.on_holiday(later, HOLIDAYS, ZONE).alias("holiday"))
 
 
 def baseline_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +238,7 @@ def _matrix_sql() -> str:
     rounded = lambda c, name=None: f"round({c}, {5 if name == 'flow_net_window' else 7}) + 0.0 AS {name or c}"
     return f""" SELECT e.*, st.station, cur.bikes AS bikes_now, cur.docks_disabled, {rounded("1 - e.docks_now / nullif(e.capacity, 0)::DOUBLE", "occupancy_now")}, {lagged}, coalesce(nbf.nb_n, 0) AS nb_n,
         {rounded("nb_full_frac")}, {rounded("nb_occupancy_mean")}, nbf.nb_docks_sum, hour(e.t) * 60 + minute(e.t) AS minute_of_day, isodow(e.t + INTERVAL {HORIZON} MINUTE) AS weekday,
-        CAST(e.t + INTERVAL {HORIZON} MINUTE AS DATE) IN ({", ".join(f"DATE '{d}'" for d in HOLIDAYS)}) AS holiday, w0.precip AS precip_now, w1.precip AS precip_next_hour, {rounded("w0.temp", "temperature_now")},
+        CAST(e.t + INTERVAL {HORIZON} MINUTE - INTERVAL 6 HOUR AS DATE) IN ({", ".join(f"DATE '{d}'" for d in HOLIDAYS)}) AS holiday, w0.precip AS precip_now, w1.precip AS precip_next_hour, {rounded("w0.temp", "temperature_now")},
         {rounded("ft.arrivals_mean", "flow_arrivals_target")}, {rounded("ft.departures_mean", "flow_departures_target")}, {rounded("ft.net_flow_mean", "flow_net_target")},
         {rounded("coalesce(CASE WHEN e.target_slot >= e.slot THEN c1.cum_before - c0.cum_before ELSE c0.day_total - c0.cum_before + c1.cum_before END, 0)", "flow_net_window")},
         {rounded("sp.st_full_rate", "st_full_rate")}, {rounded("sp.st_peak_full_rate", "st_peak_full_rate")}
@@ -267,7 +267,7 @@ SQL = {
     "lag_presence": W(V.SNAP) + f" SELECT {', '.join(f'round(avg(CAST(docks_lag{x} IS NOT NULL AS INT)), 6) AS docks_lag{x}' for x in LAGS)}, count(*) AS n FROM ({_lags_sql(True)})",
     "feature_matrix": W(V.SNAP, V.GRID, V.STATIONS, V.NEIGHBOURS, V.NBF, V.PROFILE.format(where="AND d BETWEEN 1 AND 18"), V.TRIPS, V.FLOW, V.FLOW_CUM, V.WEATHER, V.examples()) + _matrix_sql(),
     "weather_join": W(V.SNAP, V.WEATHER) + " SELECT sid, round(avg(temp), 6) AS temp, CAST(sum(precip) AS BIGINT) AS precip FROM snap LEFT JOIN weather ON hour = date_trunc('hour', t) GROUP BY sid",
-    "holiday_flag": W(V.SNAP) + f" SELECT sid, t, isodow(t + INTERVAL 720 MINUTE) AS weekday, CAST(t + INTERVAL 720 MINUTE AS DATE) IN ({', '.join(f'DATE {d!r}' for d in HOLIDAYS)}) AS holiday FROM snap",
+    "holiday_flag": W(V.SNAP) + f" SELECT sid, t, isodow(t + INTERVAL 720 MINUTE) AS weekday, CAST(t + INTERVAL 720 MINUTE - INTERVAL 6 HOUR AS DATE) IN ({', '.join(f'DATE {d!r}' for d in HOLIDAYS)}) AS holiday FROM snap",
     "baseline_predictions": BASE + " SELECT sid, t, y, p_persist, round(p_persist_cal, 6) AS p_persist_cal, round(p_hist, 6) AS p_hist FROM pred",
     "baseline_refit": W(V.SNAP, V.examples(), V.predictions(1, 22)) + " SELECT sid, t, round(p_persist_cal, 6) AS p_persist_cal_tvf, round(p_hist, 6) AS p_hist_tvf FROM pred WHERE d BETWEEN 23 AND 30",
     "saturated_stations": W(V.SNAP, V.examples()) + " SELECT sid, round(avg(CAST(y AS INT)), 6) AS rate, count(*) AS n FROM ex WHERE d BETWEEN 1 AND 18 GROUP BY sid HAVING avg(CAST(y AS INT)) >= 0.1",
