@@ -14,7 +14,7 @@ from harborlight.plans.trips import cumulative, flow_of, plausible, window_of
 from harborlight.sources import tables as T
 from harborlight.sources.shared import saved
 
-HORIZON, TOLERANCE, LAGS = 720, 360, (720, 1440)
+HORIZON, TOLERANCE, LAGS = 720, 360, (720, 1440, 2880)
 TRAIN, FIT, REPORT = (1, 18), (19, 22), (23, 30)
 MODELS = ("p_persist", "p_persist_cal", "p_hist")
 R6 = lambda c: F.round(c, 6)
