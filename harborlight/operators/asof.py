@@ -46,8 +46,7 @@ def lag_values(
     """df with prefix{lag} for each lag: the value that long ago, null if the reading is too far off or not ok.
 
     Trailing looks back only; centered takes the nearer of both sides, the earlier on a tie. All lags and sides come from
-    one union, one shuffle and one window: what lies between the longest and the shortest lag is listed at each row, and
-    the lags choose from the list. Rows are dealt by key and stretch of time, and a reading goes to each stretch that can
+    one union, one shuffle and one sort, with a short frame a lag and side. Rows are dealt by key and stretch of time, and a reading goes to each stretch that can
     see it, so no task holds a key's whole history.
     """
     us = lambda minutes: int(minutes * 60e6)
@@ -58,17 +57,26 @@ def lag_values(
     rows = df.select(F.struct(*df.columns).alias("_row"), *key, micros(F.col(time)).alias("_t")).withColumn("_stretch", stretch(t))
     seen = right.select(*key, micros(F.col(time)).alias("_t"), F.col(ok).alias("_ok"), F.col(value).alias("_value"))
     seen = seen.select(*key, "_t", F.struct("_t", "_ok", "_value").alias("_seen"), F.explode(F.sequence(stretch(t + near), stretch(t + far))).alias("_stretch"))
-    frame = Window.partitionBy(*key, "_stretch").orderBy("_t").rangeBetween(-far, -near)
-    both = rows.unionByName(seen, allowMissingColumns=True).withColumn("_list", F.collect_list("_seen").over(frame)).where("_row is not null")
+    order = Window.partitionBy(*key, "_stretch").orderBy("_t")
+    both, columns = rows.unionByName(seen, allowMissingColumns=True), []
+
+    def nearest(low: int, high: int, pick) -> Column:
+        """The reading of a frame's end, in columns of its own; one window has the frames of all lags."""
+        x = pick("_seen", ignorenulls=True).over(order.rangeBetween(low, high))
+        return F.when(x["_ok"], x)
+
+    for lag in lags:
+        at = us(lag)
+        columns.append(nearest(-at - us(tolerance), -at, F.last).alias(f"_back{lag}"))
+        if centered:
+            columns.append(nearest(-at, us(tolerance) - at, F.first).alias(f"_ahead{lag}"))
+    both = both.select("*", *columns).where("_row is not null")
 
     def chosen(lag: int) -> Column:
-        at = t - us(lag)
-        between = lambda low, high: F.filter("_list", lambda x: x["_t"].between(low, high))
-        fit = lambda x: F.when(x["_ok"], x)
-        back = fit(F.array_max(between(at - us(tolerance), at)))
+        back, at = F.col(f"_back{lag}"), t - us(lag)
         if not centered:
             return back["_value"]
-        ahead = fit(F.array_min(between(at, at + us(tolerance))))
+        ahead = F.col(f"_ahead{lag}")
         return F.when(back.isNull() | (ahead["_t"] - at < at - back["_t"]), ahead["_value"]).otherwise(back["_value"])
 
     return both.select("_row.*", *(chosen(lag).alias(f"{prefix}{lag}") for lag in lags))
