@@ -42,25 +42,29 @@ def recent(rows: DataFrame, when: str, at: Column, minutes: float = LOOKBACK_MIN
     return rows.where((F.col(when) > at - F.make_dt_interval(secs=F.lit(minutes * 60))) & (F.col(when) <= at))
 
 
+MANIFEST = "day date, n long, digest string"
+
+
 def update_days(rows: DataFrame, day: str, folder: str) -> list[str]:
-    """Rewrites the day partitions whose number of rows isn't that of the manifest, and then the manifest; returns those days.
+    """Rewrites the day partitions whose number or sum of digests of rows isn't that of the manifest, and then the manifest; returns those days.
 
     Only changed days are written (dynamic overwrite), so a run that dies in between is repeated by the next one.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    digest = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).cast("string")
+    counts = rows.groupBy(F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))
     try:
-        held = spark.read.schema("day date, n long").parquet(f"{folder}/manifest")
+        held = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     except Exception as e:  # the first run has none
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        held = spark.createDataFrame([], "day date, n long")
-    changed = sorted(r.day for r in counts.join(held, ["day", "n"], "left_anti").select("day").collect())  # a row a day
+        held = spark.createDataFrame([], MANIFEST)
+    changed = sorted(r.day for r in counts.join(held, ["day", "n", "digest"], "left_anti").select("day").collect())  # a row a day
     if changed:
         fresh = rows.where(F.col(day).isin(changed)).repartition(day)
         fresh.write.partitionBy(day).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/days")
         kept = held.where(~F.col("day").isin(changed)).unionByName(counts.where(F.col("day").isin(changed)))
-        spark.createDataFrame(kept.collect(), "day date, n long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+        spark.createDataFrame(kept.collect(), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return [str(d) for d in changed]
 
 

@@ -102,7 +102,7 @@ def pooled(week: int, part: pd.DataFrame) -> pd.DataFrame:
 
 
 def bootstrap(blocks: DataFrame, model: str, reference: str, draws: int = 500, seed: int = 3) -> tuple[float, float, float]:
-    """Skill with its 95 % interval from block sums (a row a block, of a bounded number of days or station days)."""
+    """Skill with its 95 % interval from block sums (a row a day; blocks without a bound are for bootstrap_skill)."""
     sums = blocks.select("n", model, reference).orderBy("n", model).toPandas()
     weights = np.random.default_rng(seed).multinomial(len(sums), np.full(len(sums), 1 / len(sums)), size=draws)
     skills = 1 - (weights @ sums[model].to_numpy()) / (weights @ sums[reference].to_numpy())

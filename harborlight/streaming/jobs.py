@@ -17,20 +17,6 @@ from harborlight.sources.shared import saved, shared_folder
 LATE = "3 hours"
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a file stream; an event time must be a timestamp."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    k = F.get_json_object("props", "$.k").cast("int")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(as_pattern(path))
-    return stream.select("event_id", F.col("user_id").alias("sid"), F.col("ts").cast("timestamp").alias("t"), (F.col("event_type") != "error").alias("ok"), (k % 10 == 0).alias("is_full"))
-
-
-def as_pattern(path: str) -> str:
-    """A file stream reads folders: a single file is named by a pattern."""
-    return path.replace("events.parquet", "events.parque[t]")
-
-
 def deduplicated(stream: DataFrame) -> DataFrame:
     return stream.withWatermark("t", LATE).dropDuplicatesWithinWatermark(["sid", "t"])
 
@@ -129,17 +115,17 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drained(deduplicated(readings(spark, sf_dir)))
+    rows = drained(deduplicated(feed(spark, in_parts(spark, sf_dir))))
     return rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drained(slot_counts(readings(spark, sf_dir)), "update").groupBy("slot_start").agg(F.max("n").alias("n"), F.max("n_full").alias("n_full"))
+    rows = drained(slot_counts(feed(spark, in_parts(spark, sf_dir))), "update").groupBy("slot_start").agg(F.max("n").alias("n"), F.max("n_full").alias("n_full"))
     return rows.select(F.col("slot_start").cast("timestamp_ntz").alias("slot_start"), "n", "n_full")
 
 
 def stream_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_labels(drained(with_labels(readings(spark, sf_dir), 720, 360)))
+    rows = first_labels(drained(with_labels(feed(spark, in_parts(spark, sf_dir)), 720, 360)))
     return rows.select("sid", F.col("t").cast("timestamp_ntz").alias("t"), "y")
 
 

@@ -333,6 +333,8 @@ def test_days_are_rebuilt_by_the_manifest(spark, tmp_path):
     assert live.update_days(rows(first), "day", str(tmp_path)) == []
     assert live.update_days(rows([*first, ("2024-01-02", 4), ("2024-01-03", 5)]), "day", str(tmp_path)) == ["2024-01-02", "2024-01-03"]
     assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [1, 2, 3, 4, 5]
+    assert live.update_days(rows([*first, ("2024-01-02", 9), ("2024-01-03", 5)]), "day", str(tmp_path)) == ["2024-01-02"]  # as many rows, another value
+    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [1, 2, 3, 5, 9]
 
 
 def test_captures_by_the_time_in_their_names(spark):
