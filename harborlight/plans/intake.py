@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from harborlight.operators import stations as S
 from harborlight.plans import views_sql as V
 from harborlight.plans.live import fresh_folder
+from harborlight.plans.stations import LABEL
 from harborlight.sources import captures, files, trip_files
 from harborlight.sources import tables as T
+from harborlight.sources.shared import saved
 
 FEED = "station_status"
 ZONE_HOURS = 6
@@ -21,6 +24,8 @@ ZONE_HOURS = 6
 ODD = "€–“x”™Š"
 #: Minutes that a capture covers.
 EVERY = 15
+#: Upper bounds in minutes of a station's silence.
+SILENCE = ((30, "< 30 min"), (60, "30-60 min"), (180, "1-3 h"), (1_440, "3-24 h"))
 
 
 def capture_tree(spark: SparkSession, sf_dir: str, root: str, days: str = "true") -> str:
@@ -188,7 +193,30 @@ def period_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), days.alias("days"), F.count_if(F.col("v").isNull()).alias("null_count"), F.countDistinct("user_id").alias("stations"))
 
 
-QUERIES = [capture_source, capture_stream, sync_manifest, atomic_publish, zipped_csv, whole_mornings, trip_months, record_log, mapped_trips, period_facts]
+def capture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures' report as one table (section, item, n): how many there are of those expected, gaps by day, captures that
+    repeat the document before (by the minute that it was made), labels, silences and whole mornings.
+    """
+    r = saved(T.readings(spark, sf_dir))
+    times = saved(r.select("t").distinct())
+    part = lambda section, item, n: [F.lit(section).alias("section"), item.cast("string").alias("item"), n.cast("long").alias("n")]
+    span = F.timestamp_diff("SECOND", F.min("t"), F.max("t"))
+    made = F.date_trunc("minute", "t")
+    total = times.agg(F.count(F.lit(1)).alias("captures"), (F.floor(span / (EVERY * 60)) + 1).alias("expected"), (F.count(F.lit(1)) - F.countDistinct(made)).alias("repeated"))
+    totals = total.unpivot([], ["captures", "expected", "repeated"], "item", "n")
+    long_gaps = S.gaps(times).where(F.col("gap_min") > 2 * EVERY).groupBy(F.to_date("t").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    labels = r.groupBy(S.label(F.col("ok"), F.col("age_s"), F.col("is_full")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    minutes = F.col("age_s") / 60
+    bucket = F.when(minutes.isNull(), "never")
+    for bound, name in SILENCE:
+        bucket = bucket.when(minutes < bound, name)
+    silence = r.where("ok").groupBy(bucket.otherwise("> 1 day").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    out = totals.select(*part("totals", F.col("item"), F.col("n"))).unionByName(long_gaps.select(*part("gaps", F.col("day"), F.col("n"))))
+    out = out.unionByName(labels.select(*part("labels", F.col("label"), F.col("n")))).unionByName(silence.select(*part("silence", F.col("bucket"), F.col("n"))))
+    return out.unionByName(whole_mornings(spark, sf_dir).select(*part("mornings", F.col("day"), F.col("n"))))
+
+
+QUERIES = [capture_source, capture_stream, sync_manifest, atomic_publish, zipped_csv, whole_mornings, trip_months, record_log, mapped_trips, period_facts, capture_report]
 _DAILY = V.with_views(V.SNAP) + ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, date_trunc('day', t) ORDER BY t DESC) AS rn FROM snap) WHERE rn = 1)"
 _NAME = "strftime(date_trunc('day', t), 'station_status_%Y%m%dT%H%M%SZ.json.gz')"
 SQL = {
@@ -215,3 +243,10 @@ SQL = {
         m AS (SELECT day, count(*) FILTER (t >= a) AS n, sum(epoch(least(u, nx, b)) - epoch(greatest(t, a))) / 60 AS covered, greatest(max(g), max((epoch(nx) - epoch(u)) / 60)) AS longest FROM s GROUP BY 1)
         SELECT day, coalesce(n, 0) AS n, round(coalesce(covered, 0.0), 3)::DOUBLE AS covered_min, round(greatest(0.0, coalesce(longest, 240.0)), 3)::DOUBLE AS longest_gap_min FROM d LEFT JOIN m USING (day)""",
 }
+_BUCKETS = " ".join(f"WHEN age_s / 60.0 < {bound} THEN '{name}'" for bound, name in SILENCE)
+SQL["capture_report"] = V.with_views(V.SNAP) + f""", times AS (SELECT DISTINCT t FROM snap), gap AS (SELECT t, epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t) AS g FROM times), mornings AS ({SQL["whole_mornings"]})
+        SELECT 'totals' AS section, item, n FROM (SELECT unnest(['captures', 'expected', 'repeated']) AS item, unnest([count(*), CAST(floor(date_sub('second', min(t), max(t)) / {EVERY * 60}) AS BIGINT) + 1, count(*) - count(DISTINCT date_trunc('minute', t))]) AS n FROM times)
+        UNION ALL SELECT 'gaps', CAST(CAST(t AS DATE) AS VARCHAR), count(*) FROM gap WHERE g / 60e6 > {2 * EVERY} GROUP BY 2
+        UNION ALL SELECT 'labels', {LABEL}, count(*) FROM snap GROUP BY 2
+        UNION ALL SELECT 'silence', CASE WHEN age_s IS NULL THEN 'never' {_BUCKETS} ELSE '> 1 day' END, count(*) FROM snap WHERE ok GROUP BY 2
+        UNION ALL SELECT 'mornings', CAST(day AS VARCHAR), n FROM mornings"""
