@@ -129,7 +129,7 @@ def whole_mornings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The three ways in which headers of trip files have been written.
+# The three ways in which headers of trip files have been written.
 HEADERS = (
     ("Genero_Usuario", "Edad_Usuario", "Bici", "Ciclo_Estacion_Retiro", "Fecha_Retiro", "Hora_Retiro", "Ciclo_Estacion_Arribo", "Fecha_Arribo", "Hora_Arribo"),
     ("Genero_Usuario", "Edad_Usuario", "Bici", "Ciclo_Estacion_Retiro", "Fecha_Retiro", "Hora_Retiro", "Ciclo_EstacionArribo", "Fecha Arribo", "Hora_Arribo"),
