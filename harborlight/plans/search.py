@@ -209,6 +209,10 @@ SQL = {
         WHERE 6371000.0 * sqrt(pow(radians(lat1 - lat0), 2) + pow(radians(lon1 - lon0) * cos(radians((lat0 + lat1) / 2)), 2)) < 500""",
     "number_least_squares": W(NUMBERS) + """ SELECT street, number // 100 AS hundred, count(*) AS n, round(regr_slope(lat, number), 9) AS lat_slope, round(regr_intercept(lat, number), 6) AS lat_start,
         round(regr_slope(lon, number), 9) AS lon_slope, round(regr_intercept(lon, number), 6) AS lon_start FROM numbers GROUP BY 1, 2 HAVING count(*) > 2""",
+    "polyline_nearest": W(NUMBERS) + """, xy AS (SELECT street, number, radians(lon + 99.102::DOUBLE) * cos(radians(19.41::DOUBLE)) * 6371000.0::DOUBLE AS x, radians(lat - 19.41::DOUBLE) * 6371000.0::DOUBLE AS y FROM numbers),
+        s AS (SELECT street, x, y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM xy WINDOW w AS (PARTITION BY street ORDER BY number)),
+        c AS (SELECT *, coalesce(least(greatest(-(x * dx + y * dy) / nullif(dx * dx + dy * dy, 0), 0), 1), 0) AS f FROM s WHERE dx IS NOT NULL)
+        SELECT street, round(min(sqrt(pow(x + f * dx, 2) + pow(y + f * dy, 2))), 2) AS metres FROM c GROUP BY 1""",
     "address_lookup": W(NUMBERS) + f""", streets AS (SELECT p_partkey, (p_partkey - 1) % 40 AS street, p_name || ' ' || p_brand AS name FROM part),
         asked AS (SELECT DISTINCT substr(name, 1, 6) AS query, substr(name, 1, 6) || ' 42' AS address, 42 AS number FROM streets WHERE p_partkey % 100 = 0)
         SELECT q.address, s.p_partkey, s.street, round(lat, 6) AS lat, round(lon, 6) AS lon FROM streets s, asked q, numbers n WHERE n.street = s.street AND n.number = q.number AND len(list_filter(string_split({FOLD.format(c="q.query")}, ' '), lambda t:

@@ -111,3 +111,5 @@ def _greedy(order: str, near: str) -> str:
 
 
 SQL = {"spaced_numbers": _greedy("number", "g.held[-1:]"), "thinned_numbers": _greedy("md5(CAST(number AS VARCHAR))", "g.held")}
+SQL["spacing_fold"] = f"""SELECT street, CAST(count(*) FILTER (a.kept) AS INT) AS kept, CAST(count(*) FILTER (b.kept) AS INT) AS apart, CAST(count(*) AS INT) AS "all"
+        FROM ({_greedy("number", "g.held[-1:]")}) a JOIN ({_greedy("number", "g.held")}) b USING (street, number) GROUP BY 1"""

@@ -31,7 +31,7 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert plain(df.columns, df.collect()) == plain(expected.columns, expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["polyline_nearest", "spacing_fold", "isotonic_map", "platt_map", "rolling_recalibration", "gbt_scores", "gbt_importances", "stacked_scores"])
+@pytest.mark.parametrize("name", ["platt_map", "gbt_scores", "gbt_importances", "stacked_scores", "gbt_curve", "frozen_nodes", "final_test", "live_scores"])
 def test_runs(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).count() > 0
 
