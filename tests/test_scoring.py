@@ -47,6 +47,25 @@ def test_walking_the_nodes_equals_mllib(spark):
     assert last["round"] == 5 and abs(last.loss - loss) < 1e-9
 
 
+def test_many_stations_share_categories_by_rate(spark):
+    """Bins, nodes and fits would grow with the stations otherwise."""
+    rows = spark.range(6_000).selectExpr("cast(id % 100 as string) AS name", "cast(id div 100 < id % 100 % 50 as double) AS label")
+    own = scoring.categories(rows, 100).collect()
+    assert len(own) == 100 and all(r.name == r.category for r in own)
+    few = {int(r.name): r.category for r in scoring.categories(rows, 8).collect()}
+    assert len(few) == 100 and len(set(few.values())) == 8 and all(few[i] == few[i + 50] for i in range(50))
+    assert [few[i] for i in range(50)] == sorted(few[i] for i in range(50))
+
+
+def test_grouped_stations_are_scored_by_their_category(spark, sf_dir, frozen, monkeypatch):
+    monkeypatch.setattr(scoring.categories, "__defaults__", (4,))
+    folder = scoring.freeze(spark, sf_dir, frozen[1], rounds=2)
+    labels = spark.read.schema("name string, station_index double").json(f"{folder}/labels")
+    stations = frozen[1].where(F.col("d") <= L.TRAIN[1] - scoring.CHECK).select("name").distinct().count()
+    assert labels.count() == stations > 4 and labels.select("station_index").distinct().count() <= 4
+    assert scoring.predicted(spark, folder, frozen[1]).where("p between 0 and 1").count() == frozen[1].count()
+
+
 @pytest.mark.parametrize(
     "losses, best", [([0.5, 0.4, 0.3], 3), ([0.5, 0.4, 0.45, 0.44, 0.43], 2), ([0.5, 0.4, 0.5, 0.5, 0.5, 0.5, 0.5, 0.1], 2), ([0.5, 0.4, 0.5, 0.5, 0.5, 0.5, 0.3], 7), ([0.2], 1), ([0.2, 0.2], 1)]
 )
