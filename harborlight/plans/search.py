@@ -25,13 +25,18 @@ def word_hits(names: DataFrame, tokens: DataFrame, key: str, text: str) -> DataF
     return heads.join(tokens.withColumn("_head", F.substring("_token", 1, PREFIX)), "_head").where(F.startswith("_word", "_token")).drop("_head", "_word")
 
 
-def matches(names: DataFrame, queries: DataFrame, key: str = "place_id", text: str = "name", query: str = "query") -> DataFrame:
-    """Names with a word for every token of the query."""
+def matches(names: DataFrame, queries: DataFrame, text: str = "name", query: str = "query") -> DataFrame:
+    """Names with a word for every token of the query; equal texts are compared once, and the names themselves are never broadcast."""
     asked = queries.select(query).distinct().withColumn("_tokens", X.words_of(F.col(query)))
     tokens = asked.select(query, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
-    met = word_hits(names, tokens, key, text)
-    whole = met.groupBy(key, query, "_n").agg(F.countDistinct("_token").alias("_found")).where("_found = _n").select(key, query)
-    return names.join(whole, key).join(queries, query)
+    met = word_hits(names.select(text).distinct(), tokens, text, text)
+    whole = met.groupBy(text, query, "_n").agg(F.countDistinct("_token").alias("_found")).where("_found = _n").select(text, query)
+    return names.hint("merge").join(whole, text).join(queries, query)
+
+
+def kinds_once(places: DataFrame) -> DataFrame:
+    """Of the places of one name and kind that with the least id, which goes before the others in any ranking."""
+    return places.groupBy("name", "kind_rank").agg(F.min("place_id").alias("place_id"))
 
 
 def ranked_places(found: DataFrame, limit: int = 5) -> DataFrame:
@@ -104,16 +109,17 @@ def month_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(places(spark, sf_dir), _queries(spark, sf_dir)).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("place_id").alias("first_id"))
+    names = places(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("place_id").alias("first_id"))
+    return matches(names, _queries(spark, sf_dir)).groupBy("query").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
 
 
 def place_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranked_places(matches(places(spark, sf_dir), _queries(spark, sf_dir)))
+    rows = ranked_places(matches(kinds_once(places(spark, sf_dir)), _queries(spark, sf_dir)))
     return rows.select("query", "place", "place_id", "name")
 
 
 def merge_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matches(places(spark, sf_dir), _queries(spark, sf_dir))
+    found = matches(kinds_once(places(spark, sf_dir)), _queries(spark, sf_dir))
     first = ranked_places(found.where("kind_rank = 2"), 3).select("query", "place", "place_id", "name")
     second = ranked_places(found, 5).select("query", "place", "place_id", "name")
     return merged(first, second, ["query"], "name").select("query", "merged", "place_id", F.col("source").cast("long").alias("source"))
@@ -155,7 +161,7 @@ def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     streets = T.table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") - 1) % 40).alias("street"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
     asked = streets.where("p_partkey % 100 = 0").select(F.concat(F.substring("name", 1, 6), F.lit(" 42")).alias("address"))
     parts = asked.select("address", F.regexp_replace("address", " [0-9]+[A-Za-z]?$", "").alias("query"), F.regexp_extract("address", "([0-9]+)[A-Za-z]?$", 1).cast("long").alias("number")).distinct()
-    found = matches(streets, parts, "p_partkey")
+    found = matches(streets, parts)
     return found.join(numbers(spark, sf_dir), ["street", "number"]).select("address", "p_partkey", "street", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 

@@ -222,6 +222,17 @@ def test_plan_keeps_the_nearest_and_ranks_the_recommendable(spark):
     assert [r.station_id for r in planner.pickups(req, st).collect()] == [1]
 
 
+def test_search_neither_broadcasts_names_nor_compares_them_twice(spark, tmp_path):
+    spark.range(3_000).selectExpr("id AS place_id", "concat('Calle ', id % 3) AS name", "id % 2 AS kind_rank").write.parquet(f"{tmp_path}/names")
+    names, asked = spark.read.parquet(f"{tmp_path}/names"), spark.createDataFrame([("cal 1",)], "query string")
+    found = search.matches(names, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and found.count() == 1_000
+    once = search.matches(search.kinds_once(names), asked)
+    whole = [(r.place, r.place_id) for r in search.ranked_places(found).collect()]
+    assert once.count() == 2 and whole == [(r.place, r.place_id) for r in search.ranked_places(once).collect()] == [(1, 4)]
+
+
 def test_text(spark):
     assert value(spark, text.plain(F.lit("  Ávenida  Ñandú, #3 "))) == "avenida nandu 3"
     assert [value(spark, text.station_code(F.lit(x))) for x in (' "7" ', "1000", "390-391", "a1")] == ["007", "1000", "390-391", "a1"]
