@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from harborlight.config import PERIODS
+from harborlight.config import EARTH_M, PERIODS
 from harborlight.functions import geo as G
 from harborlight.functions import text as X
 from harborlight.functions import timeparts as P
@@ -27,6 +27,8 @@ SHARES = (0.6, 0.8)
 #: Days that are only trained on, and the horizons of the report, in minutes.
 DEV, REPORTED = (3, 11), (720, 1440, 2160)
 REFIT = ("p_persist_cal", "p_hist")
+#: Metres of the first ring around an asked point, how much farther each next one reaches, and what no flat distance exceeds.
+FIRST_M, RING, ALL_M = 150.0, 4.0, 60_000_000.0
 MODELS = (*L.MODELS, *(f"{m}_tvf" for m in REFIT))
 
 
@@ -95,25 +97,72 @@ def compared(fresh: DataFrame, frozen: DataFrame) -> DataFrame:
     return both.select("name", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"))
 
 
+def met_within(todo: DataFrame, there: DataFrame, metres: float) -> DataFrame:
+    """todo (unit, lat0, lon0 and what else) with the rows of there (unit, lat, lon and what else) of its unit within the flat distance, as metres.
+
+    An equi join on the unit and on grid cells; past ALL_M on the unit alone. Rows without a place count as within.
+    """
+    far = F.round(G.flat_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))).cast("long")
+    if metres >= ALL_M:
+        return todo.join(there, "unit").withColumn("metres", far)
+    step = metres / (EARTH_M * 3.141592653589793 / 180)
+    edge = (F.abs("_row") + 2) * step  # no middle of two points is farther from the equator
+    width = F.when(edge < 89, F.lit(step) / F.cos(F.radians(edge))).otherwise(1000.0)
+    around = lambda c: F.explode(F.array(*(F.floor(c) + i for i in (-1, 0, 1))))
+    asked = todo.withColumn("_row", around(F.col("lat0") / step)).withColumn("_cell", around(F.col("lon0") / width))
+    cells = there.withColumn("_row", F.floor(F.col("lat") / step)).withColumn("_cell", F.floor(F.col("lon") / width))
+    met = asked.join(cells, ["unit", "_row", "_cell"]).drop("_row", "_cell").withColumn("metres", far).where(F.col("metres") <= metres)
+    return met.unionByName(todo.join(there.where("lat is null or lon is null"), "unit").withColumn("metres", far))
+
+
 def suggested(names: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
     """(ask, place, place_id, name): places with a name's word for a token at least, and for every other one such a word or a word of their kind.
 
     names: place_id, name, kind_words, kind_rank, context, lat, lon; asked: ask, query, lat0, lon0. A kind that was typed goes first,
     then the same start, kinds by rank, the nearer (whole metres), shorter names; one of each name and context.
+
+    Names are compared with queries once each. What goes before the distance is a query's and a place's alone, so only the first
+    classes that hold `limit` names are kept; of those, places are sought around each asked point in rings, and a ring that
+    surely has the nearest ones ends its search. No asked point meets all places of its query but where those are too few.
     """
-    asked = asked.withColumn("_tokens", X.words_of(F.col("query")))
-    met = search.word_hits(names, asked.select("ask", F.explode("_tokens").alias("_token")), "place_id", "name")
-    found = met.groupBy("place_id", "ask").agg(F.collect_set("_token").alias("_set"))  # the query's tokens at most
-    rows = found.join(names, "place_id").join(asked, "ask").withColumn("_in", F.filter("_tokens", lambda t: F.array_contains("_set", t)))
+    asked = asked.withColumn("spot", F.to_json(F.struct("query", "lat0", "lon0")))
+    queries = asked.select("query").distinct().withColumn("_tokens", X.words_of(F.col("query")))
+    met = search.word_hits(names.select("name").distinct(), queries.select("query", F.explode("_tokens").alias("_token")), "name", "name")
+    found = met.groupBy("name", "query").agg(F.collect_set("_token").alias("_set"))  # the query's tokens at most
+    rows = found.join(names.select("name", "kind_words").distinct(), "name").join(queries, "query").withColumn("_in", F.filter("_tokens", lambda t: F.array_contains("_set", t)))
     rows = rows.where(F.forall("_tokens", lambda t: F.array_contains("_in", t) | F.array_contains("kind_words", t)))
     folded = X.plain(F.col("name"))
-    order = F.struct(
-        (F.size("_in") == F.size("_tokens")).cast("int").alias("name_only"), (~F.startswith(folded, F.array_join("_in", " "))).cast("int").alias("other_start"), "kind_rank",
-        F.round(G.flat_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))).cast("long").alias("metres"), F.length("name").alias("letters"), "name", "place_id",
+    fits = rows.select(
+        "query", F.col("name").alias("_name"), F.col("kind_words").alias("_words"), folded.alias("folded"), (F.size("_in") == F.size("_tokens")).cast("int").alias("name_only"),
+        (~F.startswith(folded, F.array_join("_in", " "))).cast("int").alias("other_start"),
     )
-    one = rows.groupBy("ask", folded.alias("folded"), "context").agg(F.min(order).alias("o")).select("ask", "o.*")
-    place = F.row_number().over(Window.partitionBy("ask").orderBy("name_only", "other_start", "kind_rank", "metres", "letters", "name", "place_id"))
-    return one.withColumn("place", place.cast("long")).where(F.col("place") <= limit)
+    kind, group = ["name_only", "other_start", "kind_rank"], ["query", "folded", "context"]
+    there = names.hint("merge").join(fits, (F.col("name") == F.col("_name")) & F.col("kind_words").eqNullSafe(F.col("_words")))
+    first = F.min(F.struct(F.length("name").alias("letters"), "name", "place_id")).alias("first")
+    there = saved(there.withColumn("kind", F.struct(*kind)).groupBy(*group, "kind", "lat", "lon").agg(first))
+    best = there.groupBy(*group).agg(F.min("kind").alias("kind"))
+    classes = Window.partitionBy("query").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)  # few a query
+    room = F.lit(limit) - F.coalesce(F.sum("groups").over(classes), F.lit(0))
+    kept = best.groupBy("query", "kind").agg(F.count(F.lit(1)).alias("groups")).withColumn("room", room).where("room > 0")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "kind"]]
+    there = there.alias("a").join(best.join(kept, ["query", "kind"]).alias("b"), reduce(Column.__and__, same)).select("a.*", "b.groups", "b.room")
+    alone = F.col("groups") <= F.col("room")  # all of the class are wanted: each is sought by itself
+    there = there.withColumn("unit", F.to_json(F.struct("query", "kind", F.when(alone, F.struct("folded", "context")).alias("group"))))
+    there = saved(there.withColumn("want", F.when(alone, F.lit(1)).otherwise(F.col("room"))))
+    units = there.select("query", "unit", "want").distinct()
+    there = there.drop("query", "want", "groups", "room")
+    todo, ends, reach = saved(asked.select("spot", "query", "lat0", "lon0").distinct().join(units, "query").drop("query")), [], FIRST_M
+    while not ends or not todo.isEmpty():
+        near = saved(met_within(todo, there, reach))
+        asked_at = F.col("lat0").isNotNull() & F.col("lon0").isNotNull()  # others meet all places in the last ring
+        sure = F.lit(reach >= ALL_M) | asked_at & (F.col("metres").isNull() | (F.col("metres") + 1 <= reach))
+        done = near.where(sure).groupBy("spot", "unit", "want").agg(F.countDistinct(F.struct("folded", "context")).alias("_n")).where("_n >= want").select("spot", "unit")
+        ends.append(near.join(done, ["spot", "unit"], "left_semi"))
+        todo, reach = saved(todo.join(done, ["spot", "unit"], "left_anti")), reach * RING
+    order = F.struct("kind.*", "metres", "first.*")
+    one = reduce(DataFrame.unionByName, ends).groupBy("spot", "folded", "context").agg(F.min(order).alias("o")).select("spot", "o.*")
+    place = F.row_number().over(Window.partitionBy("spot").orderBy(*kind, "metres", "letters", "name", "place_id"))
+    return one.withColumn("place", place.cast("long")).where(F.col("place") <= limit).join(asked.select("ask", "spot"), "spot").drop("spot")
 
 
 def period_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from harborlight.functions import geo
 from harborlight.plans import live, protocol
 from harborlight.streaming import jobs
 
@@ -63,6 +65,25 @@ def test_suggestions(spark):
     assert [(r.ask, r.place_id) for r in got] == [(1, 2), (1, 1), (1, 4), (4, 3)]
 
 
+def test_suggestions_meet_places_around_the_point_only(spark, monkeypatch):
+    """3,000 places of one word over a degree, a few kinds far away: the same as by comparing all, with few pairs met."""
+    names = spark.range(3_000).selectExpr(
+        "id AS place_id", "concat('Roma ', id % 40) AS name", "array('metro') AS kind_words", "if(id % 997 = 3, 0, 1) AS kind_rank", "cast(id % 3 as int) AS context",
+        "if(id = 8, null, 19.0 + (id * 37 % 1000) / 1000D) AS lat", "-99.0 + (id * 53 % 1000) / 1000D AS lon",
+    )
+    asked = spark.range(30).selectExpr("id AS ask", "if(id % 2 = 0, 'rom', 'rom metro') AS query", "19.0 + id / 30D AS lat0", "if(id = 7, null, -99.0 + id / 30D) AS lon0")
+    met, within = [], protocol.met_within
+    monkeypatch.setattr(protocol, "met_within", lambda *a: met.append(within(*a)) or met[-1])
+    got = {(r.ask, r.place): r.place_id for r in protocol.suggested(names, asked).collect()}
+    metres = F.round(geo.flat_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))).cast("long")
+    every = asked.crossJoin(names).withColumn("o", F.struct("kind_rank", metres.alias("metres"), F.length("name").alias("letters"), "name", "place_id"))
+    one = every.groupBy("ask", "name", "context").agg(F.min("o").alias("o"))
+    place = F.row_number().over(Window.partitionBy("ask").orderBy("o"))
+    expected = {(r.ask, r.place): r.id for r in one.select("ask", place.alias("place"), F.col("o.place_id").alias("id")).where("place <= 5").collect()}
+    assert len(got) == 150 and got == expected
+    assert sum(m.where("lon0 is not null").count() for m in met) < 30_000
+
+
 def test_blobs_are_replaced_by_key(spark):
     folder = live.fresh_folder(spark, "blobs")
     put = lambda *rows: live.put_blobs(spark.createDataFrame(rows, "key string, body string"), folder)
