@@ -393,3 +393,9 @@ def test_nearest_widens_in_rings(spark):
     for k, v in every.items():
         near = [b for m, b in sorted(v) if m <= 500]
         assert [b for _, b in sorted(found[k])] == (near if len(near) >= 3 else [b for _, b in sorted(v)[:3]])
+
+
+def test_prefixes_are_sought_once_a_name_and_ids_gathered_once_an_order(spark, sf_dir):
+    plan = lambda f: f(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Generate explode" in line and "p_partkey" in line for line in plan(city.longest_prefix).splitlines())
+    assert "keys=[l_orderkey" not in plan(live.unknown_ids).replace("ObjectHashAggregate(keys=[l_orderkey", "")
