@@ -3,6 +3,7 @@
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from harborlight.streaming import keyed
@@ -102,3 +103,41 @@ def test_lags_and_labels_equal_a_search_and_state_is_bounded(seed):
     assert largest < 60 and not any(s.rows for s in handle.states.values())  # of 2,000 rows
     late, _, _ = driven(keyed.LagsAndLabels(120, 90, 30), rows, arrivals(rows, seed))
     assert sorted(late, key=str) == sorted(expected, key=str)
+
+
+class Counted(Held):
+    calls = 0
+
+    def get(self):
+        self.calls += 1
+        return super().get()
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("rules", [lambda: keyed.Limit(4, 600, 3), lambda: keyed.LagsAndLabels(120, 90, 30)])
+def test_a_block_gives_what_its_stations_give_and_reads_its_state_once(rules):
+    class Block(Handle):
+        def getListState(self, name, schema):
+            return self.states.setdefault(name, Counted())
+
+    stations = {sid: events(sid, 200) for sid in range(50)}
+    expected = sorted(((sid, *r) for sid, rows in stations.items() for r in driven(rules(), rows, [[i] for i in range(200)])[0]), key=str)
+    block, handle, now, out = keyed.Blocks(rules()), Block(), 0, []
+    block.init(handle)
+    rows = pd.DataFrame([(sid, *r) for sid, part in stations.items() for r in part], columns=["sid", "id", "ms", "flag", "other", "what"]).sort_values("ms")
+    for a in range(0, len(rows), 500):
+        batch = rows[a : a + 500]
+        for part in block.handleInputRows((0,), iter([batch[:200], batch[200:]]), Watermark(now)):
+            out += part.itertuples(index=False, name=None)
+        now = int(batch.ms.max()) - 180 * keyed.MINUTE
+    assert all(s.calls == len(rows) / 500 for s in handle.states.values()) and len(handle.timers) <= len(rows) / 500
+    for part in block.handleExpiredTimer((0,), Watermark(10**12), None):
+        out += part.itertuples(index=False, name=None)
+    assert sorted(out, key=str) == expected and not any(s.rows for s in handle.states.values())
