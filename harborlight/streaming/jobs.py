@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from harborlight.sources import tables as T
 from harborlight.sources.shared import saved, shared_folder
 
 LATE = "3 hours"
+#: Rows a file of a feed, about; a batch has as many files as its rows need.
+FILE_ROWS = 250_000
 
 
 def deduplicated(stream: DataFrame) -> DataFrame:
@@ -52,21 +55,41 @@ def latest_lag(previous: DataFrame, batch: DataFrame, minutes: int) -> DataFrame
     return rows.select("event_id", "sid", "t", "is_full", F.when(recent, F.col("b.is_full")).alias("was_full"))
 
 
+def in_turn(spark: SparkSession, parts: Iterable[DataFrame], files: int) -> str:
+    """A folder to which the parts were added one after the other, each as so many files, so that many tasks write and read a part.
+
+    Tasks without rows write no file; empty ones make up for them, as a batch takes the same number of files each time.
+    """
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}-by-{files}"
+    for n, part in enumerate(parts, 1):  # in their order, so that files are found in that order
+        part.coalesce(files).write.mode("append").parquet(folder)
+        for _ in range(n * files - len(spark.read.schema(part.schema).parquet(folder).inputFiles())):
+            part.limit(0).write.mode("append").parquet(folder)
+    return folder
+
+
+def files_for(rows: DataFrame, parts: int) -> int:
+    return max(1, -(-rows.count() // (parts * FILE_ROWS)))
+
+
+def files_a_batch(folder: str) -> int:
+    """Files of a part in a folder of in_turn; in other folders each file is a part."""
+    named = re.search(r"-by-(\d+)$", folder)
+    return int(named[1]) if named else 1
+
+
 def in_parts(spark: SparkSession, sf_dir: str, days: int = 8) -> str:
     """A folder to which the events of so many days at a time were added, as a feed would add them."""
-    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    part = F.floor((F.day("ts") - 1) / days)
-    for n in range(-(-31 // days)):  # in their order, so that files are found in that order
-        rows.where(part == n).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+    part, count = F.floor((F.day("ts") - 1) / days), -(-31 // days)
+    return in_turn(spark, (rows.where(part == n) for n in range(count)), files_for(rows, count))
 
 
 def feed(spark: SparkSession, folder: str) -> DataFrame:
-    """Readings of the folder, a file a micro-batch."""
+    """Readings of the folder, a part a micro-batch."""
     schema = spark.read.parquet(folder).schema
     k = F.get_json_object("props", "$.k").cast("int")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch(folder)).parquet(folder)
     return stream.select("event_id", F.col("user_id").alias("sid"), F.col("ts").cast("timestamp").alias("t"), (F.col("event_type") != "error").alias("ok"), (k % 10 == 0).alias("is_full"), (k * 200).alias("age_s"))
 
 

@@ -137,7 +137,7 @@ def test_a_block_gives_what_its_stations_give_and_reads_its_state_once(rules):
         for part in block.handleInputRows((0,), iter([batch[:200], batch[200:]]), Watermark(now)):
             out += part.itertuples(index=False, name=None)
         now = int(batch.ms.max()) - 180 * keyed.MINUTE
-    assert all(s.calls == len(rows) / 500 for s in handle.states.values()) and len(handle.timers) <= len(rows) / 500
+    assert all(s.calls == len(rows) / 500 and len(s.rows) <= 1 for s in handle.states.values()) and len(handle.timers) <= len(rows) / 500
     for part in block.handleExpiredTimer((0,), Watermark(10**12), None):
         out += part.itertuples(index=False, name=None)
     assert sorted(out, key=str) == expected and not any(s.rows for s in handle.states.values())
