@@ -136,6 +136,8 @@ HEADERS = (
     ("\ufeffbici", "ce_retiro", "fecha_retiro", "hora_retiro", "ce_arribo", "fecha_arribo", "hora_arribo"),
 )
 YEARS = 32
+#: Files of a month at most, so that no task writes a whole one.
+MONTH_FILES = 4
 
 
 def trip_months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +145,9 @@ def trip_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = T.trips(spark, sf_dir)
     moved = {c: F.col(c) + F.make_ym_interval(F.lit(YEARS)) for c in ("departed_at", "arrived_at")}
     rows = trips.withColumns(moved).withColumn("month", F.date_format("departed_at", "yyyy-MM"))
-    style = F.pmod(F.month("departed_at"), F.lit(3))
-    folder = fresh_folder(spark, "trip-files")
-    paths = []
+    rows = rows.withColumns({"_style": F.pmod(F.month("departed_at"), F.lit(3)), "_file": F.day("departed_at") % MONTH_FILES})
+    folder, tasks = fresh_folder(spark, "trip-files"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    paths = [f"{folder}/style-{r._style}/month={r.month}" for r in rows.select("_style", "month").distinct().collect()]  # a row a month
     for k, header in enumerate(HEADERS):
         day = "d/M/yy" if k == 2 else "dd/MM/yyyy"
         value = {
@@ -154,9 +156,8 @@ def trip_months(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         name = lambda c: c.strip("\ufeff").lower().replace(" ", "_")
         pick = lambda c: value.get(name(c), value["retiro"] if "retiro" in name(c) else value["arribo"] if "arribo" in name(c) else F.lit("M"))
-        mine = rows.where(style == k).select("month", *(pick(c).alias(c) for c in header))
-        mine.repartition("month").write.partitionBy("month").option("header", True).csv(f"{folder}/style-{k}")
-        paths += [f"{folder}/style-{k}/month={r.month}" for r in mine.select("month").distinct().collect()]  # a row a month
+        mine = rows.where(F.col("_style") == k).select("month", "_file", *(pick(c).alias(c) for c in header)).repartition(tasks, "month", "_file").drop("_file")
+        mine.write.partitionBy("month").option("header", True).csv(f"{folder}/style-{k}")
     months = trip_files.read_months(spark, paths)
     return months.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_min"), 3).alias("minutes"), F.countDistinct("origin_code").alias("origins"))
 

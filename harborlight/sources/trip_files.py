@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborlight.functions.text import month_of_name, station_code
-from harborlight.functions.timeparts import local_wall_clock
+from harborlight.functions.timeparts import where_it_exists
 from harborlight.sources.files import at
 
 # The spellings that a field's column has had, in lower case and with underscores for spaces.
@@ -41,11 +41,14 @@ def trips_of(raw: DataFrame, zone: str, *more: Column) -> DataFrame:
     """All-string columns to codes, instants and minutes, and more columns of the file; what can't be read is null, and years of two digits are 20yy."""
     of = fields(raw)
     day = lambda end: F.regexp_replace(of[f"{end}_date"], r"/(\d\d)$", "/20$1")
-    instant = {name: local_wall_clock(F.concat_ws(" ", day(end), of[f"{end}_time"]), "d/M/yyyy H:mm:ss", zone) for name, end in INSTANTS.items()}
+    wall = {f"_{name}": F.try_to_timestamp(F.concat_ws(" ", day(end), of[f"{end}_time"]), F.lit("d/M/yyyy H:mm:ss")) for name, end in INSTANTS.items()}
     codes = [station_code(of[f"{end}_code"]).alias(f"{end}_code") for end in INSTANTS.values()]
-    rows = raw.select(of["bike_id"].alias("bike_id"), *codes, *(c.alias(n) for n, c in instant.items()), *more)
+    rows = raw.select(of["bike_id"].alias("bike_id"), *codes, *(c.alias(n) for n, c in wall.items()), *more)
+    # a step each, as a time that is parsed in an expression is parsed again wherever it is named
+    rows = rows.withColumns({name: F.to_utc_timestamp(f"_{name}", zone) for name in INSTANTS})
+    rows = rows.withColumns({name: where_it_exists(F.col(name), F.col(f"_{name}"), zone) for name in INSTANTS})
     minutes = F.timestamp_diff("MICROSECOND", F.col("departed_at"), F.col("arrived_at")) / 60e6
-    return rows.withColumn("duration_min", minutes)
+    return rows.drop(*wall).withColumn("duration_min", minutes)
 
 
 def read_trips(spark: SparkSession, path: str, zone: str = "America/Mexico_City") -> DataFrame:
@@ -79,8 +82,9 @@ def read_months(spark: SparkSession, paths: Sequence[str], zone: str = "America/
     for header, rows in alike.items():
         schema = ", ".join(f"`{c}` string" for c in header)
         raw = spark.read.schema(schema).csv([r.name for r in rows], header=True, encoding="UTF-8")
-        ends = [(r.name.rstrip("/").rsplit("/", 1)[1], r.month) for r in rows]
-        month = F.coalesce(*(F.when(F.instr(F.col("_metadata.file_path"), f"/{end}") > 0, F.lit(m)) for end, m in ends))
+        months = F.create_map(*(F.lit(x) for r in rows for x in (r.name.rstrip("/").rsplit("/", 1)[1], r.month)))
+        path = F.col("_metadata.file_path")
+        month = F.coalesce(months[F.substring_index(path, "/", -1)], months[F.substring_index(F.substring_index(path, "/", -2), "/", 1)])  # a file, or a folder's
         one = trips_of(raw, zone, month.alias("month"))
         out = one if out is None else out.unionByName(one)
     if out is None:

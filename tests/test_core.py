@@ -399,3 +399,27 @@ def test_prefixes_are_sought_once_a_name_and_ids_gathered_once_an_order(spark, s
     plan = lambda f: f(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any("Generate explode" in line and "p_partkey" in line for line in plan(city.longest_prefix).splitlines())
     assert "keys=[l_orderkey" not in plan(live.unknown_ids).replace("ObjectHashAggregate(keys=[l_orderkey", "")
+
+
+def test_parts_of_a_feed_stay_whole_batches_of_several_files(spark, sf_dir, monkeypatch):
+    seen = []
+    parts = [spark.range(0, 90, 1, 5), spark.range(0).toDF("id"), spark.range(90, 91, 1, 1), spark.range(91, 200, 1, 3)]
+    folder = jobs.in_turn(spark, parts, 4)
+    assert len(spark.read.parquet(folder).inputFiles()) == 16 and jobs.files_a_batch(folder) == 4 and jobs.files_a_batch("/x/feed-1") == 1
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 4).parquet(folder)
+    query = stream.writeStream.foreachBatch(lambda df, n: seen.append([r.id for r in df.collect()])).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [sorted(x) for x in seen] == [[*range(90)], [], [90], [*range(91, 200)]]
+    expected = {tuple(r) for r in jobs.stream_label_join(spark, sf_dir).collect()}
+    monkeypatch.setattr(jobs, "FILE_ROWS", 20)
+    assert jobs.files_a_batch(jobs.in_parts(spark, sf_dir)) > 1
+    assert {tuple(r) for r in jobs.stream_label_join(spark, sf_dir).collect()} == expected
+
+
+def test_trip_times_are_parsed_once(spark, tmp_path):
+    for month in range(1, 10):
+        (tmp_path / f"2024-0{month}.csv").write_text("Bici,CE_retiro,Fecha_retiro,Hora_retiro,CE_arribo,Fecha_arribo,Hora_arribo\n1,1,03/03/24,1:02:03,2,3/3/24,2:03:04\n")
+    rows = trip_files.read_months(spark, [f"{tmp_path}/2024-0{month}.csv" for month in range(1, 10)])
+    assert sorted((r.month, round(r.duration_min, 4)) for r in rows.collect()) == [(f"2024-0{month}", 61.0167) for month in range(1, 10)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp(") == 2 and plan.lower().count("instr(") == 0
