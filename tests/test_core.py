@@ -423,3 +423,8 @@ def test_trip_times_are_parsed_once(spark, tmp_path):
     assert sorted((r.month, round(r.duration_min, 4)) for r in rows.collect()) == [(f"2024-0{month}", 61.0167) for month in range(1, 10)]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("gettimestamp(") == 2 and plan.lower().count("instr(") == 0
+
+
+def test_the_matrix_reads_trips_and_events_for_what_it_joins_once(spark, sf_dir):
+    plan = learning.feature_matrix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and plan.count("Relation") <= 16  # 31 with trips, weather and places in the plan
