@@ -125,3 +125,51 @@ def test_plans_use_the_stored_models(spark, sf_dir):
     assert plans and all(r.p_full is None or min(known[r.station_id][f"p_full_{h}"] for h in scoring.SCALED) - 1e-9 <= r.p_full <= max(known[r.station_id][f"p_full_{h}"] for h in scoring.SCALED) + 1e-9 for r in plans)
     assert all((known[r.station_id].p_full_15 is None) == (r.p_full is None) and (r.rank is not None) == bool(r.recommendable) for r in plans)
     assert any(r.p_full is not None for r in plans)
+
+
+def numbers(rows):
+    names = [c for c in scoring.INPUTS if c != "station_index"]
+    found = rows.select("sid", "t", "d", "y", "label", "weekend", "target_slot", "name", *(F.round(c, 9).alias(c) for c in names)).collect()
+    return sorted(map(str, found))
+
+
+def test_examples_of_several_horizons_equal_those_of_each(spark):
+    """Bounds of the tolerance, readings out of service, and states or marks that are null."""
+    rng, start = np.random.default_rng(6), dt.datetime(2024, 1, 1)
+    times = sorted({(int(s), int(m) * 30) for s, m in zip(rng.integers(0, 5, 1_500), rng.integers(0, 700, 1_500))})
+    rows = [(s, start + dt.timedelta(minutes=m), 1 + m // 1_440, rng.choice([True, True, False, None]), rng.choice([True, False, None]), int(rng.integers(0, 9))) for s, m in times]
+    readings = spark.createDataFrame(rows, "sid long, t timestamp_ntz, d long, ok boolean, is_full boolean, docks long").withColumn("capacity", F.lit(20))
+    horizons = (720, 1_080, 1_440)
+    found = L.examples_of(readings, horizons).collect()
+    for h in horizons:
+        one = {(r.sid, r.t, r.slot, r.full_now, r[f"y{h}"].y) for r in found if r[f"y{h}"]}
+        expected = {(r.sid, r.t, r.slot, r.full_now, r.y) for r in L.examples(readings, h).collect()}
+        assert one == expected and len(one) > 100 and {x[-1] for x in one} == {True, False, None}
+    assert all(any(r[f"y{h}"] for h in horizons) for r in found)
+
+
+def test_features_of_several_horizons_equal_those_of_each(spark, sf_dir):
+    shared, horizons = scoring.shared_tables(spark, sf_dir), tuple(scoring.SCALED.values())
+    r = shared["readings"]
+    rows = scoring.several(r, shared, L.examples_of(r, horizons), horizons)
+    for h in horizons:
+        each = L.features(r, T.last_of_day(r), shared["flow"], shared["weather"], L.examples(r, h), h)
+        expected = numbers(scoring.indexed(each).withColumn("label", F.col("y").cast("double")))
+        assert expected and numbers(scoring.at_horizon(rows, h)) == expected
+
+
+def test_the_board_computes_once_what_its_horizons_share(spark, sf_dir, monkeypatch):
+    """Readings, flows and lags were computed anew for each horizon, which took most of the time of large tables."""
+    calls = {"flow_of": 0, "lag_values": 0}
+
+    def counted(module, name):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, **b: (calls.update({name: calls[name] + 1}), real(*a, **b))[1])
+
+    counted(scoring, "flow_of")
+    counted(L.asof, "lag_values")
+    monkeypatch.setattr(scoring, "freeze", lambda *a, **b: "none")
+    monkeypatch.setattr(scoring, "live", lambda spark, folder, lookback, ex, horizon: ex.withColumn("p", F.lit(0.5)))
+    monkeypatch.setattr(scoring, "predicted", lambda spark, folder, rows: rows.withColumn("p", F.lit(0.5)))
+    assert scoring.scored_board(spark, sf_dir).where("p_full_45 = 0.5").count() > 0
+    assert calls == {"flow_of": 1, "lag_values": 2}  # of the examples and of the last readings
