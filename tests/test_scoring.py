@@ -173,3 +173,12 @@ def test_the_board_computes_once_what_its_horizons_share(spark, sf_dir, monkeypa
     monkeypatch.setattr(scoring, "predicted", lambda spark, folder, rows: rows.withColumn("p", F.lit(0.5)))
     assert scoring.scored_board(spark, sf_dir).where("p_full_45 = 0.5").count() > 0
     assert calls == {"flow_of": 1, "lag_values": 2}  # of the examples and of the last readings
+
+
+def test_means_that_differ_by_the_order_of_their_sum_are_one_value(spark):
+    """Splits are taken from the different values of a feature, so fits differed between runs."""
+    raw = [c for c in scoring.NUMBERS if c not in ("nb_occupancy_mean", "temperature_now")]
+    rows = spark.createDataFrame([((0.1 + 0.2) + 0.3,), (0.1 + (0.2 + 0.3),)], "nb_occupancy_mean double")
+    assert rows.distinct().count() == 2
+    rows = rows.withColumn("temperature_now", F.col("nb_occupancy_mean")).withColumns({c: F.lit(1.0) for c in [*raw, "sid"]} | {"holiday": F.lit(False)})
+    assert scoring.indexed(rows).select("f_nb_occupancy_mean", "f_temperature_now").distinct().count() == 1
